@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from chronomesh.llm import mixing
+from chronomesh.llm.mixing import op2_mixing
+from chronomesh.llm.packing import op10_packing
 from chronomesh.llm.quality import op3_quality_rules
+from chronomesh.llm.simhash import op7_simhash
+from chronomesh.llm.urls import op5_url_filters
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
+    "op5_url_filters": op5_url_filters,
+    "op7_simhash": op7_simhash,
+    "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+#: The others use trained weights, hashes or a tokenizer that SQL doesn't have; tests hold them against brute force.
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE}
