@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from chronomesh.llm import mixing
+from chronomesh.llm import mixing, topk
 from chronomesh.llm.mixing import op2_mixing
 from chronomesh.llm.packing import op10_packing
 from chronomesh.llm.quality import op3_quality_rules
 from chronomesh.llm.simhash import op7_simhash
+from chronomesh.llm.topk import op8_topk_search
+from chronomesh.llm.toxicity import op1_toxicity
 from chronomesh.llm.urls import op5_url_filters
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op5_url_filters": op5_url_filters,
     "op7_simhash": op7_simhash,
+    "op8_topk_search": op8_topk_search,
     "op10_packing": op10_packing,
 }
 
 #: The others use trained weights, hashes or a tokenizer that SQL doesn't have; tests hold them against brute force.
-ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op8_topk_search": topk.ORACLE}
