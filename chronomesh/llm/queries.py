@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from chronomesh.llm import mixing, topk
+from chronomesh.llm.lines import op4_line_dedup
 from chronomesh.llm.mixing import op2_mixing
 from chronomesh.llm.packing import op10_packing
 from chronomesh.llm.quality import op3_quality_rules
+from chronomesh.llm.secrets import op6_secret_scans
 from chronomesh.llm.simhash import op7_simhash
 from chronomesh.llm.topk import op8_topk_search
 from chronomesh.llm.toxicity import op1_toxicity
@@ -15,7 +17,9 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
+    "op4_line_dedup": op4_line_dedup,
     "op5_url_filters": op5_url_filters,
+    "op6_secret_scans": op6_secret_scans,
     "op7_simhash": op7_simhash,
     "op8_topk_search": op8_topk_search,
     "op10_packing": op10_packing,
