@@ -23,16 +23,18 @@ the tokenizer does by default.
 
 from __future__ import annotations
 
-import os
 import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronomesh.llm.common import read
 
@@ -44,36 +46,67 @@ AT_SENTENCE, INSIDE = 1.0, 12.0
 #: A sentence longer than this may be cut inside, every STEP tokens.
 LONG, STEP = 512, 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-CHUNK = re.compile(r"[^ \t-\r]+")
-CACHED = 400_000
+#: Signs that are split off at the end of a chunk; no apostrophe, which the tokenizer keeps with some letters.
+SIGNS = b".,;:!?*%&#$|"
+LAST = np.array([END], "<u4").tobytes()
+#: Chunks that a worker keeps at most.
+CACHED = 1_000_000
+
+
+class Chunks(dict):
+    """Token ids (little-endian 32-bit) of UTF-8 chunks without white space, encoded when first asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        # the byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        rest = iter(range(256, 512))
+        self.letter = [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        word = chunk.rstrip(SIGNS)
+        if 0 < len(word) < len(chunk) and (word[-1:].isalnum() or word.decode(errors="replace")[-1].isalpha()):
+            ids = self[word] + self[chunk[len(word) :]]
+        else:
+            ids = array("I", self.encode(chunk)).tobytes()
+        self[chunk] = ids
+        return ids
+
+    def encode(self, chunk: bytes) -> list[int]:
+        """A word of Latin letters is one piece for the model; anything else takes the tokenizer's whole way."""
+        if chunk.isalpha():
+            return [t.id for t in self.model.tokenize(chunk.lower().decode())]
+        text = chunk.decode(errors="replace")
+        if text.isalpha() and max(text) < "\u0250" and is_normalized("NFC", text):
+            lowered = "".join(c.lower() for c in text)
+            return [t.id for t in self.model.tokenize("".join(self.letter[b] for b in lowered.encode()))]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 class Encoder:
-    """Token ids of texts. The tokenizer drops white space and never joins across it, so each chunk between white space is encoded once and kept."""
+    """Token ids of UTF-8 texts.
+
+    The tokenizer drops white space and never joins across it, nor across a letter or digit
+    and a sign that follows it. So chunks between white space, and words without the signs
+    after them, are encoded once and kept. A-Z are lowered first, as the tokenizer does.
+    """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
+        self.known = Chunks(Tokenizer.from_file(path))
+        vocabulary = self.known.tokenizer.get_vocab()
         self.sentence = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.sentence[[i for token, i in vocabulary.items() if re.search(r"[.!?]</w>$", token)]] = True
         self.sentence[END] = False
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers, with END after them."""
-        chunks = [CHUNK.findall(t) if t else [] for t in texts]
         if len(self.known) > CACHED:
-            self.known = {}
-        known = self.known
-        if new := list({c for x in chunks for c in x if c not in known}):
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        end = np.array([END], "<u4").tobytes()
-        return [b"".join([*map(known.__getitem__, x), end]) for x in chunks]
+            self.known.clear()
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, (t if b"<|" in t else t.lower()).split())) + LAST if t else LAST for t in texts]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -192,7 +225,7 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
         if rows := stream.pack(True):
             yield out(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def word_tokenizer() -> str:
