@@ -6,6 +6,7 @@ from chronomesh.llm import mixing, topk
 from chronomesh.llm.lines import op4_line_dedup
 from chronomesh.llm.mixing import op2_mixing
 from chronomesh.llm.packing import op10_packing
+from chronomesh.llm.passages import op9_passages
 from chronomesh.llm.quality import op3_quality_rules
 from chronomesh.llm.secrets import op6_secret_scans
 from chronomesh.llm.simhash import op7_simhash
@@ -22,6 +23,7 @@ QUERIES = {
     "op6_secret_scans": op6_secret_scans,
     "op7_simhash": op7_simhash,
     "op8_topk_search": op8_topk_search,
+    "op9_passages": op9_passages,
     "op10_packing": op10_packing,
 }
 
