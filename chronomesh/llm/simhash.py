@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronomesh.llm.buckets import BANDS, classes, keys_of, verified
 from chronomesh.llm.common import materialize, read
 from chronomesh.llm.components import components, forest
 
@@ -202,7 +203,96 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: For the stage: words in a shingle, and the similarity from which two documents are near-duplicates.
+STAGE_SHINGLE, SIMILARITY = 5, 0.8
+#: No two texts that similar differ in more bits than this, but for chance: about 10 are expected, with a deviation of 3.
+FAR = 26
+BROADCAST_ROWS = 200_000
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, item, fp, keys): item is a hash of the text's words, keys are its MinHash bands over shingles of STAGE_SHINGLE words."""
+    n = STAGE_SHINGLE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = part.column(1).to_pylist()
+                normal = [b" ".join(t.lower().split()) if t else b"" for t in texts]
+                items = [xxhash.xxh64_intdigest(t, 7) - (1 << 63) for t in normal]
+                h = [np.fromiter((hash32(s) for s in shingles(t)), np.uint32) for t in normal]
+                begin = np.cumsum([0, *map(len, h)])[:-1]
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * BANDS), pa.array(keys_of(np.concatenate(h), begin).ravel()))
+                arrays = [part.column(0), pa.array(items, pa.int64()), pa.array(fingerprints_of(texts, n).view(np.int64)), keys]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item", "fp", "keys"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return own.mapInArrow(run, "doc_id long, item long, fp long, keys array<long>")
+
+
+def hash32(shingle: bytes) -> int:
+    return xxhash.xxh32_intdigest(shingle)
+
+
+def shingles(text: bytes) -> set[bytes]:
+    """Shingles of STAGE_SHINGLE words of a text in normal form; a shorter text is one shingle."""
+    words = text.split(b" ")
+    n = STAGE_SHINGLE
+    if len(words) <= n:
+        return {text}
+    return {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
+
+
+def near_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, root) for the texts of rows (sketches) that are SIMILARITY alike to another one.
+
+    At that similarity fingerprints differ in about ten bits, which no equality of blocks
+    finds. So texts meet by MinHash bands; the pivot distance table discards pairs by the
+    largest difference of any coordinate; the survivors are verified on their shingles.
+    """
+    fps = materialize(rows.groupBy("item").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("doc_id")), "similar-items")
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        at = materialize(fps.join(wanted, "item", "left_semi").select("item", F.col("doc_id").alias("_d")), "similar-wanted")
+        small = at.count() <= BROADCAST_ROWS
+        own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+
+        def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = [b" ".join(t.lower().split()) if t else b"" for t in batch.column(1).to_pylist()]
+                own = [xxhash.xxh64_intdigest(t, 7) - (1 << 63) == i for t, i in zip(texts, batch.column(0).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["item", "text"]).filter(pa.array(own, pa.bool_()))
+
+        held = own.join(F.broadcast(at) if small else at, F.col("doc_id") == F.col("_d")).select("item", "text")
+        return held.mapInArrow(normal, "item long, text binary").dropDuplicates(["item"])
+
+    def check(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        of = lambda end: fps.select(F.col("item").alias(end), F.col("fp").alias(f"fp_{end}"))
+        both = pairs.join(of("a"), "a").join(of("b"), "b")
+        apart = [
+            F.abs(F.bit_count(F.col("fp_a").bitwiseXOR(F.lit(p))) - F.bit_count(F.col("fp_b").bitwiseXOR(F.lit(p)))) for p in pivots().view(np.int64).tolist()
+        ]
+        survivors = both.where((F.greatest(*apart) <= FAR) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= FAR))
+        return verified(survivors.select("a", "b"), texts, shingles, SIMILARITY)
+
+    return classes(rows.select("item", "keys"), fetch, check)
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id; documents with a null doc_id stay. Shingles of five words."""
-    kept = cluster(docs.where(F.col("doc_id").isNotNull()), 5).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").select(docs.columns).unionAll(docs.where(F.col("doc_id").isNull()))
+    """One document of each group: the one with the smallest doc_id. Documents without a doc_id stay; of rows with the same doc_id and text one stays."""
+    own = docs.where(F.col("doc_id").isNotNull())
+    rows = materialize(sketches(own), "similar")
+    items = rows.groupBy("item").agg(F.min("doc_id").alias("first"))
+    roots = near_texts(own, rows).withColumnRenamed("node", "item")
+    rooted = materialize(items.join(roots, "item", "left").select("item", "first", F.coalesce("root", "item").alias("root")), "similar-roots")
+    least = rooted.groupBy("root").agg(F.min("first").alias("keep"))
+    keep = rooted.join(least, "root").select("item", "keep")
+    gone = materialize(rows.join(keep, "item").where("doc_id <> keep").select(F.col("doc_id").alias("_d")).distinct(), "similar-gone")
+    small = gone.count() <= BROADCAST_ROWS
+    left = own.join(F.broadcast(gone) if small else gone, F.col("doc_id").cast("long") == F.col("_d"), "left_anti")
+    twice = materialize(rows.groupBy("doc_id", "item").count().where("count > 1").select(F.col("doc_id").alias("_d")).distinct(), "similar-twice")
+    if not twice.isEmpty():
+        on = F.col("doc_id").cast("long") == F.col("_d")
+        left = left.join(twice, on, "left_anti").unionAll(left.join(twice, on, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return left.unionAll(docs.where(F.col("doc_id").isNull()))
