@@ -107,9 +107,8 @@ def spaced_peaks(peaks: DataFrame, key: str, index: str, value: str, distance: i
         swapped = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(p))
         return F.when(~near, F.concat(acc, F.array(p))).when(p["x"] > last["x"], swapped).otherwise(acc)
 
-    return peaks.sparkSession.createDataFrame([], peaks.schema).select(key, index, value).unionByName(
-        pairs.select(key, F.explode(F.aggregate("_p", none, step)).alias("_q")).select(key, F.col("_q.i").alias(index), F.col("_q.x").alias(value))
-    )
+    kept = pairs.select(key, F.explode(F.aggregate("_p", none, step)).alias("_q"))
+    return kept.select(key, F.col("_q.i").alias(index), F.col("_q.x").alias(value))
 
 
 def half_widths(df: DataFrame, peaks: DataFrame, key: str, index: str, value: str, reach: int) -> DataFrame:
