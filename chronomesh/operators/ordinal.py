@@ -65,7 +65,7 @@ def window_counts(codes: DataFrame, key: str, index: str, m: int, windows: list[
     last = F.floor((high - widest) / stride)
     rows = codes.withColumn("window", scales).withColumn("side", F.explode(F.array(F.lit("left"), F.lit("right"))))
     steps = F.when(last >= first, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<long>"))
-    placed = rows.withColumn("centre", F.explode(steps) * stride + widest)
+    placed = rows.withColumn("_step", F.explode(steps)).withColumn("centre", F.col("_step") * stride + widest)
     counts = placed.groupBy(key, "window", "side", "centre", "code").agg(F.count("*").alias("n"))
     return counts.join(sizes, key).where(F.col("centre") < F.col("n_samples") - widest).drop("n_samples")
 

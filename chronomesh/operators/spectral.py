@@ -161,7 +161,7 @@ def fit(points: DataFrame, states: int, steps: int, rate: float = 1e-2, variance
     m, v, losses = np.zeros_like(raw), np.zeros((2, *raw.shape)), []
     for t in range(1, steps + 1):
         loss, g, _ = distributed_gradient(points, raw, variance_weight)
-        losses.append(loss)
+        losses.append(float(loss))
         norm = np.sqrt((np.abs(g) ** 2).sum())
         g = g * min(1.0, clip / (norm + 1e-6))
         m = BETAS[0] * m + (1 - BETAS[0]) * g

@@ -1,0 +1,268 @@
+"""Queries of the domain operators: ordinal entropy, set partition, dimension estimates, spectra, task grids."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from chronomesh.functions.columns import half_even, total
+from chronomesh.operators import estimators as E
+from chronomesh.operators import ordinal as O
+from chronomesh.operators import partition as P
+from chronomesh.plans.carriers import LONG_SIGNAL, SPECTRUM, long_signal, points, spectrum, table
+from chronomesh.plans.registry import query
+
+H = half_even
+
+
+def _codes(m: int, value: str) -> str:
+    """SQL of the pattern codes of order m."""
+    leads = ", ".join(f"lead({value}, {k}) OVER w AS x{k}" for k in range(1, m))
+    terms = []
+    for j in range(m - 1):
+        inversions = " + ".join(f"(x{j} > x{k})::INT" for k in range(j + 1, m))
+        terms.append(f"({inversions}) * {math.factorial(m - 1 - j)}")
+    return f"""t AS (SELECT channel, i, {value} AS x0, {leads} FROM long_signal WINDOW w AS (PARTITION BY channel ORDER BY i)),
+codes AS (SELECT channel, i, {" + ".join(terms)} AS code FROM t WHERE x{m - 1} IS NOT NULL)"""
+
+
+def _features(m: int, value: str, window: int, stride: int) -> str:
+    """SQL of entropy and complexity on both sides of every centre."""
+    n, q0 = math.factorial(m), O.q0(math.factorial(m))
+    u = 1 / n
+    unseen = -0.5 * u * math.log2(0.5 * u + 1e-13)
+    return f"""WITH {LONG_SIGNAL}, {_codes(m, value)}, sizes AS (SELECT channel, max(i) + 1 AS n FROM long_signal GROUP BY 1),
+centres AS (SELECT channel, unnest(range({window}, n - {window}, {stride})) AS centre FROM sizes),
+counts AS (SELECT c.channel, c.centre, 'left' AS side, code, count(*) AS k FROM centres c JOIN codes o ON o.channel = c.channel AND o.i BETWEEN c.centre - {window} AND c.centre - {m} GROUP BY ALL
+  UNION ALL SELECT c.channel, c.centre, 'right', code, count(*) FROM centres c JOIN codes o ON o.channel = c.channel AND o.i BETWEEN c.centre AND c.centre + {window - m} GROUP BY ALL),
+p AS (SELECT channel, centre, side, k / {float(window - m + 1)}::DOUBLE AS p FROM counts),
+h AS (SELECT channel, centre, side, sum(-p * log2(p + 1e-13)) AS h, sum(-((p + {u}::DOUBLE) / 2) * log2((p + {u}::DOUBLE) / 2 + 1e-13)) + ({n} - count(*)) * {unseen}::DOUBLE AS mixed FROM p GROUP BY 1, 2, 3),
+e AS (SELECT channel, centre, side, h / {math.log2(n)}::DOUBLE AS pe, (mixed - h / 2 - {math.log2(n) / 2}::DOUBLE) * (h / {math.log2(n)}::DOUBLE) * {q0}::DOUBLE AS sc FROM h)
+SELECT channel, centre, round_even(max(CASE WHEN side = 'left' THEN pe END), 5) AS pe_left, round_even(max(CASE WHEN side = 'left' THEN sc END), 5) AS sc_left,
+  round_even(max(CASE WHEN side = 'right' THEN pe END), 5) AS pe_right, round_even(max(CASE WHEN side = 'right' THEN sc END), 5) AS sc_right FROM e GROUP BY 1, 2"""
+
+
+SIDES = ["channel", "centre", "pe_left", "sc_left", "pe_right", "sc_right"]
+
+
+@query("ec_06_features_m3", _features(3, "x", 40, 10))
+def ec_06(spark: SparkSession, sf: str) -> DataFrame:
+    return O.features(long_signal(spark, sf).select("channel", "i", "x"), "channel", "i", "x", [40], 10).select(*SIDES)
+
+
+@query("ec_06_features_m4", _features(4, "price", 130, 20))
+def ec_06b(spark: SparkSession, sf: str) -> DataFrame:
+    s = long_signal(spark, sf).select("channel", "i", F.col("price").alias("x"))
+    return O.features(s, "channel", "i", "x", [130], 20).select(*SIDES)
+
+
+@query("ec_08_multi_scale")
+def ec_08(spark: SparkSession, sf: str) -> DataFrame:
+    s = long_signal(spark, sf).select("channel", "i", F.col("price").alias("x"))
+    return O.features(s, "channel", "i", "x", [30, 60, 120, 200], 20)
+
+
+@query("ec_10_deltas", f"WITH f AS ({_features(3, 'x', 40, 10)}) SELECT channel, centre, round_even(abs(pe_left - pe_right), 6) AS d_pe, round_even(abs(sc_left - sc_right), 6) AS d_sc, round_even(abs(pe_left - pe_right) + abs(sc_left - sc_right), 6) AS delta_ec FROM f")
+def ec_10(spark: SparkSession, sf: str) -> DataFrame:
+    f = O.features(long_signal(spark, sf).select("channel", "i", "x"), "channel", "i", "x", [40], 10)
+    return f.select("channel", "centre", *[H(F.col(c)).alias(c) for c in ("d_pe", "d_sc", "delta_ec")])
+
+
+@query("ec_03_pattern_codes", f"WITH {LONG_SIGNAL}, {_codes(4, 'x')} SELECT channel, i, CAST(code AS BIGINT) AS code FROM codes")
+def ec_03(spark: SparkSession, sf: str) -> DataFrame:
+    return O.patterns(long_signal(spark, sf).select("channel", "i", "x"), "channel", "i", "x", 4)
+
+
+@query("ec_05_permutation_entropy", f"WITH {LONG_SIGNAL}, {_codes(3, 'x')}, c AS (SELECT channel, code, count(*) AS n FROM codes GROUP BY 1, 2), p AS (SELECT channel, n / sum(n) OVER (PARTITION BY channel) AS p FROM c) SELECT channel, round_even(-sum(p * log2(p + 1e-13)) / log2(6.0::DOUBLE), 6) AS pe FROM p GROUP BY 1")
+def ec_05(spark: SparkSession, sf: str) -> DataFrame:
+    counts = O.patterns(long_signal(spark, sf).select("channel", "i", "x"), "channel", "i", "x", 3).groupBy("channel", "code").agg(F.count("*").alias("n"))
+    return O.entropy_complexity(counts, ["channel"], 3).select("channel", H(F.col("pe")).alias("pe"))
+
+
+@query("ec_01_order_selection", "SELECT p_partkey, CAST(CASE WHEN w >= 3600 THEN 6 WHEN w >= 600 THEN 5 WHEN w >= 120 THEN 4 ELSE 3 END AS INTEGER) AS m FROM (SELECT p_partkey, p_size * 100 AS w FROM part)")
+def ec_01(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select("p_partkey", O.order_column(F.col("p_size") * 100).alias("m"))
+
+
+@query("ec_02_q0", "SELECT n, round_even(-2 / (((n + 1) / n) * log2(n + 1) + log2(n) - 2 * log2(2 * n)), 9) AS q0 FROM (VALUES (6.0::DOUBLE), (24.0), (120.0), (720.0)) t(n)")
+def ec_02(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(float(n), round(O.q0(n), 9)) for n in (6, 24, 120, 720)], "n double, q0 double")
+
+
+@query("ec_09_window_grid", "SELECT CAST(round_even((0.2::DOUBLE + k * 4.8::DOUBLE / 49) * 100, 0) AS BIGINT) AS w FROM range(50) r(k)")
+def ec_09(spark: SparkSession, sf: str) -> DataFrame:
+    seconds = [0.2 + k * 4.8 / 49 for k in range(50)]
+    return spark.createDataFrame([(w,) for w, _, _ in O.window_grid(100.0, seconds)], "w long")
+
+
+@query("ec_11_tags", "SELECT p_partkey, 'w_' || CASE WHEN s < 1 THEN printf('%.3f', s) ELSE printf('%.1f', s) END || 's_m' || 3 AS tag FROM (SELECT p_partkey, p_size / 7 AS s FROM part)")
+def ec_11(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select("p_partkey", O.tag(F.col("p_size") / 7, F.lit(3)).alias("tag"))
+
+
+@query("orm_04_tag_parse", r"SELECT p_partkey, CAST(regexp_extract(t, '^w_([0-9.]+)s_m([0-9]+)$', 1) AS DOUBLE) AS seconds, CAST(regexp_extract(t, '^w_([0-9.]+)s_m([0-9]+)$', 2) AS INTEGER) AS m FROM (SELECT p_partkey, 'w_' || printf('%.1f', p_size / 5) || 's_m' || (3 + p_size % 4) AS t FROM part)")
+def orm_04(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.concat(F.lit("w_"), F.format_string("%.1f", F.col("p_size") / 5), F.lit("s_m"), 3 + F.col("p_size") % 4)
+    seconds, m = O.parse_tag(F.col("t"))
+    return table(spark, sf, "part").select("p_partkey", t.alias("t")).select("p_partkey", seconds.alias("seconds"), m.alias("m"))
+
+
+@query("orm_06_displacement", "SELECT l_orderkey, l_linenumber, l_partkey, round_even(sqrt(l_discount * l_discount + l_tax * l_tax) * sqrt((l_quantity + 30 - 3 + 1) / 6), 6) AS v FROM lineitem")
+def orm_06(spark: SparkSession, sf: str) -> DataFrame:
+    v = O.displacement(F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") + 30, F.lit(3))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", H(v).alias("v"))
+
+
+@query("orm_03_complexity_ratio", f"SELECT l_orderkey, l_linenumber, l_partkey, round_even(l_tax / {O.largest_complexity(3)!r}::DOUBLE, 6) AS ratio FROM lineitem")
+def orm_03(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", H(F.col("l_tax") / O.largest_complexity(3)).alias("ratio"))
+
+
+@query("orm_07_trajectories", f"WITH {LONG_SIGNAL} SELECT channel, list(x ORDER BY i) AS v FROM long_signal WHERE i < 200 GROUP BY 1")
+def orm_07(spark: SparkSession, sf: str) -> DataFrame:
+    s = long_signal(spark, sf).where("i < 200").groupBy("channel").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s"))
+    return s.select("channel", F.transform("s", lambda p: p["x"]).alias("v"))
+
+
+@query("orm_08_energy", "SELECT vec_id AS id, round_even(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) AS energy FROM embeddings")
+def orm_08(spark: SparkSession, sf: str) -> DataFrame:
+    return points(spark, sf).select("id", H(P.energy(F.col("v"))).alias("energy"))
+
+
+ENERGY = "e AS (SELECT vec_id AS id, embedding AS v, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS e FROM embeddings), r AS (SELECT *, row_number() OVER (ORDER BY e, id) - 1 AS r, count(*) OVER () AS m FROM e)"
+CENTRES = f"{ENERGY}, c AS (SELECT CAST(k AS BIGINT) AS k, r.v AS c FROM range(10) q(k) JOIN r ON r.r = CAST(floor(k * (m - 1) / 9) AS BIGINT))"
+DISTANCES = f"""{CENTRES}, d AS (SELECT vec_id AS id, k, list_sum(list_transform(list_zip(embedding, c), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))) AS dist FROM embeddings, c),
+a AS (SELECT id, min_by(k, (dist, k)) AS k, min(dist) AS dist FROM d GROUP BY 1)"""
+
+
+@query("orm_09_initial_centres", f"WITH {CENTRES} SELECT k, round_even(CAST(c[1] AS DOUBLE), 6) AS first, round_even(CAST(c[64] AS DOUBLE), 6) AS last FROM c")
+def orm_09(spark: SparkSession, sf: str) -> DataFrame:
+    c = P.initial_centres(points(spark, sf), 10)
+    return c.select("k", H(F.element_at("centre", 1)).alias("first"), H(F.element_at("centre", -1)).alias("last"))
+
+
+@query("orm_11_assignment", f"WITH {DISTANCES} SELECT id, k, round_even(dist, 6) AS dist FROM a")
+def orm_11(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    return P.assign(p, P.initial_centres(p, 10)).select("id", "k", H(F.col("dist")).alias("dist"))
+
+
+@query("orm_12_functional", f"WITH {DISTANCES} SELECT round_even(sum(a.dist), 5) AS functional, round_even(1 - sum(a.dist) / (SELECT sum(e) FROM e), 6) AS r2, count(DISTINCT k) AS cells FROM a")
+def orm_12(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    a = P.assign(p, P.initial_centres(p, 10))
+    j, e = F.sum("dist"), F.sum(P.energy(F.col("v")))
+    return a.agg(H(j, 5).alias("functional"), H(1 - j / e).alias("r2"), F.countDistinct("k").alias("cells"))
+
+
+@query("orm_14_farthest", f"WITH {DISTANCES} SELECT id, round_even(dist, 6) AS dist FROM a ORDER BY a.dist DESC, id LIMIT 5")
+def orm_14(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    return P.assign(p, P.initial_centres(p, 10)).orderBy(F.desc("dist"), "id").limit(5).select("id", H(F.col("dist")).alias("dist"))
+
+
+@query("orm_17_canonical_order", "WITH c AS (SELECT CAST(label AS BIGINT) AS k, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2), e AS (SELECT k, sum(x * x) AS e FROM c GROUP BY 1) SELECT k, row_number() OVER (ORDER BY e, k) - 1 AS name FROM e")
+def orm_17(spark: SparkSession, sf: str) -> DataFrame:
+    return P.canonical(P.means(points(spark, sf).select("v", F.col("label").cast("long").alias("k")))).select("k", "name")
+
+
+@query("orm_18_partition")
+def orm_18(spark: SparkSession, sf: str) -> DataFrame:
+    return P.partition(points(spark, sf), 8)[0]
+
+
+@query("orm_19_sweep")
+def orm_19(spark: SparkSession, sf: str) -> DataFrame:
+    return P.sweep(points(spark, sf), [4, 8])
+
+
+@query("qc_22_threshold", f"WITH {SPECTRUM} SELECT id, len(list_filter(ev, lambda x: x > 0.5)) AS d FROM spectrum")
+def qc_22(spark: SparkSession, sf: str) -> DataFrame:
+    return spectrum(spark, sf).select("id", E.threshold_dimension(F.col("ev")).alias("d"))
+
+
+@query("qc_23_ratio_gap", f"WITH {SPECTRUM}, q AS (SELECT id, ev, list_transform(range(1, len(ev)), lambda i: ev[i] / (ev[i + 1] + {E.TINY!r}::DOUBLE)) AS q FROM spectrum) SELECT id, CASE WHEN ev[1] > 10 * {E.TINY!r}::DOUBLE THEN CAST(list_position(q, list_max(q)) AS BIGINT) ELSE 0 END AS d FROM q")
+def qc_23(spark: SparkSession, sf: str) -> DataFrame:
+    return spectrum(spark, sf).select("id", E.ratio_gap_dimension(F.col("ev")).alias("d"))
+
+
+@query("qc_24_noise_threshold", f"WITH {SPECTRUM}, s AS (SELECT id, list_transform(ev, lambda x: sqrt(x)) AS s FROM spectrum), m AS (SELECT id, s, list_sort(s[33:64]) AS b FROM s) SELECT id, len(list_filter(s, lambda x: x > (b[16] + b[17]) / 2 * {E.hard_threshold(64 / 306) / E.noise_median(64 / 306)!r}::DOUBLE)) AS d FROM m")
+def qc_24(spark: SparkSession, sf: str) -> DataFrame:
+    return spectrum(spark, sf).select("id", E.noise_dimension(F.col("ev"), 64, 306).alias("d"))
+
+
+@query("qc_27_participation", f"WITH {SPECTRUM} SELECT id, round_even(pow(list_sum(ev), 2) / (list_sum(list_transform(ev, lambda x: x * x)) + 1e-12), 6) AS pr FROM spectrum")
+def qc_27(spark: SparkSession, sf: str) -> DataFrame:
+    return spectrum(spark, sf).select("id", H(E.participation_ratio(F.col("ev"))).alias("pr"))
+
+
+@query("qc_21_rank_bound", f"WITH {SPECTRUM} SELECT id, len(list_filter(ev, lambda x: x > 1e-5)) > 46 AS broken FROM spectrum")
+def qc_21(spark: SparkSession, sf: str) -> DataFrame:
+    return spectrum(spark, sf).select("id", E.rank_bound_broken(F.col("ev"), 24).alias("broken"))
+
+
+@query("qc_15_residual", "SELECT a.vec_id AS id, round_even(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE))))), 6) AS residual FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def qc_15(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    near = p.select((F.col("id") - 1).alias("id"), F.col("v").alias("y"))
+    return p.join(near, "id").select("id", H(F.sqrt(P.squared_distance(F.col("v"), F.col("y")))).alias("residual"))
+
+
+@query("qc_02_takens_vectors", "WITH e AS (SELECT vec_id, CAST(label AS BIGINT) AS label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, embedding[1:3] AS v FROM embeddings), t AS (SELECT label, i, list_concat(list_concat(v, lag(v, 2) OVER w), lag(v, 4) OVER w) AS v FROM e WINDOW w AS (PARTITION BY label ORDER BY i)) SELECT label, i, list_transform(v, lambda x: CAST(x AS DOUBLE)) AS v FROM t WHERE i >= 4")
+def qc_02(spark: SparkSession, sf: str) -> DataFrame:
+    from chronomesh.operators.joins import takens
+
+    i = F.row_number().over(Window.partitionBy("label").orderBy("id")) - 1
+    p = points(spark, sf).select(F.col("label").cast("long").alias("label"), i.cast("long").alias("i"), F.slice("v", 1, 3).alias("v"))
+    return takens(p, "label", "i", "v", 3, 2)
+
+
+def _features_of(spark: SparkSession, sf: str, size: int) -> DataFrame:
+    return points(spark, sf).select("id", F.slice("v", 1, size).alias("features"))
+
+
+@query("qc_34_spectra")
+def qc_34(spark: SparkSession, sf: str) -> DataFrame:
+    from chronomesh.operators import spectral
+
+    out = spectral.spectra(_features_of(spark, sf, 8), spectral.initial_operators(8, 6, 42))
+    return out.select("id", "eigenvalues", "metric_trace", "residual", "local_variance", "ground_eigenvalue", "first_gap", E.ratio_gap_dimension(F.col("eigenvalues")).alias("d"))
+
+
+@query("qc_19_trace_identity")
+def qc_19(spark: SparkSession, sf: str) -> DataFrame:
+    from chronomesh.operators import spectral
+
+    out = spectral.spectra(_features_of(spark, sf, 8), spectral.initial_operators(8, 6, 42))
+    return out.select("id", (F.abs(total(F.col("eigenvalues")) - F.col("metric_trace")) <= 1e-6 * F.col("metric_trace")).alias("holds"))
+
+
+@query("qc_31_training")
+def qc_31(spark: SparkSession, sf: str) -> DataFrame:
+    from chronomesh.operators import spectral
+
+    losses = spectral.fit(_features_of(spark, sf, 3), 4, 5)[1]
+    return spark.createDataFrame(list(enumerate(losses)), "step int, loss double")
+
+
+@query("src_18_manifolds")
+def src_18(spark: SparkSession, sf: str) -> DataFrame:
+    from chronomesh.sources.signals import manifold
+
+    out = None
+    for kind in ("sphere", "torus", "swiss_roll", "s_curve", "circle", "figure_eight"):
+        rows = manifold(spark, kind, 500).select(F.lit(kind).alias("kind"), "id", "features")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("orc_05_task_grid", """WITH g AS (SELECT n, m, k FROM unnest([8, 24, 48, 80]) a(n), unnest([1, 2, 4, 6]) b(m), range(3) c(k) UNION ALL SELECT n, 6, 0 FROM unnest([24, 48]) a(n)), d AS (SELECT DISTINCT n, m, CAST(k AS INTEGER) AS k FROM g),
+c AS (SELECT *, 3000.0::DOUBLE * m * n * n / (6 * 48 * 48) AS cost FROM d) SELECT n, m, k, round_even(cost, 6) AS cost, (row_number() OVER (ORDER BY cost DESC, n, m, k) - 1) % 7 AS grp FROM c""")
+def orc_05(spark: SparkSession, sf: str) -> DataFrame:
+    from chronomesh.operators.tasks import cost, grid, grouped
+
+    rows = grid(spark, {"n": [8, 24, 48, 80], "m": [1, 2, 4, 6], "k": [0, 1, 2]}).unionByName(grid(spark, {"n": [24, 48], "m": [6], "k": [0]})).distinct()
+    rows = grouped(rows.withColumn("cost", cost(F.lit(40_000), F.col("m"), F.col("n"))), 7, ["n", "m", "k"])
+    return rows.select("n", "m", "k", H(F.col("cost")).alias("cost"), "grp")

@@ -16,19 +16,19 @@ from chronomesh.plans.registry import query
 H = C.half_even
 
 
-@query("agg_01_roi_summary", f"WITH {MEMBERS} SELECT mode, roi, count(*) AS n, count(DISTINCT channel) AS channels, round_even(avg(dist), 4) AS mean_dist FROM members GROUP BY 1, 2")
+@query("agg_01_roi_summary", f"WITH {MEMBERS} SELECT mode, roi, count(*) AS n, count(DISTINCT channel) AS channels, round_even(avg(dist), 7) AS mean_dist FROM members GROUP BY 1, 2")
 def agg_01(spark: SparkSession, sf: str) -> DataFrame:
-    return members(spark, sf).groupBy("mode", "roi").agg(F.count("*").alias("n"), F.countDistinct("channel").alias("channels"), H(F.avg("dist"), 4).alias("mean_dist"))
+    return members(spark, sf).groupBy("mode", "roi").agg(F.count("*").alias("n"), F.countDistinct("channel").alias("channels"), H(F.avg("dist"), 7).alias("mean_dist"))
 
 
-@query("agg_02_channel_summary", f"WITH {MEMBERS} SELECT mode, roi, channel, count(*) AS n, min(dist) AS low, round_even(avg(dist), 4) AS mean_dist FROM members GROUP BY 1, 2, 3")
+@query("agg_02_channel_summary", f"WITH {MEMBERS} SELECT mode, roi, channel, count(*) AS n, min(dist) AS low, round_even(avg(dist), 7) AS mean_dist FROM members GROUP BY 1, 2, 3")
 def agg_02(spark: SparkSession, sf: str) -> DataFrame:
-    return members(spark, sf).groupBy("mode", "roi", "channel").agg(F.count("*").alias("n"), F.min("dist").alias("low"), H(F.avg("dist"), 4).alias("mean_dist"))
+    return members(spark, sf).groupBy("mode", "roi", "channel").agg(F.count("*").alias("n"), F.min("dist").alias("low"), H(F.avg("dist"), 7).alias("mean_dist"))
 
 
-@query("agg_03_scale_summary", f"WITH {MEMBERS} SELECT mode, scale, count(*) AS n, count(DISTINCT roi) AS rois, round_even(avg(dist), 4) AS mean_dist FROM members GROUP BY 1, 2")
+@query("agg_03_scale_summary", f"WITH {MEMBERS} SELECT mode, scale, count(*) AS n, count(DISTINCT roi) AS rois, round_even(avg(dist), 7) AS mean_dist FROM members GROUP BY 1, 2")
 def agg_03(spark: SparkSession, sf: str) -> DataFrame:
-    return members(spark, sf).groupBy("mode", "scale").agg(F.count("*").alias("n"), F.countDistinct("roi").alias("rois"), H(F.avg("dist"), 4).alias("mean_dist"))
+    return members(spark, sf).groupBy("mode", "scale").agg(F.count("*").alias("n"), F.countDistinct("roi").alias("rois"), H(F.avg("dist"), 7).alias("mean_dist"))
 
 
 @query("agg_04_value_shares", "SELECT event_type, count(*) AS n, round_even(count(*) / sum(count(*)) OVER (), 6) AS share FROM events GROUP BY 1")
