@@ -98,12 +98,13 @@ def spectra(points: DataFrame, operators: np.ndarray, batch: int = 256) -> DataF
     return ready.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<double>").alias("features")).mapInArrow(run, SPECTRUM)
 
 
-def loss_and_gradient(x: np.ndarray, raw: np.ndarray, variance_weight: float) -> tuple[float, np.ndarray]:
+def loss_and_gradient(x: np.ndarray, raw: np.ndarray, variance_weight: float, soften: float = 1.0) -> tuple[float, np.ndarray]:
     """Sums over the batch of the loss and its gradient in the real and imaginary parts of raw.
 
     First-order perturbation: a change dH moves the ground state by
     -sum_n |n><n|dH|0> / gap_n, so with g the gradient in the state, the gradient in H is
-    the Hermitian part of -(sum_n |n><n|g> / gap_n) <0|.
+    the Hermitian part of -(sum_n |n><n|g> / gap_n) <0|. Small gaps are softened: 1 / gap
+    becomes gap / (gap^2 + width^2), with width the range of energies over states^2.
     """
     d, n, _ = raw.shape
     a = hermitian(raw)
@@ -112,7 +113,7 @@ def loss_and_gradient(x: np.ndarray, raw: np.ndarray, variance_weight: float) ->
     psi, excited = states[:, :, 0], states[:, :, 1:]
     y = expectations(psi, a)
     gaps = energy[:, 1:] - energy[:, :1]
-    width = (energy[:, -1:] - energy[:, :1]) / n**2
+    width = soften * (energy[:, -1:] - energy[:, :1]) / n**2
     resolvent = gaps / (gaps**2 + width**2)
     variance = 2 * np.einsum("bn,nm,bm->b", psi.conj(), k, psi).real - (y**2).sum(1)
     on = (variance > 0).astype(float) * variance_weight

@@ -10,9 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(channel, i, x, state, us): every user's events in order of time."""
+def signal(spark: SparkSession, sf_dir: str, channel: int | None = None) -> DataFrame:
+    """(channel, i, x, state, us): every user's events in order of time, or one user's, for which the filter reaches the scan."""
     e = table(spark, sf_dir, "events")
+    if channel is not None:
+        e = e.where(F.col("user_id") == channel)
     i = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     return e.select(F.col("user_id").alias("channel"), i.cast("long").alias("i"), F.col("value").alias("x"), F.col("event_type").alias("state"), us.alias("us"), "event_id")

@@ -15,8 +15,7 @@ H = C.half_even
 
 @query("src_03_single_channel", f"WITH {SIGNAL} SELECT channel, i, x FROM signal WHERE channel = 7")
 def src_03(spark: SparkSession, sf: str) -> DataFrame:
-    # the filter stands on the partitioning key, so it reaches the scan
-    return signal(spark, sf).where("channel = 7").select("channel", "i", "x")
+    return signal(spark, sf, 7).select("channel", "i", "x")
 
 
 @query("src_05_channel_resolution", """WITH p AS (SELECT c_nationkey AS session, c_name AS name, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 WHEN 'FURNITURE' THEN 3 ELSE 4 END AS prio, c_custkey FROM customer)
