@@ -79,8 +79,9 @@ class Chunks(dict):
             return [t.id for t in self.model.tokenize(chunk.lower().decode())]
         text = chunk.decode(errors="replace")
         if text.isalpha() and max(text) < "\u0250" and is_normalized("NFC", text):
-            lowered = "".join(c.lower() for c in text)
-            return [t.id for t in self.model.tokenize("".join(self.letter[b] for b in lowered.encode()))]
+            lowered = "".join(c.lower() for c in text)  # one by one: a sigma at a word's end is like any other
+            if lowered.isalpha():
+                return [t.id for t in self.model.tokenize("".join(self.letter[b] for b in lowered.encode()))]
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
 
