@@ -266,3 +266,61 @@ def orc_05(spark: SparkSession, sf: str) -> DataFrame:
     rows = grid(spark, {"n": [8, 24, 48, 80], "m": [1, 2, 4, 6], "k": [0, 1, 2]}).unionByName(grid(spark, {"n": [24, 48], "m": [6], "k": [0]})).distinct()
     rows = grouped(rows.withColumn("cost", cost(F.lit(40_000), F.col("m"), F.col("n"))), 7, ["n", "m", "k"])
     return rows.select("n", "m", "k", H(F.col("cost")).alias("cost"), "grp")
+
+
+DIMENSION = f"{SPECTRUM}, q AS (SELECT id, ev, list_transform(range(1, len(ev)), lambda i: ev[i] / (ev[i + 1] + {E.TINY!r}::DOUBLE)) AS q FROM spectrum), dims AS (SELECT id, CASE WHEN ev[1] > 10 * {E.TINY!r}::DOUBLE THEN CAST(list_position(q, list_max(q)) AS BIGINT) ELSE 0 END AS d FROM q)"
+
+
+@query("qc_35_event_related_dimension", f"WITH {DIMENSION}, b AS (SELECT min(id) AS lo, max(id) AS hi FROM dims), ep AS (SELECT s.id - e.id AS o, s.d FROM dims e CROSS JOIN b JOIN dims s ON s.id BETWEEN e.id - 3 AND e.id + 3 WHERE e.id % 10 = 0 AND e.id - 3 >= lo AND e.id + 3 <= hi) SELECT CAST(o AS INTEGER) AS o, round_even(avg(d), 6) AS mean, round_even(stddev_samp(d) / sqrt(count(*)), 6) AS sem, count(*) AS n FROM ep GROUP BY 1")
+def qc_35(spark: SparkSession, sf: str) -> DataFrame:
+    from chronomesh.operators.aggregates import event_related
+    from chronomesh.operators.joins import epochs
+
+    dims = spectrum(spark, sf).select(F.lit(1).alias("channel"), F.col("id").alias("i"), E.ratio_gap_dimension(F.col("ev")).alias("d"))
+    events = dims.where("i % 10 = 0").select("channel", F.col("i").alias("centre"))
+    rows = event_related(epochs(dims, events, "channel", "i", "centre", 3, 3).withColumnRenamed("offset", "o"), ["o"], "d")
+    return rows.select("o", H(F.col("mean")).alias("mean"), H(F.col("sem")).alias("sem"), "n")
+
+
+@query("qc_37_comparison_frames", f"WITH {DIMENSION}, c AS (SELECT 'even' AS grp, id, d FROM dims WHERE id % 2 = 0 UNION ALL SELECT 'odd', id, d FROM dims WHERE id % 2 = 1), n AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY id) - 1 AS r, greatest(1, count(*) OVER (PARTITION BY grp) // 100) AS step FROM c) SELECT grp, d, count(*) AS n FROM n WHERE r % step = 0 GROUP BY 1, 2")
+def qc_37(spark: SparkSession, sf: str) -> DataFrame:
+    dims = spectrum(spark, sf).select("id", E.ratio_gap_dimension(F.col("ev")).alias("d"))
+    both = dims.where("id % 2 = 0").withColumn("grp", F.lit("even")).unionByName(dims.where("id % 2 = 1").withColumn("grp", F.lit("odd")))
+    r = F.row_number().over(Window.partitionBy("grp").orderBy("id")) - 1
+    step = F.greatest(F.lit(1).cast("long"), F.floor(F.count("*").over(Window.partitionBy("grp")) / 100))
+    return both.withColumns({"r": r, "step": step}).where("r % step = 0").groupBy("grp", "d").agg(F.count("*").alias("n"))
+
+
+@query("orm_20_anatomy", f"WITH {LONG_SIGNAL}, c AS (SELECT channel, i, price, sum(price * price) OVER (PARTITION BY channel ORDER BY i) / sum(price * price) OVER (PARTITION BY channel) AS share FROM long_signal), t AS (SELECT channel, (share + lag(share) OVER (PARTITION BY channel ORDER BY i)) / 2 AS a FROM c), g AS (SELECT channel, avg(a) AS area FROM t GROUP BY 1), q AS (SELECT channel, quantile_cont(price, 0.5::DOUBLE) AS q50, quantile_cont(price, 0.99::DOUBLE) AS q99, max(price) AS top FROM long_signal GROUP BY 1) SELECT channel, round_even(q50, 5) AS q50, round_even(q99, 5) AS q99, top, round_even(greatest(0, least(1, 1 - 2 * least(area, 1 - area))), 6) AS localisation FROM q JOIN g USING (channel)")
+def orm_20(spark: SparkSession, sf: str) -> DataFrame:
+    from chronomesh.operators.aggregates import energy_localisation
+    from chronomesh.operators.sequences import cumulative_energy
+
+    s = long_signal(spark, sf).select("channel", "i", "price")
+    q = s.groupBy("channel").agg(H(F.percentile("price", F.lit(0.5)), 5).alias("q50"), H(F.percentile("price", F.lit(0.99)), 5).alias("q99"), F.max("price").alias("top"))
+    g = energy_localisation(cumulative_energy(s, "channel", "i", "price"), "channel", "i")
+    return q.join(g, "channel").withColumn("localisation", H(F.col("localisation")))
+
+
+@query("orm_21_stimulus_correlation")
+def orm_21(spark: SparkSession, sf: str) -> DataFrame:
+    """Per channel: the trimmed, smoothed signal against bumps at its large samples, at the lags 0 to 8, and the lag of the peak."""
+    from chronomesh.operators.aggregates import correlation, first_best
+    from chronomesh.operators.filters import bumps, smoothed
+    from chronomesh.operators.joins import lagged
+
+    s = long_signal(spark, sf).select("channel", "i", "x")
+    s = s.join(s.groupBy("channel").agg(F.max("i").alias("m")), "channel").where("i <= m - 50").drop("m")
+    regressor = bumps(s.where("x >= 49"), s, "channel", "i", "i", 2.0)
+    met = lagged(smoothed(s, "channel", "i", "x", 11), regressor, "channel", "i", 0, 8)
+    r = correlation(met, ["channel", "lag"], "x", "regressor")
+    best = first_best(r, ["channel"], "lag", "r", "lag").withColumnsRenamed({"lag": "peak_lag", "r": "peak"})
+    return best.join(r.where("lag = 0").select("channel", F.col("r").alias("zero_lag")), "channel")
+
+
+@query("orc_06_costs", "SELECT p_partkey, round_even(3000.0::DOUBLE * (40000.0::DOUBLE * (1 + p_size % 6) * p_size * p_size) / (40000.0::DOUBLE * 6 * 48 * 48), 6) AS cost FROM part")
+def orc_06(spark: SparkSession, sf: str) -> DataFrame:
+    from chronomesh.operators.tasks import cost
+
+    size = F.col("p_size").cast("double")
+    return table(spark, sf, "part").select("p_partkey", H(cost(F.lit(40_000.0), 1 + F.col("p_size") % 6, size)).alias("cost"))
