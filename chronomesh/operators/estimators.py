@@ -30,14 +30,19 @@ def ratio_gap_dimension(ev: Column, tiny: float = TINY) -> Column:
 
 
 @cache
-def noise_median(beta: float, grid: int = 8192) -> float:
-    """Median singular value of pure noise of unit deviation at aspect beta (Marchenko-Pastur), by summing the density on a grid."""
+def noise_median(beta: float, steps: int = 20_000) -> float:
+    """Median singular value of pure noise of unit deviation at aspect beta (Marchenko-Pastur).
+
+    With eigenvalues written as 1 + beta - 2 sqrt(beta) cos(t), t from 0 to pi, the density in
+    t is 2 sin(t)^2 / (pi * eigenvalue), which is smooth; its half-way point is interpolated.
+    """
     beta = min(1.0, max(1e-3, beta))
-    low, high = 1 - math.sqrt(beta), 1 + math.sqrt(beta)
-    s = np.linspace(low + 1e-12, high - 1e-12, grid)
-    density = np.sqrt(np.clip((high**2 - s**2) * (s**2 - low**2), 0, None)) / s
-    mass = np.cumsum(density)
-    return float(s[min(grid - 1, int(np.searchsorted(mass, mass[-1] / 2)))]) if mass[-1] > 0 else 1.0
+    t = np.linspace(0.0, math.pi, steps + 1)[1:]
+    eigenvalue = 1 + beta - 2 * math.sqrt(beta) * np.cos(t)
+    density = np.sin(t) ** 2 / eigenvalue
+    mass = np.cumsum((density + np.concatenate([[0.0], density[:-1]])) / 2)
+    middle = np.interp(mass[-1] / 2, mass, t)
+    return math.sqrt(1 + beta - 2 * math.sqrt(beta) * math.cos(middle))
 
 
 def hard_threshold(beta: float) -> float:
