@@ -2,9 +2,10 @@
 
 Items come as (item, keys): a 64-bit identity and the band keys of its min-hashes. Items
 with a common key share a bucket. Each is checked against the bucket's smallest item; after
-a first union-find, items of one bucket that are still in different components are checked
-against each other. So of every two items in a bucket the link is checked or implied, and
-a bucket of copies costs one check for each.
+a first union-find, the items of buckets that are still in different components go through
+an exact similarity join with prefix filter. So of every two items in a bucket the link is
+checked, implied or ruled out; a bucket of copies costs one check for each, and one of
+items that only share a passage costs next to none.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from chronomesh.llm.components import components
 #: Two items of similarity 0.8 miss each other in all bands once in 500 pairs.
 BANDS, ROWS = 12, 4
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(f"band {i}", 1) & 0xFFFFFFFF | 1 for i in range(BANDS * ROWS)], np.uint32)
+#: Cells of the frequency sketch.
+SKETCH = 1 << 18
 ADDENDS = np.array([xxhash.xxh64_intdigest(f"band {i}", 2) & 0xFFFFFFFF for i in range(BANDS * ROWS)], np.uint32)
 
 
@@ -42,7 +45,21 @@ def keys_of(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable[[bytes], set], similarity: float) -> DataFrame:
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in ascending order; the array given is used up."""
+    values.sort()
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two arrays of distinct values."""
+    both = np.concatenate([a, b])
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common / max(1, len(both) - common)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable[[bytes], np.ndarray], similarity: float) -> DataFrame:
     """Those of pairs (a, b) whose texts (item, text) have a Jaccard similarity of at least that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,9 +69,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable[[bytes], set
             for text_a, text_b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if text_a != last:
                     last, own = text_a, shingles(text_a)
-                other = shingles(text_b)
-                both = len(own & other)
-                keep.append(both >= similarity * (len(own) + len(other) - both))
+                keep.append(similarity_of(own, shingles(text_b)) >= similarity)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     text = lambda end: texts.select(F.col("item").alias(end), F.col("text").alias(f"text_{end}"))
@@ -62,11 +77,72 @@ def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable[[bytes], set
     return both.mapInArrow(run, "a long, b long")
 
 
-def classes(table: DataFrame, fetch: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+def sketch(texts: DataFrame, shingles: Callable[[bytes], np.ndarray]) -> np.ndarray:
+    """How often shingles of texts fall into each of SKETCH cells; a table of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(n, cells(shingles(text)), 1)
+        cell = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n[cell])], ["cell", "n"])
+
+    counts = np.zeros(SKETCH, np.int64)
+    rows = texts.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    return counts
+
+
+def cells(shingles: np.ndarray) -> np.ndarray:
+    return (shingles * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - SKETCH.bit_length())
+
+
+def rare_pairs(items: DataFrame, texts: DataFrame, shingles: Callable[[bytes], np.ndarray], similarity: float) -> DataFrame:
+    """All pairs (a, b) of items (item, root) with different roots that may be that similar, by prefix filter.
+
+    Shingles have one order for all items, about from rare to frequent. Of n shingles, two
+    sets that similar must share one among the first n - ceil(similarity * n) + 1 of each,
+    at places that leave room for the overlap needed. What is frequent (a passage that many
+    items hold) stands at the end and makes no pairs.
+    """
+    own = materialize(items.join(texts, "item"), "rare-items")
+    counts = own.sparkSession.sparkContext.broadcast(sketch(own, shingles))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, root, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h = shingles(text)
+                often = counts.value[cells(h)]
+                n = len(h)
+                first = np.lexsort((h, often))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+                place = np.flatnonzero(often[first] > 1)  # what is there once has no partner
+                at = first[place]
+                arrays = [pa.array(h[at].view(np.int64)), pa.array(np.full(len(at), item)), pa.array(np.full(len(at), root)), pa.array(place), pa.array(np.full(len(at), n))]
+                yield pa.RecordBatch.from_arrays(arrays, ["shingle", "item", "root", "place", "n"])
+
+    rows = own.select("item", "root", "text").mapInArrow(run, "shingle long, item long, root long, place long, n long")
+    rows = materialize(rows, "rare-shingles")
+    a, b = (rows.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("item", "root", "place", "n")]) for x in "ab")
+    needed = similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b"))
+    room = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) - 1
+    fits = (F.col("item_a") < F.col("item_b")) & (F.col("root_a") != F.col("root_b")) & (room >= needed - 1e-6)
+    fits = fits & (F.col("n_a") >= similarity * F.col("n_b") - 1e-6) & (F.col("n_b") >= similarity * F.col("n_a") - 1e-6)
+    return a.join(b, (a["shingle"] == b["shingle"]) & fits).select(F.col("item_a").alias("a"), F.col("item_b").alias("b")).distinct()
+
+
+def classes(
+    table: DataFrame,
+    fetch: Callable[[DataFrame], DataFrame],
+    shingles: Callable[[bytes], np.ndarray],
+    similarity: float,
+    discard: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
+) -> DataFrame:
     """(node, root) for the items that are linked to another one.
 
-    table: (item, keys). fetch: the texts (item, text) of given items. check: those of
-    given pairs (a, b) that are links, with the texts at hand.
+    table: (item, keys). fetch: the texts (item, text) of given items. shingles: those of a
+    text, as distinct 64-bit numbers. discard: leaves out pairs (a, b) that can't be links,
+    before texts are compared.
     """
     bucket = Window.partitionBy("key")
     met = (
@@ -78,13 +154,11 @@ def classes(table: DataFrame, fetch: Callable[[DataFrame], DataFrame], check: Ca
     )
     met = materialize(met, "buckets")
     texts = materialize(fetch(met.select("item").distinct()), "bucket-texts")
-    pairs = met.where("item <> rep").select(F.col("rep").alias("a"), F.col("item").alias("b")).distinct()
-    edges = materialize(check(materialize(pairs, "bucket-pairs"), texts), "bucket-edges")
+    check = lambda pairs: materialize(verified(discard(materialize(pairs, "bucket-pairs")), texts, shingles, similarity), "bucket-edges")
+    edges = check(met.where("item <> rep").select(F.col("rep").alias("a"), F.col("item").alias("b")).distinct())
     # what the smallest items didn't link: members of one bucket, neither its smallest, in different components
     first = components(edges).withColumnRenamed("node", "item")
     member = met.where("item <> rep").join(first, "item", "left").select("key", "item", F.coalesce("root", "item").alias("root"))
     split = member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    left = materialize(member.join(split, "key"), "buckets-left")
-    other = left.select("key", F.col("item").alias("b"), F.col("root").alias("root_b"))
-    more = left.withColumnRenamed("item", "a").join(other, "key").where("a < b AND root <> root_b").select("a", "b").distinct()
-    return components(edges.unionAll(check(materialize(more, "bucket-pairs-left"), texts)))
+    left = materialize(member.join(split, "key").select("item", "root").distinct(), "buckets-left")
+    return components(edges.unionAll(check(rare_pairs(left, texts, shingles, similarity))))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronomesh.llm.buckets import BANDS, classes, keys_of, verified
+from chronomesh.llm.buckets import BANDS, classes, distinct, keys_of
 from chronomesh.llm.common import materialize, read
 from chronomesh.llm.components import components, forest
 
@@ -221,7 +221,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 texts = part.column(1).to_pylist()
                 normal = [b" ".join(t.lower().split()) if t else b"" for t in texts]
                 items = [xxhash.xxh64_intdigest(t, 7) - (1 << 63) for t in normal]
-                h = [np.fromiter((hash32(s) for s in shingles(t)), np.uint32) for t in normal]
+                h = [(shingles(t) >> np.uint64(32)).astype(np.uint32) for t in normal]
                 begin = np.cumsum([0, *map(len, h)])[:-1]
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * BANDS), pa.array(keys_of(np.concatenate(h), begin).ravel()))
                 arrays = [part.column(0), pa.array(items, pa.int64()), pa.array(fingerprints_of(texts, n).view(np.int64)), keys]
@@ -231,17 +231,12 @@ def sketches(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, item long, fp long, keys array<long>")
 
 
-def hash32(shingle: bytes) -> int:
-    return xxhash.xxh32_intdigest(shingle)
-
-
-def shingles(text: bytes) -> set[bytes]:
-    """Shingles of STAGE_SHINGLE words of a text in normal form; a shorter text is one shingle."""
-    words = text.split(b" ")
+def shingles(text: bytes) -> np.ndarray:
+    """64-bit hashes of the distinct shingles of STAGE_SHINGLE words of a text in normal form; a shorter text is one shingle."""
     n = STAGE_SHINGLE
-    if len(words) <= n:
-        return {text}
-    return {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
+    ends = [*accumulate(map(len, text.split(b" ")), lambda a, b: a + b + 1)]
+    parts = [text[a:b] for a, b in zip([0, *[e + 1 for e in ends[:-n]]], ends[n - 1 :], strict=True)] if len(ends) > n else [text]
+    return distinct(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts)))
 
 
 def near_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -267,16 +262,15 @@ def near_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
         held = own.join(F.broadcast(at) if small else at, F.col("doc_id") == F.col("_d")).select("item", "text")
         return held.mapInArrow(normal, "item long, text binary").dropDuplicates(["item"])
 
-    def check(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    def discard(pairs: DataFrame) -> DataFrame:
         of = lambda end: fps.select(F.col("item").alias(end), F.col("fp").alias(f"fp_{end}"))
         both = pairs.join(of("a"), "a").join(of("b"), "b")
         apart = [
             F.abs(F.bit_count(F.col("fp_a").bitwiseXOR(F.lit(p))) - F.bit_count(F.col("fp_b").bitwiseXOR(F.lit(p)))) for p in pivots().view(np.int64).tolist()
         ]
-        survivors = both.where((F.greatest(*apart) <= FAR) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= FAR))
-        return verified(survivors.select("a", "b"), texts, shingles, SIMILARITY)
+        return both.where((F.greatest(*apart) <= FAR) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= FAR)).select("a", "b")
 
-    return classes(rows.select("item", "keys"), fetch, check)
+    return classes(rows.select("item", "keys"), fetch, shingles, SIMILARITY, discard)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
