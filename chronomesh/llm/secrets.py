@@ -21,7 +21,6 @@ scanned each on its own; an empty table gives no rows; other columns are ignored
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -202,8 +201,3 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined("base"), 256).alias("base_sha256"),
         joined("spans").alias("spans"),
     )
-
-
-def digest(spans: list[tuple[int, int, str]]) -> str:
-    """What op6 returns for fixed spans; for callers outside Spark."""
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in spans).encode()).hexdigest()
