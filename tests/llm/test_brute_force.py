@@ -358,3 +358,16 @@ def test_toxicity_held_out(spark, tmp_path):
     held = [r for r in rows if r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     assert sum(r.predicted == int(r.doc_id % 4 == 0) for r in held) >= 0.95 * len(held)
+
+
+def test_passages_alike_over_a_gap():
+    rng = np.random.default_rng(12)
+    number = lambda n: rng.integers(0, 1 << 32, n).astype("<u4")
+    left, right, own = number(41), number(41), number(14)
+    a, b = np.concatenate([number(60), left, own, right, number(60)]), np.concatenate([number(30), left, number(4), right, number(90)])
+    a[60 + 96 + 9] = left[0]  # a stray match
+    assert [(x[:4], round(x[4], 2)) for x in passages.alike(a, b)] == [((60, 156, 30, 116), 0.82)]
+    # scattered changes, and a passage that is 0.8 alike in no part of 46 shingles
+    a, b = np.concatenate([number(50), left[:31], number(15), right[:31], number(50)]), np.concatenate([left[:31], right[:31]])
+    assert [x[:4] for x in passages.alike(a, b)] == [(50, 127, 0, 62)]
+    assert passages.alike(np.concatenate([left, number(40), right]), np.concatenate([left, right])) == []
