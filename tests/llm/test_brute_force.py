@@ -371,3 +371,31 @@ def test_passages_alike_over_a_gap():
     a, b = np.concatenate([number(50), left[:31], number(15), right[:31], number(50)]), np.concatenate([left[:31], right[:31]])
     assert [x[:4] for x in passages.alike(a, b)] == [(50, 127, 0, 62)]
     assert passages.alike(np.concatenate([left, number(40), right]), np.concatenate([left, right])) == []
+
+
+def recall_of_passages(spark, longest, changes, seed):
+    """(similarity, found) of planted pairs, each a passage of 50 to `longest` words and its copy with up to `changes` words replaced, 0.8 to 0.9 alike."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    sets = lambda w: {tuple(w[i : i + passages.SHINGLE]) for i in range(len(w) - passages.SHINGLE + 1)}
+    texts, planted = [], []
+    while len(planted) < 400:
+        one = [word() for _ in range(rng.randint(50, longest))]
+        other = list(one)
+        for at in rng.sample(range(len(one)), rng.randint(1, changes)):
+            other[at] = word()
+        x, y = sets(one), sets(other)
+        similarity = len(x & y) / len(x | y)
+        inner = all(u == v for u, v in zip(one[:5] + one[-5:], other[:5] + other[-5:], strict=True))
+        if 0.8 <= similarity < 0.9 and inner:  # with a change at its end, the part that is alike could be shorter than 50 words
+            planted.append(similarity)
+            for part in (one, other):
+                texts.append([word() for _ in range(40)] + part + [word() for _ in range(40)])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.twin_id) for r in passages.passages(docs).collect()}
+    return [(s, (2 * i + 1, 2 * i) in got) for i, s in enumerate(planted)]
+
+
+def test_passages_recall(spark):
+    found = [f for _, f in recall_of_passages(spark, 50, 1, 21)]
+    assert all(found)  # with four hash functions 2 of 400 are missed
