@@ -399,3 +399,17 @@ def recall_of_passages(spark, longest, changes, seed):
 def test_passages_recall(spark):
     found = [f for _, f in recall_of_passages(spark, 50, 1, 21)]
     assert all(found)  # with four hash functions 2 of 400 are missed
+
+
+def test_passages_of_families_on_one_template(spark):
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    template = [word() for _ in range(36)]
+    families = [[word() for _ in range(18)] for _ in range(9)]
+    texts = []
+    for own in [*families[:5], *(f for f in families[5:] for _ in range(6))]:  # five alone, then four families of six, each on the template
+        texts.append([word() for _ in range(70)] + own[:9] + template + own[9:] + [word() for _ in range(70)])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = passages.passages(docs).collect()
+    assert {r.doc_id for r in rows} == {i for i in range(5, len(texts)) if (i - 5) % 6}
+    assert all((r.doc_id - 5) // 6 == (r.twin_id - 5) // 6 and r.twin_id >= 5 for r in rows)
