@@ -136,13 +136,11 @@ def classes(
     fetch: Callable[[DataFrame], DataFrame],
     shingles: Callable[[bytes], np.ndarray],
     similarity: float,
-    discard: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
 ) -> DataFrame:
     """(node, root) for the items that are linked to another one.
 
     table: (item, keys). fetch: the texts (item, text) of given items. shingles: those of a
-    text, as distinct 64-bit numbers. discard: leaves out pairs (a, b) that can't be links,
-    before texts are compared.
+    text, as distinct 64-bit numbers.
     """
     bucket = Window.partitionBy("key")
     met = (
@@ -154,7 +152,7 @@ def classes(
     )
     met = materialize(met, "buckets")
     texts = materialize(fetch(met.select("item").distinct()), "bucket-texts")
-    check = lambda pairs: materialize(verified(discard(materialize(pairs, "bucket-pairs")), texts, shingles, similarity), "bucket-edges")
+    check = lambda pairs: materialize(verified(materialize(pairs, "bucket-pairs"), texts, shingles, similarity), "bucket-edges")
     edges = check(met.where("item <> rep").select(F.col("rep").alias("a"), F.col("item").alias("b")).distinct())
     # what the smallest items didn't link: members of one bucket, neither its smallest, in different components
     first = components(edges).withColumnRenamed("node", "item")

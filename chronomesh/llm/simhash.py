@@ -205,14 +205,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: For the stage: words in a shingle, and the similarity from which two documents are near-duplicates.
 STAGE_SHINGLE, SIMILARITY = 5, 0.8
-#: No two texts that similar differ in more bits than this, but for chance: about 10 are expected, with a deviation of 3.
-FAR = 26
 BROADCAST_ROWS = 200_000
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, item, fp, keys): item is a hash of the text's words, keys are its MinHash bands over shingles of STAGE_SHINGLE words."""
-    n = STAGE_SHINGLE
+    """(doc_id, item, keys): item is a hash of the text's words, keys are its MinHash bands over shingles of STAGE_SHINGLE words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,11 +221,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                 h = [(shingles(t) >> np.uint64(32)).astype(np.uint32) for t in normal]
                 begin = np.cumsum([0, *map(len, h)])[:-1]
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * BANDS), pa.array(keys_of(np.concatenate(h), begin).ravel()))
-                arrays = [part.column(0), pa.array(items, pa.int64()), pa.array(fingerprints_of(texts, n).view(np.int64)), keys]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item", "fp", "keys"])
+                arrays = [part.column(0), pa.array(items, pa.int64()), keys]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item", "keys"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return own.mapInArrow(run, "doc_id long, item long, fp long, keys array<long>")
+    return own.mapInArrow(run, "doc_id long, item long, keys array<long>")
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -243,13 +240,12 @@ def near_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, root) for the texts of rows (sketches) that are SIMILARITY alike to another one.
 
     At that similarity fingerprints differ in about ten bits, which no equality of blocks
-    finds. So texts meet by MinHash bands; the pivot distance table discards pairs by the
-    largest difference of any coordinate; the survivors are verified on their shingles.
+    finds. So texts meet by MinHash bands, and all that meet are verified on their shingles.
     """
-    fps = materialize(rows.groupBy("item").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("doc_id")), "similar-items")
+    places = materialize(rows.groupBy("item").agg(F.min("doc_id").alias("doc_id")), "similar-items")
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        at = materialize(fps.join(wanted, "item", "left_semi").select("item", F.col("doc_id").alias("_d")), "similar-wanted")
+        at = materialize(places.join(wanted, "item", "left_semi").select("item", F.col("doc_id").alias("_d")), "similar-wanted")
         small = at.count() <= BROADCAST_ROWS
         own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
@@ -262,15 +258,7 @@ def near_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
         held = own.join(F.broadcast(at) if small else at, F.col("doc_id") == F.col("_d")).select("item", "text")
         return held.mapInArrow(normal, "item long, text binary").dropDuplicates(["item"])
 
-    def discard(pairs: DataFrame) -> DataFrame:
-        of = lambda end: fps.select(F.col("item").alias(end), F.col("fp").alias(f"fp_{end}"))
-        both = pairs.join(of("a"), "a").join(of("b"), "b")
-        apart = [
-            F.abs(F.bit_count(F.col("fp_a").bitwiseXOR(F.lit(p))) - F.bit_count(F.col("fp_b").bitwiseXOR(F.lit(p)))) for p in pivots().view(np.int64).tolist()
-        ]
-        return both.where((F.greatest(*apart) <= FAR) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= FAR)).select("a", "b")
-
-    return classes(rows.select("item", "keys"), fetch, shingles, SIMILARITY, discard)
+    return classes(rows.select("item", "keys"), fetch, shingles, SIMILARITY)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -413,3 +413,14 @@ def test_passages_of_families_on_one_template(spark):
     rows = passages.passages(docs).collect()
     assert {r.doc_id for r in rows} == {i for i in range(5, len(texts)) if (i - 5) % 6}
     assert all((r.doc_id - 5) // 6 == (r.twin_id - 5) // 6 and r.twin_id >= 5 for r in rows)
+
+
+def test_near_dedup_of_a_repeated_phrase(spark):
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    texts = []
+    for _ in range(20):  # the copy repeats a phrase of four words, which adds few distinct shingles
+        words, phrase = [word() for _ in range(304)], [word() for _ in range(4)]
+        texts += [" ".join(words), " ".join(words[:150] + 20 * phrase + words[150:])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.stage(spark, docs, "").collect()} == set(range(0, 40, 2))
