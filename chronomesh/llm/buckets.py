@@ -2,8 +2,8 @@
 
 Items come as (item, keys): a 64-bit identity and the band keys of its min-hashes. Items
 with a common key share a bucket. Each is checked against the bucket's smallest item; after
-a first union-find, the items of buckets that are still in different components go through
-an exact similarity join with prefix filter. So of every two items in a bucket the link is
+a first union-find, buckets whose items are still in different components check all pairs
+where they are small, and go through an exact similarity join with prefix filter otherwise. So of every two items in a bucket the link is
 checked, implied or ruled out; a bucket of copies costs one check for each, and one of
 items that only share a passage costs next to none.
 """
@@ -24,6 +24,8 @@ from chronomesh.llm.components import components
 #: Two items of similarity 0.8 miss each other in all bands once in 500 pairs.
 BANDS, ROWS = 12, 4
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(f"band {i}", 1) & 0xFFFFFFFF | 1 for i in range(BANDS * ROWS)], np.uint32)
+#: Open items of a bucket up to which all its pairs are checked; those of larger buckets go through the prefix filter.
+FEW = 32
 #: Cells of the frequency sketch.
 SKETCH = 1 << 18
 ADDENDS = np.array([xxhash.xxh64_intdigest(f"band {i}", 2) & 0xFFFFFFFF for i in range(BANDS * ROWS)], np.uint32)
@@ -157,6 +159,10 @@ def classes(
     # what the smallest items didn't link: members of one bucket, neither its smallest, in different components
     first = components(edges).withColumnRenamed("node", "item")
     member = met.where("item <> rep").join(first, "item", "left").select("key", "item", F.coalesce("root", "item").alias("root"))
-    split = member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    left = materialize(member.join(split, "key").select("item", "root").distinct(), "buckets-left")
-    return components(edges.unionAll(check(rare_pairs(left, texts, shingles, similarity))))
+    split = member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
+    open_ = materialize(member.join(split.select("key", "n"), "key"), "buckets-open")
+    few = open_.where(F.col("n") <= FEW)
+    a, b = (few.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("item", "root")]) for x in "ab")
+    all_pairs = a.join(b, "key").where("item_a < item_b AND root_a <> root_b").select(F.col("item_a").alias("a"), F.col("item_b").alias("b")).distinct()
+    left = materialize(open_.where(F.col("n") > FEW).select("item", "root").distinct(), "buckets-left")
+    return components(edges.unionAll(check(all_pairs)).unionAll(check(rare_pairs(left, texts, shingles, similarity))))

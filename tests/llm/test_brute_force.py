@@ -424,3 +424,28 @@ def test_near_dedup_of_a_repeated_phrase(spark):
         texts += [" ".join(words), " ".join(words[:150] + 20 * phrase + words[150:])]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in simhash.stage(spark, docs, "").collect()} == set(range(0, 40, 2))
+
+
+def test_lines_with_small_edits(spark):
+    rng = random.Random(51)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöß") for _ in range(n))
+    texts, linked = [], []
+    for i in range(60):
+        line = word(3)
+        size = rng.randint(30, 80)
+        while len(line) < size:
+            line += " " + word(rng.randint(3, 8))
+        if i % 2:  # one inner character
+            at = rng.randrange(10, len(line) - 10)
+            other = line[:at] + "Q" + line[at + 1 :]
+        else:  # one word
+            words = line.split()
+            words[len(words) // 2] = word(len(words[len(words) // 2]))
+            other = " ".join(words)
+        grams = [{x[j : j + 5] for j in range(len(x) - 4)} for x in (line, other)]
+        texts += [line, other]
+        linked.append(len(grams[0] & grams[1]) >= 0.8 * len(grams[0] | grams[1]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id: r.kept for r in lines.dedup_lines(docs).collect()}
+    assert sum(linked) > 10 and all(kept[2 * i] for i in range(60))
+    assert [not kept[2 * i + 1] for i in range(60)] == linked
