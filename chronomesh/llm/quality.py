@@ -4,7 +4,7 @@ Every n-gram of a text (its words, and the endings of neighbouring words) is has
 into a fixed number of buckets. Two multinomials are counted over the buckets: one over
 all documents (raw), one over documents labelled as good (target). A document's score is
 the mean of log(p_target / p_raw) over its n-grams, so its length does not matter. The
-threshold is a low quantile of the scores of labelled good documents that took no part in
+threshold is a low quantile of the scores of all labelled good documents that took no part in
 the counts, so it is the same for every document and for every run.
 
 All of it is DataFrame functions. Texts are never shuffled: scoring happens in the row,
@@ -24,9 +24,12 @@ from pyspark.sql import functions as F
 from chronomesh.llm.common import SPACE, free_name, let, materialize, read, words
 
 BUCKETS = 1 << 16
-#: Labelled good documents that the target multinomial is fitted on, and those that set the threshold: the first by hash of doc_id.
+#: Labelled good documents that the target multinomial is fitted on: the first by hash of doc_id.
 FIT_ROWS = 20_000
-HELD_ROWS = 5_000
+#: Held-out ids that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+#: Ranks of the threshold's quantile are right to one in this many of the held-out documents.
+ACCURACY = 1_000_000
 #: Share of unseen trusted documents that the threshold may lose, and the margin below that quantile.
 LOSS = 0.002
 MARGIN = 0.05
@@ -130,33 +133,29 @@ def score(gram_buckets: Column, weight: Column) -> Column:
     return F.when(F.size(gram_buckets) > 0, total / F.size(gram_buckets)).otherwise(F.lit(0.0))
 
 
-def trusted(labels: DataFrame, held: bool, rows: int) -> DataFrame:
-    """At most `rows` ids of labelled good documents, split in two by hash: those the target is fitted on and those held out."""
+def trusted(labels: DataFrame, held: bool, rows: int | None = None) -> DataFrame:
+    """Ids of labelled good documents, at most `rows` if given, split in two by hash: those the target is fitted on and those held out."""
     fold = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)) == 0
-    return (
-        labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & (fold if held else ~fold))
-        .select("doc_id")
-        .distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
-    )
+    ids = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & (fold if held else ~fold)).select("doc_id").distinct()
+    return ids if rows is None else ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
 def fit(corpus: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(weights, threshold), each one row with one column; the counts cover all of corpus."""
     spark = corpus.sparkSession
     ids = materialize(trusted(labels, False, FIT_ROWS), "quality-fit")
-    held = materialize(trusted(labels, True, HELD_ROWS), "quality-held")
+    held = materialize(trusted(labels, True), "quality-held")
+    small = held.count() <= BROADCAST_ROWS
     raw = counts(corpus.select("text"), BUCKETS, "raw")
     target = counts(corpus.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi"), BUCKETS, "target")
     table = materialize(weights(spark, raw, target, BUCKETS), "quality-weights")
     sample = (
         corpus.select("doc_id", "text")
-        .join(F.broadcast(held), "doc_id", "left_semi")
+        .join(F.broadcast(held) if small else held, "doc_id", "left_semi")
         .withColumn("_weights", table.scalar())
         .select(let(grams(F.col("text"), BUCKETS), lambda g: score(g, F.col("_weights"))).alias("llr"))
     )
-    return table, materialize(sample.agg((F.percentile("llr", F.lit(LOSS)) - F.lit(MARGIN)).alias("threshold")), "quality-threshold")
+    return table, materialize(sample.agg((F.percentile_approx("llr", LOSS, ACCURACY) - F.lit(MARGIN)).alias("threshold")), "quality-threshold")
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:

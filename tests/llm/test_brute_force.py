@@ -449,3 +449,16 @@ def test_lines_with_small_edits(spark):
     kept = {r.doc_id: r.kept for r in lines.dedup_lines(docs).collect()}
     assert sum(linked) > 10 and all(kept[2 * i] for i in range(60))
     assert [not kept[2 * i + 1] for i in range(60)] == linked
+
+
+def test_quality_threshold_over_all_held_out(spark):
+    rng = random.Random(61)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = [(i, " ".join(rng.choice(vocabulary) for _ in range(20))) for i in range(32_000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(32_000)], "doc_id long, quality int, toxic int")
+    rows = quality.judge(docs, labels).select("llr", "threshold", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)) == 0).alias("held")).collect()
+    scores = sorted(r.llr for r in rows if r.held)
+    assert len(scores) > 6_000
+    at = int(np.ceil(quality.LOSS * len(scores))) - 1
+    assert any(rows[0].threshold + quality.MARGIN == pytest.approx(s, abs=1e-12) for s in scores[at - 1 : at + 2])
