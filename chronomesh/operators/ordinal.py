@@ -1,19 +1,22 @@
 """Ordinal-pattern entropy and statistical complexity over many window scales.
 
 A pattern of order m is the ranking of m neighbouring samples; of equal samples the earlier
-ranks first. A window's pattern counts are gathered by sending each pattern to the centres
-whose window holds it and counting there, so it is one aggregation with partial sums in
-each task for any number of scales, and no channel is ordered in one task.
+ranks first. For many scales, channels are cut into chunks that overlap by the widest window;
+in a chunk, patterns are counted once between the places where any window begins or ends,
+and running sums of these counts give every window's counts as a difference. So a sample
+makes one row, or few near a chunk's edge, however many windows hold it.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronomesh.operators.sequences import framed
+from chronomesh.operators.sequences import framed, haloed
 
 EPSILON = 1e-13
 ORDERS = (6, 5, 4, 3)
@@ -54,22 +57,6 @@ def patterns(df: DataFrame, key: str, index: str, value: str, m: int, lag: int =
     return rows.where(F.col("_last").isNotNull()).select(key, index, "code")
 
 
-def window_counts(codes: DataFrame, key: str, index: str, m: int, windows: list[int], stride: int, sizes: DataFrame) -> DataFrame:
-    """(key, window, side, centre, code, n) for centres on the stride that all windows fit around. sizes: (key, n_samples)."""
-    widest = max(windows)
-    scales = F.explode(F.array(*[F.lit(w).cast("long") for w in windows]))
-    # a pattern at i is in the left window of the centres i+m .. i+W and in the right one of i-W+m .. i
-    low = F.when(F.col("side") == "left", F.col(index) + m).otherwise(F.col(index) - F.col("window") + m)
-    high = F.when(F.col("side") == "left", F.col(index) + F.col("window")).otherwise(F.col(index))
-    first = F.greatest(F.ceil((low - widest) / stride), F.lit(0).cast("long"))
-    last = F.floor((high - widest) / stride)
-    rows = codes.withColumn("window", scales).withColumn("side", F.explode(F.array(F.lit("left"), F.lit("right"))))
-    steps = F.when(last >= first, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<long>"))
-    placed = rows.withColumn("_step", F.explode(steps)).withColumn("centre", F.col("_step") * stride + widest)
-    counts = placed.groupBy(key, "window", "side", "centre", "code").agg(F.count("*").alias("n"))
-    return counts.join(sizes, key).where(F.col("centre") < F.col("n_samples") - widest).drop("n_samples")
-
-
 def entropy_complexity(counts: DataFrame, keys: list[str], m: int) -> DataFrame:
     """Normalised permutation entropy and complexity from pattern counts n; patterns not seen count in the mixed entropy."""
     states = math.factorial(m)
@@ -90,22 +77,76 @@ def window_grid(rate: float, seconds: list[float]) -> list[tuple[int, float, int
     return [(w, s, order_for(w)) for s in seconds for w in [round(s * rate)]]
 
 
-def features(df: DataFrame, key: str, index: str, value: str, windows: list[int], stride: int) -> DataFrame:
-    """(key, window, m, centre, pe and sc of both sides, their absolute changes and delta_ec), rounded half to even at 5 decimals."""
-    sizes = df.groupBy(key).agg((F.max(index) + 1).alias("n_samples"))
-    out = None
-    by_order: dict[int, list[int]] = {}
+def codes_of(x: np.ndarray, m: int) -> np.ndarray:
+    """Numbers of the patterns that start at each sample, as `pattern_code` gives them."""
+    n = len(x) - m + 1
+    parts = [x[k : n + k] for k in range(m)]
+    code = np.zeros(max(n, 0), np.int64)
+    for j in range(m - 1):
+        for k in range(j + 1, m):
+            code += (parts[j] > parts[k]) * math.factorial(m - 1 - j)
+    return code
+
+
+def entropies(counts: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pe, sc) of each row of pattern counts."""
+    n = math.factorial(m)
+    p = counts / counts.sum(axis=1, keepdims=True)
+    h = lambda x: (-x * np.log2(x + EPSILON)).sum(axis=1)
+    plain, mixed = h(p), h((p + 1 / n) / 2)
+    pe = plain / math.log2(n)
+    return pe, (mixed - plain / 2 - math.log2(n) / 2) * pe * q0(n)
+
+
+def chunk_features(x: np.ndarray, start: int, first: int, stop: int, windows: list[int], stride: int) -> list[tuple]:
+    """(window, m, centre, pe_left, sc_left, pe_right, sc_right) for the centres in [first, stop), as arrays. x: the samples from start on."""
+    widest = max(windows)
+    least = max(first, widest)
+    centres = np.arange(widest + -(-(least - widest) // stride) * stride, min(stop, start + len(x) - widest), stride)
+    if not len(centres):
+        return []
+    out, by_order = [], {}
     for w in windows:
         by_order.setdefault(order_for(w), []).append(w)
-    widest = max(windows)
     for m, own in sorted(by_order.items()):
-        # all orders share the widest window, so their centres are the same
-        counts = window_counts(patterns(df, key, index, value, m), key, index, m, [*own, *([widest] if widest not in own else [])], stride, sizes)
-        both = entropy_complexity(counts.where(F.col("window").isin(own)), [key, "window", "side", "centre"], m)
-        side = lambda s: F.max(F.when(F.col("side") == s[0], F.bround(s[1], 5)))
-        wide = both.groupBy(key, "window", "centre").agg(*[side((s, c)).alias(f"{c}_{s}") for s in ("left", "right") for c in ("pe", "sc")])
-        wide = wide.withColumn("m", F.lit(m))
-        out = wide if out is None else out.unionByName(wide)
+        # patterns [c - W, c - m] lie in the left window, [c, c + W - m] in the right one
+        ends = {w: [centres - w, centres - m + 1, centres, centres + w - m + 1] for w in own}
+        places = np.unique(np.concatenate([e for w in own for e in ends[w]]))
+        code = codes_of(x, m)
+        between = np.searchsorted(places, start + np.arange(len(code)), side="right")
+        n = math.factorial(m)
+        before = np.cumsum(np.bincount(between * n + code, minlength=(len(places) + 1) * n).reshape(-1, n), axis=0)
+        for w in own:
+            at = [before[np.searchsorted(places, e)] for e in ends[w]]
+            sides = [*entropies(at[1] - at[0], m), *entropies(at[3] - at[2], m)]
+            out.append((np.full(len(centres), w), np.full(len(centres), m), centres, *sides))
+    return out
+
+
+#: Samples of a channel whose centres one call works on.
+SPAN = 1 << 15
+
+
+def features(df: DataFrame, key: str, index: str, value: str, windows: list[int], stride: int) -> DataFrame:
+    """(key, window, m, centre, pe and sc of both sides, their absolute changes and delta_ec), rounded half to even at 5 decimals."""
+    widest = max(windows)
+    kind = dict(df.dtypes)[key]
+    names = [key, "window", "m", "centre", "pe_left", "sc_left", "pe_right", "sc_right"]
+    rows = haloed(df.select(F.col(key), F.col(index).cast("long").alias("_i"), F.col(value).cast("double").alias("_x")), "_i", widest, widest, SPAN)
+
+    def run(keys: tuple, part: pa.Table) -> pa.Table:
+        i = part.column("_i").to_numpy()
+        order = np.argsort(i)
+        i, x, chunk = i[order], part.column("_x").to_numpy()[order], keys[1].as_py()
+        found = chunk_features(x, int(i[0]), chunk * SPAN, (chunk + 1) * SPAN, windows, stride)
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0)] * 7
+        kinds = [pa.int64(), pa.int32(), pa.int64()] + [pa.float64()] * 4
+        own = [pa.array(c).cast(k) for c, k in zip(columns, kinds, strict=True)]
+        return pa.table([pa.array([keys[0].as_py()] * len(columns[0]), keys[0].type), *own], names)
+
+    schema = f"{key} {kind}, window long, m int, centre long, pe_left double, sc_left double, pe_right double, sc_right double"
+    out = rows.select(key, "_chunk", "_i", "_x").groupBy(key, "_chunk").applyInArrow(run, schema)
+    out = out.withColumns({c: F.bround(c, 5) for c in names[4:]})
     d_pe, d_sc = F.abs(F.col("pe_left") - F.col("pe_right")), F.abs(F.col("sc_left") - F.col("sc_right"))
     return out.withColumns({"d_pe": d_pe, "d_sc": d_sc, "delta_ec": d_pe + d_sc})
 
@@ -123,8 +164,6 @@ def parse_tag(name: Column) -> tuple[Column, Column]:
 
 def largest_complexity(m: int, points: int = 2000) -> float:
     """Largest complexity of the distributions in which one state has p and the others share the rest, p on a grid."""
-    import numpy as np
-
     n = math.factorial(m)
     p = np.linspace(1 / n, 1 - 1e-12, points)
     rest = (1 - p) / (n - 1)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronomesh.functions.columns import total
+from chronomesh.operators.ranks import ranked
 from chronomesh.sources.shared import materialize
 
 MAX_STEPS, TOLERANCE = 400, 1e-5
@@ -23,10 +24,11 @@ def initial_centres(objects: DataFrame, k: int) -> DataFrame:
     """(k, centre): objects at evenly spaced places of the order by energy, places cut to whole numbers."""
     m = objects.count()
     places = sorted({int(j * (m - 1) / (k - 1)) if k > 1 else 0 for j in range(k)})
-    ranked = objects.select("id", "v", energy(F.col("v")).alias("e")).select("v", (F.row_number().over(Window.orderBy("e", "id")) - 1).alias("r"))
+    order = ranked(objects.select("id", energy(F.col("v")).alias("e")), [F.col("e"), F.col("id")], "place").select("id", (F.col("place") - 1).cast("int").alias("r"))
     numbers = {r: j for j, r in enumerate(places)}
     number = F.element_at(F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair]), F.col("r"))
-    return ranked.where(F.col("r").isin(places)).select(number.cast("long").alias("k"), F.col("v").alias("centre"))
+    chosen = order.where(F.col("r").isin(places)).select("id", number.cast("long").alias("k"))  # as many rows as centres
+    return objects.join(F.broadcast(chosen), "id").select("k", F.col("v").alias("centre"))
 
 
 def assign(objects: DataFrame, centres: DataFrame) -> DataFrame:

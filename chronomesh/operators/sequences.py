@@ -9,9 +9,14 @@ and offset by the sums of the chunks before.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronomesh.sources.shared import materialize
+
 #: Samples of a channel that one task orders together.
 CHUNK = 1 << 20
 
@@ -62,16 +67,22 @@ def runs(df: DataFrame, key: str, index: str, labels: list[str]) -> DataFrame:
 def refractory(df: DataFrame, key: str, time: str, gap: int) -> DataFrame:
     """Events at least `gap` after the last accepted one of their key: (key, time).
 
-    A fold over the key's events; events further than `gap` from their predecessor are
-    always accepted, so the fold runs over bursts between such gaps, not over whole keys.
+    A sweep over each key's events in order, which carries the last accepted time only.
     """
-    w = Window.partitionBy(key).orderBy(time)
-    rows = df.select(key, time).withColumn("_free", (F.col(time) - F.lag(time).over(w) >= gap).cast("long"))
-    bursts = rows.withColumn("_burst", F.sum(F.coalesce("_free", F.lit(0))).over(w.rangeBetween(Window.unboundedPreceding, 0)))
-    times = bursts.groupBy(key, "_burst").agg(F.array_sort(F.collect_list(time)).alias("_t"))
-    none = F.array().cast(f"array<{dict(df.dtypes)[time]}>")
-    keep = F.aggregate("_t", none, lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= gap), F.concat(acc, F.array(t))).otherwise(acc))
-    return times.select(key, F.explode(keep).alias(time))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, last = None, None
+        for batch in batches:
+            accepted = []
+            keys, times = (c.to_pylist() for c in batch.columns)
+            for n, (k, t) in enumerate(zip(keys, times, strict=True)):
+                if last is None or k != of or t - last >= gap:
+                    of, last = k, t
+                    accepted.append(n)
+            yield batch.take(pa.array(accepted, pa.int64()))
+
+    rows = df.select(key, time).where(F.col(time).isNotNull())
+    return rows.repartition(key).sortWithinPartitions(key, time).mapInArrow(run, rows.schema)
 
 
 def clock(df: DataFrame, key: str, order: str, rt: Column, start: float, lead: float, tail: float) -> DataFrame:
@@ -97,34 +108,61 @@ def local_maxima(df: DataFrame, key: str, index: str, value: str, threshold: flo
 
 
 def spaced_peaks(peaks: DataFrame, key: str, index: str, value: str, distance: int) -> DataFrame:
-    """Peaks at least `distance` apart, taken in order; one too near the last kept replaces it if it is taller."""
-    pairs = peaks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(value).alias("x")))).alias("_p"))
-    none = F.slice("_p", 1, 0)
-
-    def step(acc: Column, p: Column) -> Column:
-        last = F.element_at(acc, -1)
-        near = (F.size(acc) > 0) & (p["i"] - last["i"] < distance)
-        swapped = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(p))
-        return F.when(~near, F.concat(acc, F.array(p))).when(p["x"] > last["x"], swapped).otherwise(acc)
-
-    kept = pairs.select(key, F.explode(F.aggregate("_p", none, step)).alias("_q"))
-    return kept.select(key, F.col("_q.i").alias(index), F.col("_q.x").alias(value))
-
-
-def half_widths(df: DataFrame, peaks: DataFrame, key: str, index: str, value: str, reach: int) -> DataFrame:
-    """rise, decay and width of each peak (key, index, value) at half its height, within `reach` samples; the record's edge is the fallback."""
-    sides = peaks.select(key, F.col(index).alias("peak"), (F.col(value) / 2).alias("half"))
-    near = sides.withColumn(index, F.explode(F.sequence(F.col("peak") - reach, F.col("peak") + reach)))
-    met = near.join(df.select(key, index, value), [key, index])
-    low = F.col(value) <= F.col("half")
-    at = met.groupBy(key, "peak").agg(
-        F.max(F.when(low & (F.col(index) < F.col("peak")), F.col(index))).alias("_l"),
-        F.min(F.when(low & (F.col(index) > F.col("peak")), F.col(index))).alias("_r"),
-        F.min(index).alias("_a"),
-        F.max(index).alias("_b"),
-    )
-    rise, decay = F.col("peak") - F.coalesce("_l", "_a"), F.coalesce("_r", "_b") - F.col("peak")
-    return at.select(key, F.col("peak").alias(index), rise.alias("rise"), decay.alias("decay"), (rise + decay).alias("width"))
+    """Peaks at least `distance` apart, taken in order; one too near the last kept replaces it if it is taller.
+
+    A sweep over each key's peaks in order, which carries the last kept one only.
+    """
+    rows = peaks.select(key, index, value)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, kind = None, None
+        for batch in batches:
+            done = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held is None or row[0] != held[0] or row[1] - held[1] >= distance:
+                    if held is not None:
+                        done.append(held)
+                    held = row
+                elif row[2] > held[2]:
+                    held = row
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], f.type) for i, f in enumerate(batch.schema)], schema=batch.schema)
+            kind = batch.schema
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held[i]], f.type) for i, f in enumerate(kind)], schema=kind)
+
+    return rows.repartition(key).sortWithinPartitions(key, index).mapInArrow(run, rows.schema)
+
+
+def half_widths(df: DataFrame, peaks: DataFrame, key: str, index: str, value: str, pedestal: Column, reach: int = 64) -> DataFrame:
+    """rise, decay, width and asymmetry (rise over decay, 1 without decay) of each peak at half its height above the pedestal.
+
+    pedestal: a column of peaks. A side ends at the nearest sample not above half height, or
+    at the record's edge. Peaks are looked at `reach` samples around; those with an open side
+    again with eight times the reach, and so on, so a peak costs about its own width.
+    """
+    samples = df.select(key, index, value)
+    ends = samples.groupBy(key).agg(F.min(index).alias("_first"), F.max(index).alias("_end"))
+    half = (pedestal + 0.5 * (F.col(value) - pedestal)).alias("half")
+    open_ = materialize(peaks.select(key, F.col(index).alias("peak"), half).join(ends, key), "peaks-open")
+    out = None
+    while out is None or not open_.isEmpty():
+        low, high = F.greatest("_first", F.col("peak") - reach), F.least("_end", F.col("peak") + reach)
+        near = open_.withColumn(index, F.explode(F.sequence(low, high))).join(samples, [key, index])
+        under = F.col(value) <= F.col("half")
+        at = near.groupBy(key, "peak", "half", "_first", "_end").agg(
+            F.max(F.when(under & (F.col(index) <= F.col("peak")), F.col(index))).alias("_l"),
+            F.min(F.when(under & (F.col(index) >= F.col("peak")), F.col(index))).alias("_r"),
+        )
+        left = F.when(F.col("peak") - reach <= F.col("_first"), F.coalesce("_l", "_first")).otherwise(F.col("_l"))
+        right = F.when(F.col("peak") + reach >= F.col("_end"), F.coalesce("_r", "_end")).otherwise(F.col("_r"))
+        at = materialize(at.withColumns({"_l": left, "_r": right}), "peaks-met")
+        found = at.where("_l IS NOT NULL AND _r IS NOT NULL").select(key, "peak", "_l", "_r")
+        out = found if out is None else out.unionAll(found)
+        open_ = at.where("_l IS NULL OR _r IS NULL").select(*open_.columns)
+        reach *= 8
+    rise, decay = F.col("peak") - F.col("_l"), F.col("_r") - F.col("peak")
+    asymmetry = F.when(decay == 0, F.lit(1.0)).otherwise(rise / decay)
+    return out.select(key, F.col("peak").alias(index), rise.alias("rise"), decay.alias("decay"), (rise + decay).alias("width"), asymmetry.alias("asymmetry"))
 
 
 def ecdf(df: DataFrame, key: str, value: str, tie: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronomesh.operators.ranks import ranked
+
 #: Cost of the task (steps, delays, states) that others are scaled to, in seconds. Fixed values.
 UNIT_COST, UNIT = 3000.0, (40_000, 6, 48)
 
@@ -25,5 +27,5 @@ def cost(steps: Column, delays: Column, states: Column) -> Column:
 
 def grouped(tasks: DataFrame, groups: int, order: list[str]) -> DataFrame:
     """tasks with grp: dealt out in turn, dearest first."""
-    place = F.row_number().over(Window.orderBy(F.desc("cost"), *order)) - 1
-    return tasks.withColumn("grp", (place % groups).cast("long"))
+    rows = ranked(tasks, [F.desc("cost"), *map(F.col, order)], "grp")
+    return rows.withColumn("grp", (F.col("grp") - 1) % groups)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from chronomesh.functions import columns as C
 from chronomesh.operators import joins as J
+from chronomesh.operators.ranks import ranked
+from chronomesh.operators.tasks import grouped
 from chronomesh.plans.carriers import LONG_SIGNAL, MEMBERS, SIGNAL, long_signal, members, points, signal, table
 from chronomesh.plans.registry import query
 
@@ -304,8 +306,8 @@ def join_15(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("srt_02_parsed_key", "SELECT p_partkey, row_number() OVER (ORDER BY TRY_CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT), p_partkey) AS place FROM part")
 def srt_02(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.orderBy(F.regexp_extract("p_brand", "([0-9]+)", 1).cast("long"), "p_partkey")
-    return table(spark, sf, "part").select("p_partkey", F.row_number().over(w).cast("long").alias("place"))
+    p = table(spark, sf, "part").select("p_partkey", F.expr("try_cast(regexp_extract(p_brand, '([0-9]+)', 1) AS long)").alias("number"))
+    return ranked(p, [F.col("number"), F.col("p_partkey")], "place").drop("number")
 
 
 @query("srt_03_top", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
@@ -322,8 +324,8 @@ def srt_04(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("srt_07_round_robin", "SELECT o_orderkey, (row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1) % 13 AS grp FROM orders WHERE o_orderstatus = 'F'")
 def srt_07(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return table(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_orderkey", ((F.row_number().over(w) - 1) % 13).cast("long").alias("grp"))
+    o = table(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_orderkey", F.col("o_totalprice").alias("cost"))
+    return grouped(o, 13, ["o_orderkey"]).drop("cost")
 
 
 @query("srt_08_strongest", f"WITH {SIGNAL} SELECT channel, arg_max(i, (x, -i)) AS i, max(x) AS x FROM signal GROUP BY channel")

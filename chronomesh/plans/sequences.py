@@ -134,12 +134,17 @@ def win_12b(spark: SparkSession, sf: str) -> DataFrame:
     return S.spaced_peaks(S.local_maxima(s, "channel", "i", "x", 50.0), "channel", "i", "x", 5)
 
 
-@query("win_13_half_widths", f"""WITH {SIGNAL}, {PEAKS}, m AS (SELECT p.channel, p.i AS peak, s.i, s.x <= p.x / 2 AS low FROM peaks p JOIN signal s ON s.channel = p.channel AND s.i BETWEEN p.i - 10 AND p.i + 10),
-a AS (SELECT channel, peak, max(CASE WHEN low AND i < peak THEN i END) AS l, min(CASE WHEN low AND i > peak THEN i END) AS r, min(i) AS lo, max(i) AS hi FROM m GROUP BY channel, peak)
-SELECT channel, peak AS i, peak - coalesce(l, lo) AS rise, coalesce(r, hi) - peak AS decay, coalesce(r, hi) - coalesce(l, lo) AS width FROM a""")
+@query("win_13_half_widths", f"""WITH {SIGNAL}, {PEAKS}, b AS (SELECT channel, round_even(median(x), 6) AS pedestal FROM signal GROUP BY 1),
+m AS (SELECT p.channel, p.i AS peak, s.i, s.x <= pedestal + 0.5::DOUBLE * (p.x - pedestal) AS low FROM peaks p JOIN b ON b.channel = p.channel JOIN signal s ON s.channel = p.channel),
+a AS (SELECT channel, peak, max(CASE WHEN low AND i <= peak THEN i END) AS l, min(CASE WHEN low AND i >= peak THEN i END) AS r, min(i) AS lo, max(i) AS hi FROM m GROUP BY channel, peak),
+w AS (SELECT channel, peak AS i, peak - coalesce(l, lo) AS rise, coalesce(r, hi) - peak AS decay FROM a)
+SELECT channel, i, rise, decay, rise + decay AS width, CASE WHEN decay = 0 THEN 1 ELSE round_even(rise / decay, 6) END AS asymmetry FROM w""")
 def win_13(spark: SparkSession, sf: str) -> DataFrame:
     s = signal(spark, sf).select("channel", "i", "x")
-    return S.half_widths(s, S.local_maxima(s, "channel", "i", "x", 50.0), "channel", "i", "x", 10)
+    pedestal = s.groupBy("channel").agg(half_even(F.median("x"), 6).alias("pedestal"))
+    peaks = S.local_maxima(s, "channel", "i", "x", 50.0).join(pedestal, "channel")
+    out = S.half_widths(s, peaks, "channel", "i", "x", F.col("pedestal"), 4)
+    return out.withColumn("asymmetry", half_even(F.col("asymmetry"), 6))
 
 
 @query("win_19_synthetic_clock", """WITH t AS (SELECT o_custkey AS channel, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS n, o_totalprice / 100000 AS rt FROM orders),

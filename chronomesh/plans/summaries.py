@@ -9,6 +9,7 @@ from chronomesh.functions import columns as C
 from chronomesh.operators import aggregates as A
 from chronomesh.operators import joins as J
 from chronomesh.operators import sequences as S
+from chronomesh.operators.tasks import grouped
 from chronomesh.plans.carriers import LONG_SIGNAL, MEMBERS, SIGNAL, long_signal, members, points, signal, table
 from chronomesh.plans.joining import EPOCHS
 from chronomesh.plans.registry import query
@@ -243,8 +244,7 @@ def agg_38(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("agg_39_task_groups", "WITH g AS (SELECT o_totalprice, o_orderstatus, (row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1) % 13 AS grp FROM orders) SELECT grp, round_even(sum(o_totalprice), 2) AS cost, max(o_totalprice) AS top, count(*) FILTER (o_orderstatus = 'F') AS done FROM g GROUP BY 1")
 def agg_39(spark: SparkSession, sf: str) -> DataFrame:
-    g = (F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")) - 1) % 13
-    o = table(spark, sf, "orders").withColumn("grp", g.cast("long"))
+    o = grouped(table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", F.col("o_totalprice").alias("cost")), 13, ["o_orderkey"])
     return o.groupBy("grp").agg(H(F.sum("o_totalprice"), 2).alias("cost"), F.max("o_totalprice").alias("top"), F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("done"))
 
 

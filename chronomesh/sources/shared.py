@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where that is unset (tests)."""
+    """spark.checkpoint.dir; where that is unset, a temporary folder, but only if all executors run in this process."""
     if configured := spark.conf.get("spark.checkpoint.dir", None):
         return configured
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="chronomesh-"))
     return sc.getCheckpointDir()
 
