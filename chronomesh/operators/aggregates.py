@@ -14,7 +14,7 @@ def shares(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def occupancy(df: DataFrame, row: str, column: str) -> DataFrame:
     """Counts for all pairs of the rows and columns that occur, zero where they don't meet."""
-    grid = df.select(row).distinct().crossJoin(F.broadcast(df.select(column).distinct()))
+    grid = df.select(row).distinct().crossJoin(df.select(column).distinct())
     counts = df.groupBy(row, column).agg(F.count("*").alias("n"))
     return grid.join(counts, [row, column], "left").na.fill(0, ["n"])
 
@@ -53,7 +53,7 @@ def block_scaled(df: DataFrame, key: str, kind: str, value: str, name: str = "sc
     centres = df.groupBy(key).agg(F.avg(value).alias("_m"))
     centred = df.join(centres, key).withColumn("_c", F.col(value) - F.col("_m"))
     rms = centred.groupBy(kind).agg(F.sqrt(F.avg(F.col("_c") * F.col("_c"))).alias("_rms"))
-    return centred.join(F.broadcast(rms), kind).withColumn(name, F.col("_c") / F.nullif(F.col("_rms"), F.lit(0.0))).drop("_m", "_c", "_rms")
+    return centred.join(rms, kind).withColumn(name, F.col("_c") / F.nullif(F.col("_rms"), F.lit(0.0))).drop("_m", "_c", "_rms")
 
 
 def entropy(counts: DataFrame, keys: list[str], epsilon: float = 1e-12) -> DataFrame:

@@ -120,9 +120,9 @@ def orm_03(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", H(F.col("l_tax") / O.largest_complexity(3)).alias("ratio"))
 
 
-@query("orm_07_trajectories", f"WITH {LONG_SIGNAL} SELECT channel, list(x ORDER BY i) AS v FROM long_signal WHERE i < 200 GROUP BY 1")
+@query("orm_07_trajectories", f"WITH {LONG_SIGNAL} SELECT channel, list(x ORDER BY i) AS v FROM long_signal GROUP BY 1")
 def orm_07(spark: SparkSession, sf: str) -> DataFrame:
-    s = long_signal(spark, sf).where("i < 200").groupBy("channel").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s"))
+    s = long_signal(spark, sf).groupBy("channel").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s"))
     return s.select("channel", F.transform("s", lambda p: p["x"]).alias("v"))
 
 
@@ -219,15 +219,15 @@ def qc_02(spark: SparkSession, sf: str) -> DataFrame:
     return takens(p, "label", "i", "v", 3, 2)
 
 
-def _features_of(spark: SparkSession, sf: str, size: int) -> DataFrame:
-    return points(spark, sf).select("id", F.slice("v", 1, size).alias("features"))
+def _features_of(spark: SparkSession, sf: str) -> DataFrame:
+    return points(spark, sf).select("id", F.col("v").alias("features"))
 
 
 @query("qc_34_spectra")
 def qc_34(spark: SparkSession, sf: str) -> DataFrame:
     from chronomesh.operators import spectral
 
-    out = spectral.spectra(_features_of(spark, sf, 8), spectral.initial_operators(8, 6, 42))
+    out = spectral.spectra(_features_of(spark, sf), spectral.initial_operators(64, 6, 42))
     return out.select("id", "eigenvalues", "metric_trace", "residual", "local_variance", "ground_eigenvalue", "first_gap", E.ratio_gap_dimension(F.col("eigenvalues")).alias("d"))
 
 
@@ -235,7 +235,7 @@ def qc_34(spark: SparkSession, sf: str) -> DataFrame:
 def qc_19(spark: SparkSession, sf: str) -> DataFrame:
     from chronomesh.operators import spectral
 
-    out = spectral.spectra(_features_of(spark, sf, 8), spectral.initial_operators(8, 6, 42))
+    out = spectral.spectra(_features_of(spark, sf), spectral.initial_operators(64, 6, 42))
     return out.select("id", (F.abs(total(F.col("eigenvalues")) - F.col("metric_trace")) <= 1e-6 * F.col("metric_trace")).alias("holds"))
 
 
@@ -243,7 +243,7 @@ def qc_19(spark: SparkSession, sf: str) -> DataFrame:
 def qc_31(spark: SparkSession, sf: str) -> DataFrame:
     from chronomesh.operators import spectral
 
-    losses = spectral.fit(_features_of(spark, sf, 3), 4, 5)[1]
+    losses = spectral.fit(_features_of(spark, sf), 4, 5)[1]
     return spark.createDataFrame(list(enumerate(losses)), "step int, loss double")
 
 

@@ -11,6 +11,8 @@ from chronomesh.operators.ranks import ranked
 from chronomesh.operators.tasks import grouped
 from chronomesh.plans.carriers import LONG_SIGNAL, MEMBERS, SIGNAL, long_signal, members, points, signal, table
 from chronomesh.plans.registry import query
+from chronomesh.sources.shared import shared_path
+from chronomesh.sources.signals import found, in_batches, parameters, read_log, write_report, write_signal
 
 H = C.half_even
 
@@ -374,3 +376,59 @@ def join_10(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf)
     centres = p.where("id < 8").select(F.col("id").alias("k"), F.col("v").alias("c"))
     return p.crossJoin(F.broadcast(centres)).select("id", "k", H(squared_distance(F.col("v"), F.col("c"))).alias("dist"))
+
+
+@query("srt_01_multi_key", f"WITH {SIGNAL} SELECT channel, i, x, row_number() OVER (ORDER BY channel, x DESC, i) AS place FROM signal")
+def srt_01(spark: SparkSession, sf: str) -> DataFrame:
+    return ranked(signal(spark, sf).select("channel", "i", "x"), [F.col("channel"), F.desc("x"), F.col("i")], "place")
+
+
+@query("srt_10_top_annotated", f"WITH {SIGNAL} SELECT channel, count(*) AS n FROM signal WHERE state = 'error' GROUP BY 1 ORDER BY n DESC, channel LIMIT 10")
+def srt_10(spark: SparkSession, sf: str) -> DataFrame:
+    n = signal(spark, sf).where("state = 'error'").groupBy("channel").agg(F.count("*").alias("n"))
+    return n.orderBy(F.desc("n"), "channel").limit(10)
+
+
+@query("src_04_header", "SELECT column_name AS name, CAST(row_number() OVER () - 1 AS INTEGER) AS place FROM (DESCRIBE lineitem)")
+def src_04(spark: SparkSession, sf: str) -> DataFrame:
+    names = table(spark, sf, "lineitem").columns  # of the file's footer; no rows are read
+    return spark.range(1).select(F.posexplode(F.array(*map(F.lit, names))).alias("place", "name"))
+
+
+CUSTOMER = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+
+
+@query("src_06_csv_report", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def src_06(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "report")
+    write_report(table(spark, sf, "customer"), path)
+    return read_log(spark, path, CUSTOMER).drop("_corrupt_record")
+
+
+@query("src_07_bad_cells", "SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS c_acctbal, c_custkey % 7 = 0 AS bad FROM customer")
+def src_07(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "log")
+    text = F.when(F.col("c_custkey") % 7 == 0, F.lit("n/a")).otherwise(F.col("c_acctbal").cast("string"))
+    write_report(table(spark, sf, "customer").select("c_custkey", text.alias("c_acctbal")), path)
+    rows = read_log(spark, path, "c_custkey long, c_acctbal double")
+    return rows.select("c_custkey", "c_acctbal", F.col("_corrupt_record").isNotNull().alias("bad"))
+
+
+@query("src_11_chunked_scan", "SELECT count(*) AS n, min(l_quantity) AS low, max(l_quantity) AS high, sum(CAST(l_quantity AS BIGINT)) AS whole FROM lineitem")
+def src_11(spark: SparkSession, sf: str) -> DataFrame:
+    parts = in_batches(table(spark, sf, "lineitem"), "l_quantity", 50_000)
+    return parts.agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("whole").cast("long").alias("whole"))
+
+
+@query("src_15_discovery", "SELECT DISTINCT c_mktsegment AS segment FROM customer")
+def src_15(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "tree")
+    table(spark, sf, "customer").write.partitionBy("c_mktsegment").parquet(path)
+    return found(spark, path, "*.parquet").select(*parameters(F.url_decode("path"), {"segment": r"c_mktsegment=([^/]+)/"})).distinct()
+
+
+@query("snk_05_signal_table", f"WITH {SIGNAL} SELECT channel, i, x FROM signal")
+def snk_05(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "signal")
+    write_signal(signal(spark, sf).select("channel", "i", "x"), path, "channel", "i")
+    return spark.read.schema("channel long, i long, x double").parquet(path)

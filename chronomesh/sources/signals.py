@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +16,19 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.toDF(*[c.lstrip("﻿") for c in rows.columns])
 
 
+def in_batches(df: DataFrame, value: str, rows: int) -> DataFrame:
+    """(n, low, high, whole) of one column for every `rows` rows or fewer that a task reads; no other column is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.column(0).slice(at, rows)
+                ends = pc.min_max(part).as_py()
+                yield pa.RecordBatch.from_pydict({"n": [len(part)], "low": [ends["min"]], "high": [ends["max"]], "whole": [pc.sum(part).as_py()]})
+
+    return df.select(F.col(value).cast("double").alias("x")).mapInArrow(run, "n long, low double, high double, whole double")
+
+
 def found(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """(path, size, modified) of the files below root."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
@@ -26,7 +43,7 @@ def parameters(name, patterns: dict[str, str]) -> list:
 def quantised(df: DataFrame, bounds: DataFrame, kind: str, value: str) -> DataFrame:
     """df with the value rounded to a grid of twice its kind's error bound: never off by more than the bound. bounds: (kind, eps), a row per sensor type."""
     step = 2 * F.col("eps")
-    return df.join(F.broadcast(bounds), kind).withColumn(value, F.bround(F.col(value) / step) * step).drop("eps")
+    return df.join(bounds, kind).withColumn(value, F.bround(F.col(value) / step) * step).drop("eps")
 
 
 def write_signal(df: DataFrame, path: str, channel: str, index: str, rows_per_file: int = 5_000_000) -> None:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from chronomesh.operators import aggregates as A
 from chronomesh.operators import estimators as E
 from chronomesh.operators import filters, joins, ordinal, partition, spectral
 from chronomesh.operators import sequences as S
+from chronomesh.operators.ranks import ranked
 from chronomesh.sources import signals
 
 
@@ -172,3 +175,53 @@ def test_columns(spark):
     df = spark.createDataFrame([(" Awake ", 2.5, float("inf"))], "s string, x double, y double")
     r = df.select(C.canonical(F.col("s"), {"awake": "correct"}).alias("s"), C.half_even(F.col("x"), 0).alias("x"), C.finite_or_zero(F.col("y")).alias("y"), C.slug(F.lit("A b/C")).alias("g")).first()
     assert (r.s, r.x, r.y, r.g) == ("correct", 2.0, 0.0, "a_b_c")
+
+
+def test_constants_by_other_ways():
+    """The constants that the queries' SQL takes over, found in independent ways."""
+    for beta in (0.05, 64 / 306, 0.7, 1.0):
+        # the median splits the density of eigenvalues in two, by quadrature in another variable
+        middle, low, high = E.noise_median(beta) ** 2, (1 - math.sqrt(beta)) ** 2, (1 + math.sqrt(beta)) ** 2
+        nodes, weights = np.polynomial.legendre.leggauss(400)
+
+        def mass(a, b):
+            angle = (nodes + 1) * math.pi / 4  # x = a + (b - a) sin^2, smooth at both ends
+            x = a + (b - a) * np.sin(angle) ** 2
+            step = (b - a) * 2 * np.sin(angle) * np.cos(angle) * math.pi / 4
+            return float((weights * step * np.sqrt(np.maximum((high - x) * (x - low), 0)) / (2 * math.pi * beta * np.maximum(x, 1e-300))).sum())
+
+        assert mass(low, middle) == pytest.approx(0.5, abs=2e-4) and mass(middle, high) == pytest.approx(0.5, abs=2e-4)
+    assert E.hard_threshold(1.0) == pytest.approx(4 / math.sqrt(3))  # known in closed form
+    for m in (3, 4):
+        n = math.factorial(m)
+        best = 0.0
+        for k in range(1, 4000):
+            p = np.full(n, (1 - k / 4000) / (n - 1))
+            p[0] = k / 4000
+            h = lambda x: float(-(x * np.log2(x)).sum())
+            best = max(best, ordinal.q0(n) * (h((p + 1 / n) / 2) - h(p) / 2 - math.log2(n) / 2) * h(p) / math.log2(n))
+        assert ordinal.largest_complexity(m) == pytest.approx(best, rel=1e-4)
+
+
+def test_half_widths_reach_any_width(spark):
+    x = [5.0] * 3 + [6.0 + k / 100 for k in range(300)] + [20.0] + [12.0] * 40 + [1.0, 9.0, 1.0]
+    peaks = [303, 345]
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(x)], "channel string, i long, x double")
+    rows = spark.createDataFrame([("a", i, x[i], 2.0) for i in peaks], "channel string, i long, x double, pedestal double")
+    got = {r.i: r for r in S.half_widths(df, rows, "channel", "i", "x", F.col("pedestal"), 4).collect()}
+    for p in peaks:
+        half, left, right = 2.0 + 0.5 * (x[p] - 2.0), p, p
+        while left > 0 and x[left] > half:
+            left -= 1
+        while right < len(x) - 1 and x[right] > half:
+            right += 1
+        want = (p - left, right - p, right - left, (p - left) / (right - p) if right > p else 1.0)
+        assert (got[p].rise, got[p].decay, got[p].width, got[p].asymmetry) == pytest.approx(want)
+
+
+def test_ranks_over_parts(spark):
+    rows = [(i, (i * 37) % 101) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, x long").repartition(8)
+    got = {r.id: r.place for r in ranked(df, [F.desc("x"), F.col("id")], "place").collect()}
+    want = {i: n + 1 for n, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+    assert got == want
