@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 GAP_FLOOR = 1e-7
 BETAS, DECAY = (0.9, 0.999), 0.01
+#: Diagonal steps, relative to the largest entry, that a failed eigensolve is repeated with.
+JITTERS = (0.0, 1e-12, 1e-10, 1e-8)
 
 
 def initial_operators(dimension: int, states: int, seed: int) -> np.ndarray:
@@ -36,8 +38,23 @@ def half_squares(a: np.ndarray) -> np.ndarray:
 
 
 def eigen(x: np.ndarray, a: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending eigenvalues and eigenvectors of H(x) for a batch of points."""
-    return np.linalg.eigh(hermitian(k[None] - np.einsum("bd,dnm->bnm", x, a)))
+    """Ascending eigenvalues and eigenvectors of H(x) for a batch of points.
+
+    Matrices are centred on their mean eigenvalue. Where the solver doesn't converge, it is
+    tried again with ever larger diagonal steps, which tell equal eigenvalues apart.
+    """
+    h = hermitian(k[None] - np.einsum("bd,dnm->bnm", x, a))
+    n = h.shape[-1]
+    centre = np.trace(h, axis1=1, axis2=2).real / n
+    h = h - centre[:, None, None] * np.eye(n)
+    size = np.maximum(np.abs(h).max(axis=(1, 2), initial=0), 1e-300)
+    for jitter in JITTERS:
+        try:
+            energy, states = np.linalg.eigh(h + (jitter * size)[:, None, None] * np.diag(np.arange(n)))
+        except np.linalg.LinAlgError:
+            continue
+        return energy + centre[:, None], states
+    raise np.linalg.LinAlgError("the eigenvalues of a point's operator don't converge")
 
 
 def expectations(psi: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -155,30 +172,82 @@ def distributed_gradient(points: DataFrame, raw: np.ndarray, variance_weight: fl
     return flat[-2] / n, gradient / n, n
 
 
-def fit(points: DataFrame, states: int, steps: int, rate: float = 1e-2, variance_weight: float = 0.0, clip: float = 1.0, seed: int = 0) -> tuple[np.ndarray, list[float]]:
-    """Operators trained by AdamW on full-batch gradients, and the loss before each step."""
-    dimension = len(points.select("features").first()[0])
-    raw = initial_operators(dimension, states, seed)
-    m, v, losses = np.zeros_like(raw), np.zeros((2, *raw.shape)), []
-    for t in range(1, steps + 1):
-        loss, g, _ = distributed_gradient(points, raw, variance_weight)
-        losses.append(float(loss))
-        norm = np.sqrt((np.abs(g) ** 2).sum())
-        g = g * min(1.0, clip / (norm + 1e-6))
-        m = BETAS[0] * m + (1 - BETAS[0]) * g
-        v = BETAS[1] * v + (1 - BETAS[1]) * np.stack([g.real**2, g.imag**2])
-        scale = np.sqrt(v / (1 - BETAS[1] ** t)) + 1e-8
-        step = m / (1 - BETAS[0] ** t)
-        raw = raw * (1 - rate * DECAY) - rate * (step.real / scale[0] + 1j * step.imag / scale[1])
-    return raw, losses
-
-
 def commutator_penalty(a: np.ndarray, pairs: int, seed: int) -> float:
     """Minus the mean squared norm of the commutators of random pairs of operators."""
+    return commutator_gradient(a, pairs, seed)[0]
+
+
+def commutator_gradient(a: np.ndarray, pairs: int, seed: int) -> tuple[float, np.ndarray]:
+    """The penalty and its gradient in Hermitian operators a."""
     rng = np.random.default_rng(seed)
     i, j = rng.integers(0, len(a), (2, pairs))
     c = a[i] @ a[j] - a[j] @ a[i]
-    return float(-(np.abs(c) ** 2).sum((1, 2)).mean())
+    gradient = np.zeros_like(a)
+    dagger = np.conj(np.swapaxes(c, -1, -2))
+    # d|C|^2 = 2 Re tr(C^+ (dA_i A_j - A_j dA_i + A_i dA_j - dA_j A_i))
+    np.add.at(gradient, i, 2 * np.conj(np.swapaxes(a[j] @ dagger - dagger @ a[j], -1, -2)))
+    np.add.at(gradient, j, 2 * np.conj(np.swapaxes(dagger @ a[i] - a[i] @ dagger, -1, -2)))
+    return float(-(np.abs(c) ** 2).sum((1, 2)).mean()), hermitian(-gradient / pairs)
+
+
+class Adam:
+    """AdamW steps for operators, with the gradient clipped by its norm."""
+
+    def __init__(self, raw: np.ndarray, rate: float, clip: float):
+        self.raw, self.rate, self.clip, self.t = raw, rate, clip, 0
+        self.m, self.v = np.zeros_like(raw), np.zeros((2, *raw.shape))
+
+    def step(self, g: np.ndarray) -> None:
+        self.t += 1
+        g = g * min(1.0, self.clip / (np.sqrt((np.abs(g) ** 2).sum()) + 1e-6))
+        self.m = BETAS[0] * self.m + (1 - BETAS[0]) * g
+        self.v = BETAS[1] * self.v + (1 - BETAS[1]) * np.stack([g.real**2, g.imag**2])
+        scale = np.sqrt(self.v / (1 - BETAS[1] ** self.t)) + 1e-8
+        step = self.m / (1 - BETAS[0] ** self.t)
+        self.raw = self.raw * (1 - self.rate * DECAY) - self.rate * (step.real / scale[0] + 1j * step.imag / scale[1])
+
+
+def train(
+    points: DataFrame,
+    held: DataFrame | None,
+    states: int,
+    steps: int,
+    rate: float = 1e-2,
+    variance_weight: float = 0.0,
+    commutator_weight: float = 0.0,
+    pairs: int = 8,
+    clip: float = 1.0,
+    seed: int = 0,
+) -> tuple[np.ndarray, list[dict]]:
+    """Operators trained on full-batch gradients, and a history: the loss before each step, and that of the held-out points before every twentieth part of the steps and after the last one."""
+    dimension = len(points.select("features").first()[0])
+    adam, history = Adam(initial_operators(dimension, states, seed), rate, clip), []
+    for t in range(steps + 1):
+        loss, g, _ = distributed_gradient(points, adam.raw, variance_weight)
+        if commutator_weight:
+            penalty, own = commutator_gradient(hermitian(adam.raw), pairs, seed + t)
+            loss, g = loss + commutator_weight * penalty, g + commutator_weight * own
+        row = {"step": t, "loss": float(loss), "held_loss": None, "held_residual": None}
+        if held is not None and (t % max(1, steps // 20) == 0 or t == steps):
+            row |= validation(held, adam.raw, variance_weight)
+        history.append(row)
+        if t < steps:
+            adam.step(g)
+    return adam.raw, history
+
+
+def validation(held: DataFrame, raw: np.ndarray, variance_weight: float) -> dict[str, float]:
+    """Mean loss and residual of points that took no part in the training."""
+    found = spectra(held, raw)
+    square = F.col("residual") ** 2 + variance_weight * F.col("local_variance")
+    row = found.agg(F.avg(square / len(raw)).alias("held_loss"), F.avg("residual").alias("held_residual")).first()
+    return row.asDict()
+
+
+def fit(points: DataFrame, states: int, steps: int, rate: float = 1e-2, variance_weight: float = 0.0, clip: float = 1.0, seed: int = 0) -> tuple[np.ndarray, list[float]]:
+    """Operators trained by AdamW on full-batch gradients, and the loss before each step."""
+    raw, history = train(points, None, states, steps, rate, variance_weight, 0.0, 0, clip, seed)
+    return raw, [r["loss"] for r in history[:-1]]
 
 
 def epochs_for(target_steps: int, samples: int, batch: int) -> int:

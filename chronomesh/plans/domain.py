@@ -247,6 +247,16 @@ def qc_31(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(losses)), "step int, loss double")
 
 
+@query("qc_33_validation_history")
+def qc_33(spark: SparkSession, sf: str) -> DataFrame:
+    from chronomesh.operators import spectral
+
+    # every fifth point by hash is held out
+    both = _features_of(spark, sf).withColumn("held", F.pmod(F.xxhash64("id"), F.lit(5)) == 0)
+    history = spectral.train(both.where("NOT held"), both.where("held"), 4, 4, variance_weight=0.1, commutator_weight=0.01)[1]
+    return spark.createDataFrame([tuple(r.values()) for r in history], "step int, loss double, held_loss double, held_residual double")
+
+
 @query("src_18_manifolds")
 def src_18(spark: SparkSession, sf: str) -> DataFrame:
     from chronomesh.sources.signals import manifold

@@ -225,3 +225,35 @@ def test_ranks_over_parts(spark):
     got = {r.id: r.place for r in ranked(df, [F.desc("x"), F.col("id")], "place").collect()}
     want = {i: n + 1 for n, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
     assert got == want
+
+
+def test_commutator_gradient_and_history(spark):
+    raw = spectral.initial_operators(3, 4, 2)
+    a = spectral.hermitian(raw)
+    value, g = spectral.commutator_gradient(a, 6, 5)
+    rng = np.random.default_rng(0)
+    for _ in range(5):
+        d = spectral.hermitian(rng.normal(size=a.shape) + 1j * rng.normal(size=a.shape))
+        up, down = (spectral.commutator_penalty(a + e * d, 6, 5) for e in (1e-6, -1e-6))
+        assert (up - down) / 2e-6 == pytest.approx(float((g.conj() * d).sum().real), rel=1e-5)
+    assert value == spectral.commutator_penalty(a, 6, 5) < 0
+    points = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=2)]) for i in range(40)], "id long, features array<double>")
+    _, history = spectral.train(points.where("id >= 8"), points.where("id < 8"), 4, 6, rate=0.02)
+    assert [r["step"] for r in history] == list(range(7)) and all(r["held_loss"] > 0 for r in history)
+    assert history[-1]["loss"] < history[0]["loss"]
+
+
+def test_eigen_solver_is_tried_again(monkeypatch):
+    a = spectral.hermitian(spectral.initial_operators(2, 3, 0))
+    x, k = np.array([[0.3, -0.2]]), spectral.half_squares(a)
+    want = spectral.eigen(x, a, k)[0]
+    solve, calls = np.linalg.eigh, []
+
+    def failing(h):
+        calls.append(1)
+        if len(calls) < 3:
+            raise np.linalg.LinAlgError
+        return solve(h)
+
+    monkeypatch.setattr(np.linalg, "eigh", failing)
+    assert np.allclose(spectral.eigen(x, a, k)[0], want, atol=1e-7) and len(calls) == 3
