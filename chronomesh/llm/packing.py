@@ -66,7 +66,8 @@ class Chunks(dict):
 
     def __missing__(self, chunk: bytes) -> bytes:
         word = chunk.rstrip(SIGNS)
-        if 0 < len(word) < len(chunk) and (word[-1:].isalnum() or word.decode(errors="replace")[-1].isalpha()):
+        # a letter whose lower case ends in a mark is joined with a sign
+        if 0 < len(word) < len(chunk) and (word[-1:].isalnum() or word.decode(errors="replace")[-1].lower()[-1].isalpha()):
             ids = self[word] + self[chunk[len(word) :]]
         else:
             ids = array("I", self.encode(chunk)).tobytes()
