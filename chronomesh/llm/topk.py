@@ -11,11 +11,12 @@ Blocks meet queries by a shuffle: GROUPS ranges of blocks times groups of querie
 pair of groups in one task call; a pair returns at most k rows a query, and a window over
 those picks the final k. Nothing is broadcast or collected.
 
-Defined results: vectors that are null, empty or hold a null or non-finite component take no
-part, nor do rows without an id. Vectors of different lengths are compared as if padded
-with zeros. Components count as floor(64 * x); scores beyond 64 bits are clipped. Rows
-that share an id are each a query and a candidate, but never answer a query of their own
-id; their rows tie. A query without candidates returns no rows.
+Defined results: vectors that are null or hold a null or non-finite component take no part,
+nor do rows without an id. Vectors of different lengths are compared as if padded with
+zeros, an empty one with zeros alone. Components count as floor(64 * x); scores beyond 64
+bits are clipped. Rows that share an id are each a query and a candidate for the others, and
+their answers tie; only a query's own row is left out. A query without candidates returns
+no rows.
 """
 
 from __future__ import annotations
@@ -42,43 +43,51 @@ NONE = np.iinfo(np.int64).min
 def whole(x: Column) -> Column:
     """floor(SCALE * x) of every component; null unless all are finite."""
     finite = F.forall(x, lambda c: F.coalesce(~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) != float("inf")), F.lit(False)))
-    return F.when((F.size(x) > 0) & finite, F.transform(x, lambda c: F.floor(F.lit(float(SCALE)) * c.cast("double")).cast("long")))
+    return F.when(x.isNotNull() & finite, F.transform(x, lambda c: F.floor(F.lit(float(SCALE)) * c.cast("double")).cast("long")))
 
 
 def packed(rows: DataFrame, size: int) -> DataFrame:
-    """rows (vec_id, v) as blocks of at most `size`, by range of vec_id: (block, dims, ids, matrix), the last two little-endian 64-bit."""
+    """rows (vec_id, v) as blocks of at most `size`, by range of vec_id: (block, dims, ids, matrix, once), the last three little-endian 64-bit.
+
+    once: 1 for the first of rows with the same vec_id and vector. Equal rows tie, so leaving that one out is leaving a query's own row out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         number = (task.partitionId() if task else 0) << 32
 
-        def out(ids: list[int], vectors: list[list[int]]) -> pa.RecordBatch:
+        def out(rows: list[tuple[int, list[int]]]) -> pa.RecordBatch:
+            nonlocal last
+            once = [int(x != y) for x, y in zip([last, *rows[:-1]], rows, strict=True)]
+            last = rows[-1]
+            ids, vectors = zip(*rows, strict=True)
             dims = max(map(len, vectors))
             matrix = np.array([v + [0] * (dims - len(v)) for v in vectors], "<i8")
-            return pa.RecordBatch.from_pylist([{"block": number, "dims": dims, "ids": np.array(ids, "<i8").tobytes(), "matrix": matrix.tobytes()}], schema)
+            row = {"block": number, "dims": dims, "ids": np.array(ids, "<i8").tobytes(), "matrix": matrix.tobytes(), "once": np.array(once, "<i8").tobytes()}
+            return pa.RecordBatch.from_pylist([row], schema)
 
-        schema = pa.schema([("block", pa.int64()), ("dims", pa.int32()), ("ids", pa.binary()), ("matrix", pa.binary())])
-        ids: list[int] = []
-        vectors: list[list[int]] = []
+        schema = pa.schema([("block", pa.int64()), ("dims", pa.int32()), ("ids", pa.binary()), ("matrix", pa.binary()), ("once", pa.binary())])
+        last: tuple[int, list[int]] | None = None
+        held: list[tuple[int, list[int]]] = []
         for batch in batches:
-            ids += batch.column(0).to_pylist()
-            vectors += batch.column(1).to_pylist()
-            while len(ids) >= size:
-                yield out(ids[:size], vectors[:size])
-                ids, vectors, number = ids[size:], vectors[size:], number + 1
-        if ids:
-            yield out(ids, vectors)
+            held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            while len(held) >= size:
+                yield out(held[:size])
+                held, number = held[size:], number + 1
+        if held:
+            yield out(held)
 
-    ordered = rows.repartitionByRange("vec_id").sortWithinPartitions("vec_id")
-    return ordered.mapInArrow(run, "block long, dims int, ids binary, matrix binary")
+    ordered = rows.repartitionByRange("vec_id", "v").sortWithinPartitions("vec_id", "v")
+    return ordered.mapInArrow(run, "block long, dims int, ids binary, matrix binary, once binary")
 
 
-def unpacked(table: pa.Table, dims: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix as doubles) of each block, padded to dims."""
+def unpacked(table: pa.Table, dims: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, matrix, once) of each block, padded to dims."""
     out = []
-    for d, ids, matrix in zip(*(table.column(c).to_pylist() for c in ("dims", "ids", "matrix")), strict=True):
-        m = np.frombuffer(matrix, "<i8").reshape(-1, d)
-        out.append((np.frombuffer(ids, "<i8"), np.pad(m, ((0, 0), (0, dims - d)))))
+    for d, ids, matrix, once in zip(*(table.column(c).to_pylist() for c in ("dims", "ids", "matrix", "once")), strict=True):
+        own = np.frombuffer(ids, "<i8")
+        m = np.frombuffer(matrix, "<i8").reshape(len(own), d)
+        out.append((own, np.pad(m, ((0, 0), (0, dims - d))), np.frombuffer(once, "<i8") == 1))
     return out
 
 
@@ -91,11 +100,11 @@ def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.clip(exact, -(2**63) + 1, 2**63 - 1).astype(np.int64)
 
 
-def search(ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
+def search(ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Best k (vec_id, score) in blocks for each query; NONE where there are fewer."""
     n = len(ids)
     best_id, best = np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), NONE)
-    high, low = (np.stack([f(m, axis=0) for _, m in blocks]).astype(float) for f in (np.max, np.min))
+    high, low = (np.stack([f(m, axis=0) for _, m, _ in blocks]).astype(float) for f in (np.max, np.min))
     q = queries.astype(float)
     bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
     bounds += 1 + 1e-9 * (np.abs(q) @ np.maximum(np.abs(high), np.abs(low)).T)  # never below the exact sum, whatever is rounded
@@ -109,9 +118,11 @@ def search(ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.ndarray,
             break
         for block in np.unique(at):
             own = alive[at == block]
-            block_ids, matrix = blocks[block]
+            block_ids, matrix, once = blocks[block]
             scores = products(queries[own], matrix)
-            scores[ids[own][:, None] == block_ids[None, :]] = NONE
+            a, b = np.nonzero((ids[own][:, None] == block_ids[None, :]) & once[None, :])
+            self = (queries[own][a] == matrix[b]).all(axis=1)
+            scores[a[self], b[self]] = NONE
             better = (scores >= best[own, -1][:, None]).any(axis=1) & (scores.max(axis=1) > NONE)
             own, scores = own[better], scores[better]
             if not len(own):
@@ -146,7 +157,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             return empty
         dims, out = max(max(t.column("dims").to_pylist()) for t in (left, right)), [empty]
         index = unpacked(right, dims)
-        for block, (ids, matrix) in zip(left.column("block").to_pylist(), unpacked(left, dims), strict=True):
+        for block, (ids, matrix, _) in zip(left.column("block").to_pylist(), unpacked(left, dims), strict=True):
             found, scores = search(ids, matrix, index, k)
             row, rank = np.nonzero(scores > NONE)
             columns = [np.full(len(row), block), row.astype(np.int32), ids[row], found[row, rank], scores[row, rank]]
@@ -167,15 +178,16 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH e AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM e q JOIN e c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+  SELECT q.own, q.vec_id AS query_id, c.vec_id,
+         CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id % 20 = 0 AND c.own <> q.own
 ), r AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+  SELECT *, CAST(row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
