@@ -28,30 +28,33 @@ RATE = 8.0
 L2 = 1e-4
 FIT_ROWS = 2_000
 
-_BAD_HOSTS = (
-    "casino-win.example.net spam-farm.example.org adult-x.example.com cheap-pills.example.net free-bets.example.net ads-track.example.com "
-    "big-casino.example.com online-bets.example.org pills-shop.example.com spam-mail.example.net adult-cams.example.org ad-tracker.example.net "
-    "casino-slots.example.org win-cash.example.com free-pills.example.org ads-click.example.net bets-today.example.com xxx-adult.example.net "
-    "cheap-meds.example.com spam-links.example.com track-ads.example.org free-casino.example.net"
+#: Words that hosts of unwanted kinds (gambling, adult, pharmacy, spam, advertising, cracks) and of wanted kinds use, and what hosts add to them.
+_UNWANTED = (
+    "casino poker slots jackpot roulette betting sportbet bets lottery gamble porn adult xxx escort camgirl sexcam "
+    "pills viagra cialis pharmacy meds steroids dietpills payday quickloan spam clickbait popunder adserver adclick tracker "
+    "warez crack keygen torrent replica fakewatch getrich freemoney"
 ).split()
-_GOOD_HOSTS = (
-    "therin.example.com ththan.example.net tionsh.example.org library.example.org news.example.com school.example.net thring.example.org "
-    "museum.example.com reports.example.org thther.example.com cooking.example.net ononth.example.com weather.example.org edth.example.net "
-    "science.example.com gardening.example.org hareth.example.com anther.example.net recipes.example.com ereath.example.org city-council.example.org "
-    "open-data.example.com"
+_WANTED = (
+    "library museum university school college garden kitchen cooking recipes weather science physics history music theatre "
+    "travel hiking football chess news journal gazette council hospital clinic bakery books archive maps forum wiki blog "
+    "software linux python engineering energy railway harbour parliament station airport ferry cinema orchestra painting poetry biology "
+    "chemistry geology astronomy"
 ).split()
+_BEFORE = ("", "my", "best", "the", "city", "new")
+_AFTER = ("", "-online", "world", "-24", "hub", "-club")
+_ENDS = ("test", "example", "invalid")
 _PREFIXES = ("", "www.", "blog.", "m.")
 _LANGS = ("en", "de", "fr", "es")
 
 
 def labelled(spark: SparkSession) -> DataFrame:
-    """The built-in table (url, label): label 1 for unwanted hosts. Prefix, language and number follow the host's place, alike for both labels."""
-    rows = [
-        (f"http://{_PREFIXES[(i + k) % 4]}{host}/{_LANGS[(i + 2 * k) % 4]}/{37 * i + 411 * k + 5}", label)
-        for label, hosts in ((1, _BAD_HOSTS), (0, _GOOD_HOSTS))
-        for i, host in enumerate(hosts)
-        for k in range(4)
-    ]
+    """The built-in table (url, label): label 1 for unwanted hosts. What stands around a host's word follows its place in the list, alike for both labels."""
+    rows = []
+    for label, all_words in ((1, _UNWANTED), (0, _WANTED)):
+        for i, word in enumerate(all_words):
+            for k in range(6):
+                host = f"{_PREFIXES[(i + k) % 4]}{_BEFORE[k]}{word}{_AFTER[(i + k) % 6]}.{_ENDS[(i + k) % 3]}"
+                rows.append((f"http://{host}/{_LANGS[(i + 3 * k) % 4]}/{37 * i + 411 * k + 5}", label))
     return spark.createDataFrame(rows, "url string, label int")
 
 
