@@ -4,26 +4,35 @@ Patterns (assign, access, hex) are found leftmost and without overlap, in whole
 The battery looks at every other token of LEAST characters or more whose alphabet is one
 of the known encodings. Three tests against "its symbols are drawn uniformly and
 independently" are made for the inferred encoding: chi-squared uniformity over the alphabet,
-runs above and below its middle, and serial correlation. A token's p-value is the smallest
-of the three, corrected for three tests. Structured tokens (identifiers, words, paths)
-get small p-values. Benjamini-Hochberg over all tokens of all documents tells which are
-rejected as random; short tokens, whose tests see less, get a proportionally larger share
-of the false-discovery budget. Tokens not rejected are reported as `random` spans.
-
-The step-up threshold comes from counts by binned p-value, at most BINS rows, so no task
-or driver ever sees all tokens. Texts are read once; decisions are made on a table of
+runs above and below its middle, and serial correlation. The smallest of the three p-values,
+corrected for three tests, tells how random a token looks; structured tokens (identifiers,
+words, paths) get small ones.
+
+What is reported is controlled against structured tokens. Every document gives for every
+class of length an identifier made of its own words and a number, and the battery's
+results for these are the null distribution: a token's q is the share of them, of its class
+of length, that look at least as random. Where a class is short, identifiers often look
+random too, so its tokens never get a small q. Benjamini-Hochberg over the q of all tokens of
+all documents, with longer tokens given a proportionally larger share of the budget, tells
+which are reported as `random` spans; about RATE of them at most are structured.
+
+Null distribution and step-up threshold come from counts by binned p-value and q, so no
+task or driver ever sees all tokens. Texts are read once; decisions are made on a table of
 spans.
 
 Defined results: null and empty texts have no spans. Positions are code points, ends
 exclusive. Random spans that would overlap a fixed one are left out. Repeated rows are
-scanned each on its own; an empty table gives no rows; other columns are ignored.
+scanned each on its own; a class of length without identifiers (no document has words
+enough) reports nothing; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,7 +40,7 @@ from pyspark.sql import functions as F
 
 from chronomesh.llm.common import materialize, read
 
-#: Shortest token that the battery looks at, its false discovery rate, the bins of p-values (in steps of 1 / PER_E nats).
+#: Shortest token that the battery looks at, the false discovery rate, the bins of p-values and q (in steps of 1 / PER_E nats).
 LEAST = 20
 RATE = 0.05
 BINS = 1024
@@ -45,6 +54,9 @@ KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+#: Lengths from which the classes of length start.
+CLASSES = (LEAST, 26, 32, 40, 48, 64)
+WORDS = re.compile(r"[A-Za-z]{2,12}")
 KINDS = ("assign", "access", "hex", "random")
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (alphabet, kinds of characters that must be there), narrowest first.
@@ -89,7 +101,7 @@ def tail(z: float) -> float:
 
 
 def p_value(token: str) -> float | None:
-    """The battery's p-value for "random in its encoding"; None without an encoding."""
+    """The battery's p-value against "random in its encoding"; None without an encoding."""
     if (found := symbols(token)) is None:
         return None
     s, size = found
@@ -122,6 +134,31 @@ def p_value(token: str) -> float | None:
     return min(1.0, 3 * min(uniform, of_runs, serial))
 
 
+def class_of(length: int) -> int:
+    return sum(length >= x for x in CLASSES) - 1
+
+
+def bin_of(p: float) -> int:
+    return min(BINS - 1, int(-math.log(max(p, 1e-300)) * PER_E))
+
+
+def identifiers(text: str) -> Iterator[str]:
+    """A structured token for each class of length: words of text from some place on, joined in one of the usual ways, with a number."""
+    seed = zlib.crc32(text.encode("utf-8", "replace"))
+    for k, least in enumerate(CLASSES):
+        turn = seed + 7919 * k
+        style, number = turn % 5, str(turn // 5 % 10_000)
+        length = least + turn // 7 % max(4, least // 4)
+        found = chain(WORDS.finditer(text, turn % max(1, len(text))), WORDS.finditer(text))
+        parts: list[str] = []
+        while sum(map(len, parts)) < length and (m := next(found, None)):
+            parts.append((m[0].lower(), m[0].capitalize(), m[0].upper(), m[0].capitalize(), m[0].capitalize())[style])
+        if sum(map(len, parts)) < length:
+            return
+        parts.insert(1 + turn // 3 % len(parts), number)
+        yield ("", "_", "", "", "/")[style].join(parts)[:length]
+
+
 def scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, float]]]:
     """Fixed spans, and (start, end, p) of the other tokens that have an encoding."""
     if not text:
@@ -137,56 +174,72 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int,
     return base, free
 
 
-SCANNED = "doc_id long, base array<struct<start:long,stop:long,kind:string>>, tokens array<struct<start:long,stop:long,p:double>>"
+SCANNED = "doc_id long, base array<struct<start:long,stop:long,kind:string>>, tokens array<struct<start:long,stop:long,class:int,bin:int>>, null array<struct<class:int,bin:int>>"
 
 
 def scanned(docs: DataFrame) -> DataFrame:
+    """(doc_id, base, tokens, null) of every row: fixed spans, tokens with their results, and those of the document's identifiers."""
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.string())]))
-    token = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("p", pa.float64())]))
+    token = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("class", pa.int32()), ("bin", pa.int32())]))
+    nulls = pa.list_(pa.struct([("class", pa.int32()), ("bin", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [scan(t) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            found = [scan(t) for t in texts]
             base = pa.array([[{"start": a, "stop": b, "kind": k} for a, b, k in x] for x, _ in found], span)
-            tokens = pa.array([[{"start": a, "stop": b, "p": p} for a, b, p in x] for _, x in found], token)
-            yield pa.RecordBatch.from_arrays([batch.column(0), base, tokens], ["doc_id", "base", "tokens"])
+            tokens = pa.array([[{"start": a, "stop": b, "class": class_of(b - a), "bin": bin_of(p)} for a, b, p in x] for _, x in found], token)
+            null = [[(class_of(len(x)), p_value(x)) for x in identifiers(t)] if t else [] for t in texts]
+            null = pa.array([[{"class": k, "bin": bin_of(p)} for k, p in x if p is not None] for x in null], nulls)
+            yield pa.RecordBatch.from_arrays([batch.column(0), base, tokens, null], ["doc_id", "base", "tokens", "null"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCANNED)
 
 
-def weighted(token, mean):
-    """A token's p-value over its share of the budget, which falls with its length."""
-    return token["p"] * (token["stop"] - token["start"]) / mean
+def null_distribution(rows: DataFrame) -> DataFrame:
+    """One row with one array of arrays: by class of length and bin, the share of identifiers that look at least as random."""
+    counts = rows.select(F.explode("null").alias("x")).groupBy("x.class", "x.bin").agg(F.count("*").alias("n"))
+    every = rows.sparkSession.range(len(CLASSES) * BINS).select((F.col("id") / BINS).cast("int").alias("class"), (F.col("id") % BINS).cast("int").alias("bin"))
+    full = every.join(counts, ["class", "bin"], "left").na.fill(0, ["n"])
+    of_class = Window.partitionBy("class")
+    q = (F.sum("n").over(of_class.orderBy("bin")) + 1) / (F.sum("n").over(of_class) + 1)
+    by_class = full.withColumn("q", q).groupBy("class").agg(F.array_sort(F.collect_list(F.struct("bin", "q"))).alias("rows"))
+    return by_class.agg(F.array_sort(F.collect_list(F.struct("class", F.transform("rows", lambda r: r["q"]).alias("q")))).alias("all")).select(F.transform("all", lambda x: x["q"]).alias("q"))
 
 
-def rejected_below(rows: DataFrame) -> DataFrame:
-    """One row (mean, cut): mean token length; tokens whose weighted p-value is at most cut are rejected as random."""
+def weighted(token, null, mean):
+    """A token's q over its share of the budget, which grows with its length."""
+    return F.least(F.lit(1.0), null[token["class"]][token["bin"]] * mean / (token["stop"] - token["start"]))
+
+
+def reported_below(rows: DataFrame, null: DataFrame) -> DataFrame:
+    """One row (mean, cut): mean token length; tokens in a bin of weighted q of at least cut are reported. A null cut: none are."""
     tokens = rows.select(F.explode("tokens").alias("t"))
     mean = tokens.agg(F.coalesce(F.avg(F.col("t.stop") - F.col("t.start")), F.lit(1.0)).alias("mean"))
-    q = weighted(F.col("t"), F.col("mean"))
-    bins = (
-        tokens.withColumn("mean", mean.scalar())
-        .select(F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor(-F.log(F.greatest(q, F.lit(1e-300))) * PER_E))).cast("int").alias("bin"))
-        .groupBy("bin")
-        .agg(F.count("*").alias("n"))
-    )
-    # of the tokens with a p-value up to a bin's upper edge, so many are expected to be random ones
+    bins = tokens.withColumn("q", null.scalar()).withColumn("mean", mean.scalar()).select(q_bin(weighted(F.col("t"), F.col("q"), F.col("mean"))).alias("bin"))
+    bins = bins.groupBy("bin").agg(F.count("*").alias("n"))
+    # of the tokens with a q up to a bin's upper edge, that edge times all tokens are expected to be structured ones
     upto = F.sum("n").over(Window.orderBy(F.desc("bin")))
     edge = F.exp(-F.col("bin") / F.lit(float(PER_E)))
     passed = bins.withColumns({"upto": upto, "total": F.sum("n").over(Window.partitionBy())}).where(edge * F.col("total") <= F.lit(RATE) * F.col("upto"))
-    cut = passed.agg(F.min("bin").alias("bin"))
-    return mean.withColumn("bin", cut.scalar()).select("mean", F.when(F.col("bin").isNull(), F.lit(-1.0)).otherwise(F.exp(-F.col("bin") / F.lit(float(PER_E)))).alias("cut"))
+    return mean.withColumn("cut", passed.agg(F.min("bin").alias("bin")).scalar())
+
+
+def q_bin(q):
+    return F.least(F.lit(BINS - 1), F.floor(-F.log(q) * PER_E)).cast("int")
 
 
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans): arrays of (start, stop, kind), spans with the random ones."""
     rows = materialize(scanned(docs), "secret-spans")
-    cut = materialize(rejected_below(rows), "secret-cut")
-    random = F.filter("tokens", lambda t: weighted(t, F.col("_cut.mean")) > F.col("_cut.cut"))
+    null = materialize(null_distribution(rows), "secret-null")
+    cut = materialize(reported_below(rows, null), "secret-cut")
+    random = F.filter("tokens", lambda t: F.coalesce(q_bin(weighted(t, F.col("_null"), F.col("_cut.mean"))) >= F.col("_cut.cut"), F.lit(False)))
     added = F.transform(random, lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), F.lit("random").alias("kind")))
     place = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
     both = F.transform(F.concat("base", added), lambda s: F.struct(s["start"].alias("start"), place(s).alias("place"), s["stop"].alias("stop"), s["kind"].alias("kind")))
-    return rows.withColumn("_cut", cut.select(F.struct("mean", "cut")).scalar()).select("doc_id", "base", F.array_sort(both).alias("spans"))
+    held = rows.withColumn("_null", null.scalar()).withColumn("_cut", cut.select(F.struct("mean", "cut")).scalar())
+    return held.select("doc_id", "base", F.array_sort(both).alias("spans"))
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
