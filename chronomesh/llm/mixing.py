@@ -116,23 +116,25 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repeat(docs: DataFrame, seed: str = SEED, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """docs mixed: each document as many times as it is taken whole, and once more with its first words where it is taken in part."""
     table = materialize(sized(docs, seed), "mix-sizes")
-    names = {c: free_name(docs, c) for c in ("size", "digest", "_s", "_copies", "_part")}
-    sources = plan(table, weights, max_epochs).select(F.col("source").alias(names["_s"]), F.struct("whole", "cut", "cut_words", "cut_size").alias("_plan"))
-    size, key, p = F.col(names["size"]), F.col(names["digest"]), F.col("_plan")
+    names = {c: free_name(docs, c) for c in ("size", "digest", "_s", "_plan", "_part")}
+    sources = plan(table, weights, max_epochs).select(F.col("source").alias(names["_s"]), F.struct("whole", "cut", "cut_words", "cut_size").alias(names["_plan"]))
+    size, key, p = F.col(names["size"]), F.col(names["digest"]), F.col(names["_plan"])
     part = F.floor(p["cut_words"].cast("double") * size / p["cut_size"])
     extra = F.when(key < p["cut"], size).when(key == p["cut"], part).otherwise(F.lit(0))
     first = F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col(names["_part"]).cast("int")), " ")
     whole = F.array_repeat(F.lit(0), (p["whole"] + F.when(extra >= size, 1).otherwise(0)).cast("int"))
     some = F.when((extra > 0) & (extra < size), F.array(extra.cast("int"))).otherwise(F.array().cast("array<int>"))
-    return (
+    mixed = (
         docs.withColumn(names["size"], n_words(F.col("text")))
         .where(size > 0)
         .withColumn(names["digest"], digest(F.col("doc_id"), seed))
         .join(sources, F.col("source").eqNullSafe(F.col(names["_s"])))
         .withColumn(names["_part"], F.explode(F.concat(whole, some)))
         .withColumn("text", F.when(F.col(names["_part"]) > 0, first).otherwise(F.col("text")))
-        .select(docs.columns)
     )
+    if "n_chars" in docs.columns:
+        mixed = mixed.withColumn("n_chars", F.when(F.col(names["_part"]) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return mixed.select(docs.columns)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
