@@ -1,6 +1,6 @@
 """Quality rules: countable base rules, then a hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
-Every n-gram of a text (its words, and the endings of neighbouring words) is hashed
+Every n-gram of a text (its words, and each two neighbouring ones) is hashed
 into a fixed number of buckets. Two multinomials are counted over the buckets: one over
 all documents (raw), one over documents labelled as good (target). A document's score is
 the mean of log(p_target / p_raw) over its n-grams, so its length does not matter. The
@@ -36,7 +36,6 @@ MARGIN = 0.05
 SMOOTHING = 0.5
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]+"
-ENDING = 3
 
 
 def hashes(text: Column) -> Column:
@@ -44,12 +43,14 @@ def hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def grams(text: Column, buckets: int) -> Column:
-    """Buckets of a text's n-grams: each word, and the last ENDING characters of each two neighbouring words."""
-    bucket = lambda *x: F.pmod(F.xxhash64(*x), F.lit(buckets)).cast("int")
-    endings = lambda w: F.transform(w, lambda x: F.right(x, F.lit(ENDING)))
-    pairs = lambda e: F.zip_with(F.slice(e, F.lit(1), F.greatest(F.size(e) - 1, F.lit(0))), F.slice(e, F.lit(2), F.size(e)), lambda a, b: bucket(F.lit(1), a, b))
-    return let(words(text), lambda w: F.concat(F.transform(w, lambda x: bucket(x)), let(endings(w), pairs)))
+def neighbours(x: Column, by: int) -> Column:
+    """A hash for each two elements of x that stand `by` apart."""
+    return F.zip_with(F.slice(x, F.lit(1), F.greatest(F.size(x) - by, F.lit(0))), F.slice(x, by + 1, F.size(x)), lambda a, b: F.xxhash64(a, b))
+
+
+def grams(h: Column, buckets: int) -> Column:
+    """Buckets of a text's n-grams, its words and each two neighbouring words; h: hashes of the words."""
+    return F.transform(F.concat(h, neighbours(h, 1)), lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
 
 
 def repeated_words(h: Column) -> Column:
@@ -59,9 +60,7 @@ def repeated_words(h: Column) -> Column:
     repeat a window go on to sort (hash, position); a repeated window then covers the words
     up to the next one's start.
     """
-    double = lambda x, by: F.zip_with(x, F.slice(x, by + 1, F.size(x)), lambda a, b: F.xxhash64(a, b))
-    halves = let(let(double(h, 1), lambda x: double(x, 2)), lambda x: double(x, 4))
-    windows = F.when(F.size(h) >= WINDOW, F.slice(halves, F.lit(1), F.size(h) - (WINDOW - 1))).otherwise(F.array().cast("array<bigint>"))
+    windows = let(let(neighbours(h, 1), lambda x: neighbours(x, 2)), lambda x: neighbours(x, 4))
 
     def starts(h: Column) -> Column:
         """Ascending positions of the windows that have an equal one."""
@@ -87,16 +86,15 @@ def base_columns(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE[1:]}"))
-    held = docs.withColumn("_h", hashes(F.col("text")))
     return (
-        held.withColumns(
+        docs.withColumn("_h", hashes(F.col("text"))).withColumns(
             {
                 "n_words": F.size("_h").cast("long"),
                 "word_chars": F.length(F.regexp_replace(text, f"{SPACE}+", "")).cast("long"),
                 "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long"),
                 "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
                 "n_repeat_words": repeated_words(F.col("_h")),
-                "_grams": grams(F.col("text"), BUCKETS),
+                "_grams": grams(F.col("_h"), BUCKETS),
             }
         )
         .withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
@@ -106,7 +104,7 @@ def base_columns(docs: DataFrame) -> DataFrame:
 
 def counts(docs: DataFrame, buckets: int, name: str) -> DataFrame:
     """N-grams of docs by bucket; summed in each task before the shuffle, so at most `buckets` rows leave a task."""
-    gram = docs.select(F.explode(grams(F.col("text"), buckets)).alias("bucket"))
+    gram = docs.select(F.explode(let(hashes(F.col("text")), lambda h: grams(h, buckets))).alias("bucket"))
     return gram.groupBy("bucket").agg(F.count("*").alias(name))
 
 
@@ -153,7 +151,7 @@ def fit(corpus: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
         corpus.select("doc_id", "text")
         .join(F.broadcast(held) if small else held, "doc_id", "left_semi")
         .withColumn("_weights", table.scalar())
-        .select(let(grams(F.col("text"), BUCKETS), lambda g: score(g, F.col("_weights"))).alias("llr"))
+        .select(let(let(hashes(F.col("text")), lambda h: grams(h, BUCKETS)), lambda g: score(g, F.col("_weights"))).alias("llr"))
     )
     return table, materialize(sample.agg((F.percentile_approx("llr", LOSS, ACCURACY) - F.lit(MARGIN)).alias("threshold")), "quality-threshold")
 
@@ -180,7 +178,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep. Only what the verdict needs is computed, once for each row; the log-likelihood ratio only where the base rules pass."""
     table, cut = fit(docs, read(spark, sf_dir, "labels"))
     names = [free_name(docs, "_weights"), free_name(docs, "_threshold")]
-    passes = let(hashes(F.col("text")), lambda h: (F.size(h) >= 20) & (100 * repeated_words(h) <= 30 * F.size(h)))
-    llr = let(grams(F.col("text"), BUCKETS), lambda g: score(g, F.col(names[0])))
-    kept = F.when(passes, F.coalesce(llr >= F.col(names[1]), F.lit(True))).otherwise(F.lit(False))
+    llr = lambda h: let(grams(h, BUCKETS), lambda g: score(g, F.col(names[0])))
+    passes = lambda h: (F.size(h) >= 20) & (100 * repeated_words(h) <= 30 * F.size(h))
+    kept = let(hashes(F.col("text")), lambda h: F.when(passes(h), F.coalesce(llr(h) >= F.col(names[1]), F.lit(True))).otherwise(F.lit(False)))
     return docs.withColumn(names[0], table.scalar()).withColumn(names[1], cut.scalar()).where(kept).select(docs.columns)
