@@ -278,6 +278,33 @@ def orc_05(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("n", "m", "k", H(F.col("cost")).alias("cost"), "grp")
 
 
+@query("orc_05_task_families", """WITH s AS (
+  SELECT n_name AS source, 'recorded' AS kind, n_nationkey = min(n_nationkey) OVER (PARTITION BY n_regionkey) AS ref, 0 AS samples FROM nation
+  UNION ALL SELECT r_name, 'synthetic', r_name < 'B', 2000 + 1000 * (r_regionkey % 2) FROM region
+), t AS (
+  SELECT source, kind, samples, 48 AS states, 6 AS delays, 25.0 AS delay_ms, 'block_rms' AS scaling, 0.005 AS variance_weight, false AS fixed_states FROM s WHERE kind = 'recorded'
+  UNION SELECT source, kind, samples, 48, 6, 25.0, 'channel_zscore', 0.005, false FROM s WHERE kind = 'recorded'
+  UNION SELECT source, kind, samples, 48, 1, 0.0, 'block_rms', 0.005, false FROM s WHERE kind = 'synthetic'
+  UNION SELECT source, kind, samples, n, 1, 0.0, 'block_rms', 0.005, false FROM s, unnest([8, 12, 16, 24, 32, 48]) u(n) WHERE kind = 'synthetic' AND ref
+  UNION SELECT source, kind, samples, 48, 6, d, 'block_rms', 0.005, false FROM s, unnest([10.0, 25.0, 50.0]) u(d) WHERE kind = 'recorded' AND ref
+  UNION SELECT source, kind, samples, 48, 6, 25.0, 'block_rms', 0.01, false FROM s WHERE kind = 'recorded' AND ref
+  UNION SELECT source, kind, samples, n, 1, 0.0, 'block_rms', 0.005, false FROM s, unnest([20, 24, 28, 32, 36, 40, 48, 56, 64]) u(n) WHERE kind = 'recorded' AND ref
+  UNION SELECT source, kind, samples, n, 6, 25.0, 'block_rms', 0.005, false FROM s, unnest([24, 28, 32, 36, 40, 44, 48, 52, 56, 64, 80]) u(n) WHERE kind = 'recorded' AND ref
+  UNION SELECT source, kind, samples, 48, 6, 25.0, 'block_rms', 0.005, true FROM s WHERE kind = 'recorded' AND ref
+), n AS (
+  SELECT *, CAST(CASE WHEN kind = 'synthetic' THEN 300 * greatest(1, ceil(samples / 2048)) ELSE floor(40000 * (states / 48) * sqrt(delays / 6.0::DOUBLE)) END AS BIGINT) AS steps FROM t
+)
+SELECT source, states, delays, CAST(delay_ms AS DOUBLE) AS delay_ms, scaling, CAST(variance_weight AS DOUBLE) AS variance_weight, fixed_states, steps,
+  CAST(floor(3000.0::DOUBLE * (steps * delays * states * states) / (40000::DOUBLE * 6 * 48 * 48)) AS BIGINT) AS cost FROM n""")
+def orc_05_families(spark: SparkSession, sf: str) -> DataFrame:
+    from chronomesh.operators.tasks import planned
+
+    first = F.col("n_nationkey") == F.min("n_nationkey").over(Window.partitionBy("n_regionkey"))
+    recorded = table(spark, sf, "nation").select(F.col("n_name").alias("source"), F.lit("recorded").alias("kind"), first.alias("reference"), F.lit(0).alias("samples"))
+    synthetic = table(spark, sf, "region").select(F.col("r_name").alias("source"), F.lit("synthetic").alias("kind"), (F.col("r_name") < "B").alias("reference"), (2000 + 1000 * (F.col("r_regionkey") % 2)).alias("samples"))
+    return planned(recorded.unionByName(synthetic)).drop("kind", "samples")
+
+
 DIMENSION = f"{SPECTRUM}, q AS (SELECT id, ev, list_transform(range(1, len(ev)), lambda i: ev[i] / (ev[i + 1] + {E.TINY!r}::DOUBLE)) AS q FROM spectrum), dims AS (SELECT id, CASE WHEN ev[1] > 10 * {E.TINY!r}::DOUBLE THEN CAST(list_position(q, list_max(q)) AS BIGINT) ELSE 0 END AS d FROM q)"
 
 
