@@ -1,11 +1,17 @@
-"""Classes of similar items by MinHash bands: bucket stars first, exact checks, then what stars leave open.
+"""Classes of similar items by MinHash bands: bucket stars, exact checks, and longer keys for what stars leave open.
 
 Items come as (item, keys): a 64-bit identity and the band keys of its min-hashes. Items
-with a common key share a bucket. Each is checked against the bucket's smallest item; after
-a first union-find, buckets whose items are still in different components check all pairs
-where they are small, and go through an exact similarity join with prefix filter otherwise. So of every two items in a bucket the link is
-checked, implied or ruled out; a bucket of copies costs one check for each, and one of
-items that only share a passage costs next to none.
+with a common key share a bucket, and each is checked against the bucket's smallest item.
+After a union-find, some buckets still hold items of different components that were never
+compared. Where these are few, all their pairs are checked; the others are bucketed anew
+by the key together with a later band's, which agree for alike items and seldom for items
+that only have a passage in common, and so on for LEVELS levels. A level makes at most
+OFFSETS rows for each row left open, and a row at most FEW pairs, so no step grows with the
+square of a bucket; a bucket of copies costs one check for each.
+
+A bucket that many items share is cut into chunks with a smallest item each, and these
+are compared among themselves, so no item meets an unbounded number of others and no task
+holds an unbounded bucket. Which keys may be that large is read off a histogram of fixed size.
 """
 
 from __future__ import annotations
@@ -14,36 +20,63 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronomesh.llm.common import materialize
 from chronomesh.llm.components import components
 
-#: Two items of similarity 0.8 miss each other in all bands once in 500 pairs.
-BANDS, ROWS = 12, 4
-MULTIPLIERS = np.array([xxhash.xxh64_intdigest(f"band {i}", 1) & 0xFFFFFFFF | 1 for i in range(BANDS * ROWS)], np.uint32)
-#: Open items of a bucket up to which all its pairs are checked; those of larger buckets go through the prefix filter.
-FEW = 32
-#: Cells of the frequency sketch.
-SKETCH = 1 << 18
-ADDENDS = np.array([xxhash.xxh64_intdigest(f"band {i}", 2) & 0xFFFFFFFF for i in range(BANDS * ROWS)], np.uint32)
-
-
-def keys_of(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """A key for each band of each item: shape (items, BANDS). h: 32-bit shingle hashes of all items; begin: where each item's start."""
-    least = np.empty((len(begin), BANDS * ROWS), np.uint32)
-    for i in range(BANDS * ROWS):
-        least[:, i] = np.minimum.reduceat(h * MULTIPLIERS[i] + ADDENDS[i], begin)
-    keys = np.empty((len(begin), BANDS), np.uint64)
-    mix = np.uint64(0x9E3779B97F4A7C15)
-    for band in range(BANDS):
-        key = np.full(len(begin), band + 1, np.uint64)
-        for i in range(band * ROWS, (band + 1) * ROWS):
-            key = (key ^ least[:, i]) * mix
+#: Min-hashes of an item: the smallest shingle hash in each of so many cells of the hash's range.
+CELLS = 60
+#: Cells from which an empty one borrows, one after the other.
+DONORS = np.random.default_rng(7).integers(0, CELLS, (CELLS, 24))
+#: Open items of a bucket up to which all its pairs are checked.
+FEW = 16
+#: Rounds of longer keys, and later bands that a key is lengthened by.
+LEVELS, OFFSETS = 4, 2
+#: Cells of the histogram of keys, and rows from which a cell's keys are cut into chunks.
+HISTOGRAM, CHUNK = 1 << 14, 20_000
+MIX = np.uint64(0x9E3779B97F4A7C15)
+#: A key's lowest bits, which tell its band.
+BAND = 31
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """x (uint64) with its bits spread over the whole number."""
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def keys_of(h: np.ndarray, item: np.ndarray, n: int, rows: int) -> np.ndarray:
+    """A key for every `rows` min-hashes of each of n items: shape (n, CELLS // rows). h: mixed shingle hashes; item: whose each one is, from 0."""
+    cell = ((h >> np.uint64(40)) * np.uint64(CELLS)) >> np.uint64(24)
+    packed = (item.astype(np.uint64) << np.uint64(44)) | (cell << np.uint64(36)) | (h & np.uint64((1 << 36) - 1))
+    packed.sort()
+    place = packed >> np.uint64(36)
+    first = packed[np.concatenate([[True], place[1:] != place[:-1]])] if len(packed) else packed
+    own = np.full((n, CELLS), -1, np.int64)
+    own[(first >> np.uint64(44)).astype(np.int64), ((first >> np.uint64(36)) & np.uint64(255)).astype(np.int64)] = (first & np.uint64((1 << 36) - 1)).astype(np.int64)
+    least = own.copy()
+    row, column = np.nonzero(own < 0)
+    some = (own >= 0).any(axis=1)[row]
+    row, column = row[some], column[some]
+    for turn in range(DONORS.shape[1] + CELLS):
+        if not len(row):
+            break
+        donor = DONORS[column, turn] if turn < DONORS.shape[1] else (column + turn) % CELLS
+        value = own[row, donor]
+        found = value >= 0
+        least[row[found], column[found]] = value[found]
+        row, column = row[~found], column[~found]
+    keys = np.empty((n, CELLS // rows), np.uint64)
+    values = least.astype(np.uint64)
+    for band in range(CELLS // rows):
+        key = np.full(n, band + 1, np.uint64)
+        for i in range(band * rows, (band + 1) * rows):
+            key = (key ^ values[:, i]) * MIX
             key ^= key >> np.uint64(31)
-        keys[:, band] = key
+        keys[:, band] = (key & ~np.uint64(BAND)) | np.uint64(band)
     return keys.view(np.int64)
 
 
@@ -62,75 +95,85 @@ def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable[[bytes], np.ndarray], similarity: float) -> DataFrame:
-    """Those of pairs (a, b) whose texts (item, text) have a Jaccard similarity of at least that."""
+    """Those of pairs (a, b, root_a, root_b) whose texts (item, text) have a Jaccard similarity of at least that."""
+    kept = ["a", "b", "root_a", "root_b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = b"", shingles(b"")
         for batch in batches:
-            keep = []
-            for text_a, text_b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            alike = []
+            for text_a, text_b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
                 if text_a != last:
                     last, own = text_a, shingles(text_a)
-                keep.append(similarity_of(own, shingles(text_b)) >= similarity)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                alike.append(similarity_of(own, shingles(text_b)) >= similarity)
+            yield batch.select(kept).filter(pa.array(alike, pa.bool_()))
 
     text = lambda end: texts.select(F.col("item").alias(end), F.col("text").alias(f"text_{end}"))
-    both = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a long, b long")
+    both = pairs.join(text("b"), "b").join(text("a"), "a").select(*kept, "text_a", "text_b")
+    return both.mapInArrow(run, "a long, b long, root_a long, root_b long")
 
 
-def sketch(texts: DataFrame, shingles: Callable[[bytes], np.ndarray]) -> np.ndarray:
-    """How often shingles of texts fall into each of SKETCH cells; a table of fixed size."""
+def histogram_cell(key: Column) -> Column:
+    return F.pmod(F.shiftright(key, BAND.bit_length()), F.lit(HISTOGRAM)).cast("int")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                np.add.at(n, cells(shingles(text)), 1)
-        cell = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n[cell])], ["cell", "n"])
 
-    counts = np.zeros(SKETCH, np.int64)
-    rows = texts.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    counts[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return counts
+def chunked(rows: DataFrame, item: str = "item", look: DataFrame | None = None, share: float = 1) -> DataFrame:
+    """rows (key, item, ...) with chunk: 0, but for keys that may be large, whose items are dealt over chunks from 1 on.
 
+    look: where reading all rows twice is dear, about that share of them; its sizes decide only how rows are dealt out.
+    """
+    cell = histogram_cell(F.col("key"))
+    sizes = (rows if look is None else look).groupBy(cell.alias("cell")).agg((F.count("*") / share).alias("n"))
+    sizes = materialize(sizes, "bucket-sizes")  # HISTOGRAM rows at most
+    most = sizes.agg(F.greatest(F.lit(float(CHUNK)), 4 * F.sum("n") / HISTOGRAM).alias("most"))
+    large = sizes.withColumn("most", most.scalar()).where("n > most").select("cell", F.ceil(F.col("n") / F.col("most")).cast("int").alias("chunks"))
+    dealt = F.coalesce(F.pmod(F.xxhash64(item), F.col("chunks")) + 1, F.lit(0)).cast("int")
+    return rows.withColumn("cell", cell).join(F.broadcast(large), "cell", "left").select(*rows.columns, dealt.alias("chunk"))
 
-def cells(shingles: np.ndarray) -> np.ndarray:
-    return (shingles * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - SKETCH.bit_length())
 
+def pairs_of(a: DataFrame, b: DataFrame, on: str | list) -> DataFrame:
+    """Pairs (a, b, root_a, root_b) of items of different components that meet."""
+    side = lambda rows, x: rows.withColumnsRenamed({"item": x, "root": f"root_{x}"})
+    return side(a, "a").join(side(b, "b"), on).where("a <> b AND root_a <> root_b").select("a", "b", "root_a", "root_b")
 
-def rare_pairs(items: DataFrame, texts: DataFrame, shingles: Callable[[bytes], np.ndarray], similarity: float) -> DataFrame:
-    """All pairs (a, b) of items (item, root) with different roots that may be that similar, by prefix filter.
 
-    Shingles have one order for all items, about from rare to frequent. Of n shingles, two
-    sets that similar must share one among the first n - ceil(similarity * n) + 1 of each,
-    at places that leave room for the overlap needed. What is frequent (a passage that many
-    items hold) stands at the end and makes no pairs.
-    """
-    own = materialize(items.join(texts, "item"), "rare-items")
-    counts = own.sparkSession.sparkContext.broadcast(sketch(own, shingles))
+def met(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs) of the buckets that several items share. rows (key, item) and root, its component so far, if that is another than the item.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for item, root, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = shingles(text)
-                often = counts.value[cells(h)]
-                n = len(h)
-                first = np.lexsort((h, often))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
-                place = np.flatnonzero(often[first] > 1)  # what is there once has no partner
-                at = first[place]
-                arrays = [pa.array(h[at].view(np.int64)), pa.array(np.full(len(at), item)), pa.array(np.full(len(at), root)), pa.array(place), pa.array(np.full(len(at), n))]
-                yield pa.RecordBatch.from_arrays(arrays, ["shingle", "item", "root", "place", "n"])
-
-    rows = own.select("item", "root", "text").mapInArrow(run, "shingle long, item long, root long, place long, n long")
-    rows = materialize(rows, "rare-shingles")
-    a, b = (rows.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("item", "root", "place", "n")]) for x in "ab")
-    needed = similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b"))
-    room = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) - 1
-    fits = (F.col("item_a") < F.col("item_b")) & (F.col("root_a") != F.col("root_b")) & (room >= needed - 1e-6)
-    fits = fits & (F.col("n_a") >= similarity * F.col("n_b") - 1e-6) & (F.col("n_b") >= similarity * F.col("n_a") - 1e-6)
-    return a.join(b, (a["shingle"] == b["shingle"]) & fits).select(F.col("item_a").alias("a"), F.col("item_b").alias("b")).distinct()
+    members (key, item, done), done: compared with all others of its bucket; pairs
+    (a, b, root_a, root_b): each item with its chunk's smallest, and the smallest of a
+    bucket's chunks with the smallest of all. Pairs within a component are left out.
+    """
+    chunk = Window.partitionBy("key", "chunk")
+    root = F.col("root" if "root" in rows.columns else "item")
+    ends = {"low": F.min(F.struct("item", root.alias("root"))).over(chunk), "top": F.max("item").over(chunk)}
+    shared = chunked(rows).withColumns(ends).where("low.item <> top OR chunk > 0").select("key", "item", root.alias("root"), F.col("low.item").alias("rep"), F.col("low.root").alias("rep_root"), "chunk")
+    shared = materialize(shared.dropDuplicates(["key", "item"]), "buckets")
+    pairs = shared.where("item <> rep AND root <> rep_root").select(F.col("rep").alias("a"), F.col("item").alias("b"), F.col("rep_root").alias("root_a"), F.col("root").alias("root_b"))
+    # a row for each chunk; those of one key are few
+    chunks = shared.where("chunk > 0").select("key", F.col("rep").alias("item"), F.col("rep_root").alias("root")).distinct()
+    lowest = chunks.groupBy("key").agg(F.min(F.struct("item", "root")).alias("low")).select("key", "low.item", "low.root")
+    pairs = pairs.unionAll(pairs_of(materialize(lowest, "bucket-lowest"), chunks, "key")).dropDuplicates(["a", "b"])
+    done = (F.col("item") == F.col("rep")) & (F.col("chunk") == 0)
+    return shared.select("key", "item", done.alias("done")), pairs
+
+
+def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (key, item, root, n) that aren't done, of buckets with such members in different components; n: how many."""
+    left = members.where("NOT done").join(roots.withColumnRenamed("node", "item"), "item", "left")
+    left = materialize(left.select("key", "item", F.coalesce("root", "item").alias("root")), "bucket-members")
+    split = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
+    return left.join(split.select("key", "n"), "key")
+
+
+def merged(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """roots (node, root) after edges (root_a, root_b) between components; nodes that roots lack are components of their own."""
+    new = components(edges.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    if roots is None:
+        return new
+    up = new.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    known = roots.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return materialize(known.unionAll(new.join(roots, "node", "left_anti").select("node", "root")), "bucket-roots")
 
 
 def classes(
@@ -144,25 +187,23 @@ def classes(
     table: (item, keys). fetch: the texts (item, text) of given items. shingles: those of a
     text, as distinct 64-bit numbers.
     """
-    bucket = Window.partitionBy("key")
-    met = (
-        table.select(F.explode("keys").alias("key"), "item")
-        .withColumns({"rep": F.min("item").over(bucket), "top": F.max("item").over(bucket)})
-        .where("rep <> top")
-        .select("key", "rep", "item")
-        .distinct()
-    )
-    met = materialize(met, "buckets")
-    texts = materialize(fetch(met.select("item").distinct()), "bucket-texts")
+    keyed = table.where(F.size("keys") > 0)
+    members, pairs = met(keyed.select(F.explode("keys").alias("key"), "item"))
+    texts = materialize(fetch(members.select("item").distinct()), "bucket-texts")
     check = lambda pairs: materialize(verified(materialize(pairs, "bucket-pairs"), texts, shingles, similarity), "bucket-edges")
-    edges = check(met.where("item <> rep").select(F.col("rep").alias("a"), F.col("item").alias("b")).distinct())
-    # what the smallest items didn't link: members of one bucket, neither its smallest, in different components
-    first = components(edges).withColumnRenamed("node", "item")
-    member = met.where("item <> rep").join(first, "item", "left").select("key", "item", F.coalesce("root", "item").alias("root"))
-    split = member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
-    open_ = materialize(member.join(split.select("key", "n"), "key"), "buckets-open")
-    few = open_.where(F.col("n") <= FEW)
-    a, b = (few.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("item", "root")]) for x in "ab")
-    all_pairs = a.join(b, "key").where("item_a < item_b AND root_a <> root_b").select(F.col("item_a").alias("a"), F.col("item_b").alias("b")).distinct()
-    left = materialize(open_.where(F.col("n") > FEW).select("item", "root").distinct(), "buckets-left")
-    return components(edges.unionAll(check(all_pairs)).unionAll(check(rare_pairs(left, texts, shingles, similarity))))
+    roots = merged(None, check(pairs))
+    for level in range(LEVELS):
+        left = materialize(open_members(members, roots), "buckets-open")
+        few, many = (left.where(x).select("key", "item", "root") for x in (F.col("n") <= FEW, F.col("n") > FEW))
+        pairs = pairs_of(few, few, "key").where("a < b").dropDuplicates(["a", "b"])
+        if level < LEVELS - 1 and not many.isEmpty():
+            own = keyed.join(many.select("item").distinct(), "item", "left_semi").dropDuplicates(["item"])
+            band = lambda o: F.pmod(F.col("key").bitwiseAND(BAND) + o, F.size("keys"))
+            longer = [F.xxhash64("key", F.get("keys", band(o).cast("int"))).bitwiseAND(~BAND).bitwiseOR(band(o)) for o in range(1, OFFSETS + 1)]
+            members, stars = met(materialize(many.join(own, "item").select(F.explode(F.array(*longer)).alias("key"), "item", "root"), "buckets-longer"))
+            roots = merged(roots, check(pairs.unionAll(stars).dropDuplicates(["a", "b"])))
+        elif pairs.isEmpty():
+            return roots
+        else:
+            return merged(roots, check(pairs))
+    return roots
