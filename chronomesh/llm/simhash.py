@@ -32,8 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronomesh.llm.buckets import BANDS, classes, distinct, keys_of
-from chronomesh.llm.common import materialize, read
+from chronomesh.llm.buckets import classes, distinct, keys_of, mixed
+from chronomesh.llm.common import free_name, materialize, read
 from chronomesh.llm.components import components, forest
 
 DISTANCE = 2
@@ -203,29 +203,41 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For the stage: words in a shingle, and the similarity from which two documents are near-duplicates.
-STAGE_SHINGLE, SIMILARITY = 5, 0.8
-BROADCAST_ROWS = 200_000
+#: For the stage: words in a shingle, the similarity from which two documents are near-duplicates, and min-hashes of a band.
+STAGE_SHINGLE, SIMILARITY, ROWS = 5, 0.8, 4
+#: Bytes of ids that may be broadcast, at 32 a row; more are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, item, keys): item is a hash of the text's words, keys are its MinHash bands over shingles of STAGE_SHINGLE words."""
+    """(doc_id, copy, item, keys): copy is a hash of the text, item one of its words, keys are its MinHash bands over shingles of STAGE_SHINGLE words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = part.column(1).to_pylist()
-                normal = [b" ".join(t.lower().split()) if t else b"" for t in texts]
-                items = [xxhash.xxh64_intdigest(t, 7) - (1 << 63) for t in normal]
-                h = [(shingles(t) >> np.uint64(32)).astype(np.uint32) for t in normal]
-                begin = np.cumsum([0, *map(len, h)])[:-1]
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * BANDS), pa.array(keys_of(np.concatenate(h), begin).ravel()))
-                arrays = [part.column(0), pa.array(items, pa.int64()), keys]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item", "keys"])
+                normal = [normal_form(t) for t in part.column(2).to_pylist()]
+                items = [identity(t) for t in normal]
+                h = [shingles(t) for t in normal]
+                of = np.repeat(np.arange(len(h)), [len(x) for x in h])
+                keys = keys_of(mixed(np.concatenate(h)), of, len(h), ROWS)
+                offsets = pa.array(np.arange(len(h) + 1, dtype=np.int32) * keys.shape[1])
+                arrays = [part.column(0), part.column(1), pa.array(items, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "copy", "item", "keys"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return own.mapInArrow(run, "doc_id long, item long, keys array<long>")
+    return plain(docs).mapInArrow(run, "doc_id long, copy long, item long, keys array<long>")
+
+
+def plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), F.col("text").cast("binary").alias("text"))
+
+
+def normal_form(text: bytes | None) -> bytes:
+    return b" ".join(text.lower().split()) if text else b""
+
+
+def identity(text: bytes) -> int:
+    return xxhash.xxh64_intdigest(text, 7) - (1 << 63)
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -236,45 +248,54 @@ def shingles(text: bytes) -> np.ndarray:
     return distinct(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts)))
 
 
+def matching(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
+    """docs joined with side by (of, copy): the id and the hash of the text of a row of docs. side's columns must not be docs' own."""
+    of, copy = (free_name(docs, x) for x in ("of", "copy"))
+    side = side.withColumnsRenamed({"of": of, "copy": copy})
+    small = 32 * side.count() <= BROADCAST_BYTES
+    on = (F.col("doc_id").cast("long") == F.col(of)) & (F.xxhash64("text") == F.col(copy))
+    out = docs.join(F.broadcast(side) if small else side, on, how)
+    return out.drop(of, copy)
+
+
 def near_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, root) for the texts of rows (sketches) that are SIMILARITY alike to another one.
 
     At that similarity fingerprints differ in about ten bits, which no equality of blocks
     finds. So texts meet by MinHash bands, and all that meet are verified on their shingles.
     """
-    places = materialize(rows.groupBy("item").agg(F.min("doc_id").alias("doc_id")), "similar-items")
+    places = materialize(rows.groupBy("item").agg(F.min(F.struct("doc_id", "copy")).alias("at")), "similar-items")
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        at = materialize(places.join(wanted, "item", "left_semi").select("item", F.col("doc_id").alias("_d")), "similar-wanted")
-        small = at.count() <= BROADCAST_ROWS
-        own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+        at = materialize(places.join(wanted, "item", "left_semi").select("item", F.col("at.doc_id").alias("of"), F.col("at.copy").alias("copy")), "similar-wanted")
 
         def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = [b" ".join(t.lower().split()) if t else b"" for t in batch.column(1).to_pylist()]
-                own = [xxhash.xxh64_intdigest(t, 7) - (1 << 63) == i for t, i in zip(texts, batch.column(0).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["item", "text"]).filter(pa.array(own, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([normal_form(t) for t in batch.column(1).to_pylist()], pa.binary())], ["item", "text"])
 
-        held = own.join(F.broadcast(at) if small else at, F.col("doc_id") == F.col("_d")).select("item", "text")
+        held = matching(docs.select("doc_id", "text"), at, "inner").select("item", F.col("text").cast("binary").alias("text"))
         return held.mapInArrow(normal, "item long, text binary").dropDuplicates(["item"])
 
     return classes(rows.select("item", "keys"), fetch, shingles, SIMILARITY)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id. Documents without a doc_id stay; of rows with the same doc_id and text one stays."""
+    """One document of each group: the one with the smallest doc_id, then the smallest hash of its text.
+
+    Documents without a doc_id stay. Rows with the same doc_id and other texts are documents
+    of their own; of rows with the same doc_id and text one stays, whichever it is.
+    """
     own = docs.where(F.col("doc_id").isNotNull())
     rows = materialize(sketches(own), "similar")
-    items = rows.groupBy("item").agg(F.min("doc_id").alias("first"))
+    place = F.struct("doc_id", "copy")
+    items = rows.groupBy("item").agg(F.min(place).alias("first"))
     roots = near_texts(own, rows).withColumnRenamed("node", "item")
     rooted = materialize(items.join(roots, "item", "left").select("item", "first", F.coalesce("root", "item").alias("root")), "similar-roots")
     least = rooted.groupBy("root").agg(F.min("first").alias("keep"))
     keep = rooted.join(least, "root").select("item", "keep")
-    gone = materialize(rows.join(keep, "item").where("doc_id <> keep").select(F.col("doc_id").alias("_d")).distinct(), "similar-gone")
-    small = gone.count() <= BROADCAST_ROWS
-    left = own.join(F.broadcast(gone) if small else gone, F.col("doc_id").cast("long") == F.col("_d"), "left_anti")
-    twice = materialize(rows.groupBy("doc_id", "item").count().where("count > 1").select(F.col("doc_id").alias("_d")).distinct(), "similar-twice")
+    of = lambda rows: materialize(rows.select(F.col("doc_id").alias("of"), "copy").distinct(), "similar-rows")
+    left = matching(own, of(rows.join(keep, "item").where(place != F.col("keep"))), "left_anti")
+    twice = of(rows.groupBy("doc_id", "copy").count().where("count > 1"))
     if not twice.isEmpty():
-        on = F.col("doc_id").cast("long") == F.col("_d")
-        left = left.join(twice, on, "left_anti").unionAll(left.join(twice, on, "left_semi").dropDuplicates(["doc_id", "text"]))
+        left = matching(left, twice, "left_anti").unionAll(matching(left, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
     return left.unionAll(docs.where(F.col("doc_id").isNull()))
