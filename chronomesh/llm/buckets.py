@@ -4,8 +4,8 @@ Items come as (item, keys): a 64-bit identity and the band keys of its min-hashe
 with a common key share a bucket, and each is checked against the bucket's smallest item.
 After a union-find, some buckets still hold items of different components that were never
 compared. Where these are few, all their pairs are checked; the others are bucketed anew
-by the key together with a later band's, which agree for alike items and seldom for items
-that only have a passage in common, and so on for LEVELS levels. A level makes at most
+by the key together with that of a later band, which agree for alike items and seldom for
+items that only have a passage in common, and so on for LEVELS levels. A level makes at most
 OFFSETS rows for each row left open, and a row at most FEW pairs, so no step grows with the
 square of a bucket; a bucket of copies costs one check for each.
 
@@ -31,9 +31,9 @@ CELLS = 60
 #: Cells from which an empty one borrows, one after the other.
 DONORS = np.random.default_rng(7).integers(0, CELLS, (CELLS, 24))
 #: Open items of a bucket up to which all its pairs are checked.
-FEW = 16
+FEW = 32
 #: Rounds of longer keys, and later bands that a key is lengthened by.
-LEVELS, OFFSETS = 4, 2
+LEVELS, OFFSETS = 3, 2
 #: Cells of the histogram of keys, and rows from which a cell's keys are cut into chunks.
 HISTOGRAM, CHUNK = 1 << 14, 20_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -166,6 +166,16 @@ def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
     return left.join(split.select("key", "n"), "key")
 
 
+def all_pairs(few: DataFrame) -> DataFrame:
+    """All pairs (a, b, root_a, root_b) of items (key, item, root) of different components that share a key, each made under the smallest key they share only."""
+    own = few.groupBy("item").agg(F.collect_set("key").alias("keys"))
+    held = materialize(few.join(own, "item"), "buckets-few")
+    a, b = (held.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("item", "root", "keys")]) for x in "ab")
+    once = F.col("key") == F.array_min(F.array_intersect("keys_a", "keys_b"))
+    met = a.join(b, "key").where((F.col("item_a") < F.col("item_b")) & (F.col("root_a") != F.col("root_b")) & once)
+    return met.select(F.col("item_a").alias("a"), F.col("item_b").alias("b"), "root_a", "root_b")
+
+
 def merged(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
     """roots (node, root) after edges (root_a, root_b) between components; nodes that roots lack are components of their own."""
     new = components(edges.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
@@ -176,6 +186,20 @@ def merged(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
     return materialize(known.unionAll(new.join(roots, "node", "left_anti").select("node", "root")), "bucket-roots")
 
 
+def band(key: Column) -> Column:
+    return key.bitwiseAND(BAND)
+
+
+def lengthened(many: DataFrame, bands: DataFrame) -> DataFrame:
+    """many (key, item, root) with each key lengthened by those of the next OFFSETS of the item's bands (item, bands).
+
+    Only bands of large buckets count: two items that share a small one have been compared there.
+    """
+    after = F.slice(F.filter("bands", lambda x: x["band"] > band(F.col("key"))), 1, OFFSETS)
+    longer = F.transform(after, lambda x: F.xxhash64("key", x["key"]).bitwiseAND(~BAND).bitwiseOR(x["band"]))
+    return many.join(bands, "item").select(F.explode(longer).alias("key"), "item", "root")
+
+
 def classes(
     table: DataFrame,
     fetch: Callable[[DataFrame], DataFrame],
@@ -187,20 +211,19 @@ def classes(
     table: (item, keys). fetch: the texts (item, text) of given items. shingles: those of a
     text, as distinct 64-bit numbers.
     """
-    keyed = table.where(F.size("keys") > 0)
-    members, pairs = met(keyed.select(F.explode("keys").alias("key"), "item"))
+    members, pairs = met(table.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "item"))
     texts = materialize(fetch(members.select("item").distinct()), "bucket-texts")
     check = lambda pairs: materialize(verified(materialize(pairs, "bucket-pairs"), texts, shingles, similarity), "bucket-edges")
-    roots = merged(None, check(pairs))
+    roots, bands = merged(None, check(pairs)), None
     for level in range(LEVELS):
         left = materialize(open_members(members, roots), "buckets-open")
         few, many = (left.where(x).select("key", "item", "root") for x in (F.col("n") <= FEW, F.col("n") > FEW))
-        pairs = pairs_of(few, few, "key").where("a < b").dropDuplicates(["a", "b"])
+        pairs = all_pairs(few)
         if level < LEVELS - 1 and not many.isEmpty():
-            own = keyed.join(many.select("item").distinct(), "item", "left_semi").dropDuplicates(["item"])
-            band = lambda o: F.pmod(F.col("key").bitwiseAND(BAND) + o, F.size("keys"))
-            longer = [F.xxhash64("key", F.get("keys", band(o).cast("int"))).bitwiseAND(~BAND).bitwiseOR(band(o)) for o in range(1, OFFSETS + 1)]
-            members, stars = met(materialize(many.join(own, "item").select(F.explode(F.array(*longer)).alias("key"), "item", "root"), "buckets-longer"))
+            if bands is None:
+                own = F.array_sort(F.collect_set(F.struct(band(F.col("key")).alias("band"), "key")))
+                bands = materialize(many.groupBy("item").agg(own.alias("bands")), "bucket-bands")
+            members, stars = met(materialize(lengthened(many, bands), "buckets-longer"))
             roots = merged(roots, check(pairs.unionAll(stars).dropDuplicates(["a", "b"])))
         elif pairs.isEmpty():
             return roots
