@@ -11,6 +11,7 @@ from chronomesh.llm.periods import op11_periodic_runs
 from chronomesh.llm.quality import op3_quality_rules
 from chronomesh.llm.secrets import op6_secret_scans
 from chronomesh.llm.simhash import op7_simhash
+from chronomesh.llm.suffixes import op12_suffix_array
 from chronomesh.llm.topk import op8_topk_search
 from chronomesh.llm.toxicity import op1_toxicity
 from chronomesh.llm.urls import op5_url_filters
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_passages": op9_passages,
     "op10_packing": op10_packing,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_suffix_array": op12_suffix_array,
     "op13_whitening": op13_whitening,
 }
 
