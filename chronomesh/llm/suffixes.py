@@ -52,7 +52,7 @@ THRESHOLD = 200
 #: Bytes that are hashed at once.
 PIECE = 1 << 18
 #: Windows of a border that are compared together.
-BLOCK = 8
+BLOCK = 16
 #: A key in memory; keys of texts with borders and runs of texts are broadcast up to this measured size, beyond it texts are shuffled.
 KEY_BYTES, BROADCAST_BYTES = 128, 16 << 20
 BASE = 0x9E3779B97F4A7C15
@@ -224,11 +224,12 @@ def often(rows: DataFrame, by: list[str], name: str) -> DataFrame:
 
 
 def contexts(found: DataFrame, t: int, put: Scratch) -> DataFrame:
-    """Settled contexts of all owners whose K-gram occurs twice: LEVEL rows with ranks x and y, -1 if unique."""
+    """Settled contexts of all owners whose K-gram occurs twice: LEVEL rows with ranks x and y, -1 if unique. found is dropped."""
     k = t // 2 + 1
     own = found.where("i >= 0")
     first = own.join(often(own, ["k1", "k2"], "r"), ["k1", "k2"]).drop("k1", "k2", "key")
     first = put.table(first.withColumn("id", F.monotonically_increasing_id()), "first")
+    put.drop(found)
     blank = {"id": 0, "own": 0, "lo": 0, "hi": 0, "s": 0, "end": 0, "far": 0, "x": -1, "y": -1, "d": 0, "u": 0}
     kinds = dict(f.split(" ") for f in LEVEL.split(", "))
 
@@ -239,16 +240,18 @@ def contexts(found: DataFrame, t: int, put: Scratch) -> DataFrame:
     anchor = lambda rows, **given: lines(rows, PAIR, far=F.col("far"), x=F.col("r"), **given)
     rows, settled = anchor(first, end=F.col("a") + k), None
     left = lines(first.where("lo <= hi"), PENDING, own=F.col("r"), **{c: F.col(c) for c in ("id", "lo", "hi", "s")})
+    doubled = lambda pairs: anchor(pairs.join(often(pairs, ["x", "y", "d"], "r"), ["x", "y", "d"]), end=F.col("end"))
+    once = put.table(level(rows, t), "level")  # no context is as short as one K-gram
+    rows = doubled(once)
     while True:
-        out = put.table(level(rows if settled is None else rows.unionAll(left), t), "level")
-        if settled is not None:
-            left = out.where(F.col("kind") == PENDING)
-            if left.isEmpty():
-                return settled.unionAll(out.where(F.col("kind") == SETTLED))
-        done = out.where(F.col("kind") == SETTLED)
+        out = put.table(level(rows.unionAll(left), t), "level")
+        if settled is None:
+            put.drop(first, once)
+        done, left = out.where(F.col("kind") == SETTLED), out.where(F.col("kind") == PENDING)
         settled = done if settled is None else settled.unionAll(done)
-        pairs = out.where(F.col("kind") == PAIR)
-        rows = anchor(pairs.join(often(pairs, ["x", "y", "d"], "r"), ["x", "y", "d"]), end=F.col("end"))
+        if left.isEmpty():
+            return settled
+        rows = doubled(out.where(F.col("kind") == PAIR))
 
 
 def mapped(rows: DataFrame, schema: str, of) -> DataFrame:
@@ -325,8 +328,8 @@ def shared(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.min("id").alias("one"), F.max("id").alias("_other")).where("one != _other").drop("_other")
 
 
-def repeats(docs: DataFrame, found: DataFrame, t: int, put: Scratch) -> DataFrame:
-    """(doc, start, end): strings of texts (docs: key, text; found: their anchors) in which every window of t bytes occurs elsewhere."""
+def repeats(docs: DataFrame, found: DataFrame, keys: DataFrame, t: int, put: Scratch) -> DataFrame:
+    """(doc, start, end): strings of texts (docs: key, text; found: their anchors, dropped; keys: doc, key) in which every window of t bytes occurs elsewhere."""
     settled = contexts(found, t, put).withColumns({"dl": F.col("lo") - F.col("a"), "dh": F.col("hi") - F.col("a")})
     by, place = ["own", "x", "y", "d", "u", "dl", "dh"], ["doc", "id", "own", "a", "lo", "hi"]
     known = settled.where("x >= 0")
@@ -335,7 +338,6 @@ def repeats(docs: DataFrame, found: DataFrame, t: int, put: Scratch) -> DataFram
     ones = classes.select("own", "id", "n").unionAll(settled.where("x < 0").select("own", "id", F.lit(1).cast("long").alias("n")))
     border = ones.groupBy("own").agg(F.count("*").alias("_ones"), F.min("n").alias("_least")).where("_ones > 1 AND _least = 1").select("own")
     picked = settled.select(*place).join(ones.join(border, "own", "left_semi").select("id"), "id")
-    keys = found.where("i < 0").select("doc", "key")
     wanted = put.table(picked.join(keys, "doc").groupBy("key").agg(F.collect_list(F.struct(*place)).alias("of")), "wanted")
     if wanted.count() * KEY_BYTES <= BROADCAST_BYTES:  # texts without borders needn't be shuffled
         docs = docs.join(F.broadcast(wanted.select("key")), "key", "left_semi")
@@ -390,8 +392,8 @@ def without_repeats(docs: DataFrame, text: str = "text", threshold: int = THRESH
     plain = docs.select(F.sha2(body.cast("binary"), 256).alias("key"), body.alias("text"))
     with scratch(docs.sparkSession, "suffixes") as put:
         found = put.table(anchors(plain, threshold), "anchors")
-        keys = found.where("i < 0").select("doc", "key")
-        runs = runs_of(repeats(plain, found, threshold, put)).join(keys, "doc").groupBy("key").agg(F.min_by("runs", "doc").alias("runs"))
+        keys = put.table(found.where("i < 0").select("doc", "key"), "keys")
+        runs = runs_of(repeats(plain, found, keys, threshold, put)).join(keys, "doc").groupBy("key").agg(F.min_by("runs", "doc").alias("runs"))
         runs = materialize(runs, "suffix-runs")
     size = runs.agg(F.sum(KEY_BYTES + 8 * F.size("runs"))).first()[0] or 0
     of = free_name(docs, "runs")
