@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronomesh.operators.ranges import following, key_ranks
+
 
 def positional(left: DataFrame, right: DataFrame, key: str, left_order: list[str], right_order: list[str]) -> DataFrame:
     """The n-th row of each side by key, up to the shorter; n starts at 0. The sides share no column but the key."""
-    number = lambda df, order: df.withColumn("n", (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long"))
+    number = lambda df, order: key_ranks(df, [key], [F.col(c) for c in order], "n").withColumn("n", F.col("n") - 1)
     return number(left, left_order).join(number(right, right_order), [key, "n"])
 
 
@@ -53,14 +55,10 @@ def epochs(signal: DataFrame, events: DataFrame, key: str, index: str, at: str,
 def next_sample(events: DataFrame, grid: DataFrame, key: str, time: str, t: str, index: str) -> DataFrame:
     """The first sample of the grid at or after each event: (key, index), each once; events past the end are dropped.
 
-    Events and samples are set into one order and the index is taken from the next sample, so
-    nothing is compared pairwise.
+    Events and samples are set into one order, cut by ranges of time; a range carries its
+    first sample over to the ranges before, so nothing is compared pairwise.
     """
-    both = grid.select(key, F.col(t).alias("_t"), F.lit(1).alias("_s"), F.col(index).alias(index)).unionByName(
-        events.select(key, F.col(time).alias("_t"), F.lit(0).alias("_s"), F.lit(None).cast(dict(grid.dtypes)[index]).alias(index))
-    )
-    ahead = Window.partitionBy(key).orderBy("_t", "_s").rowsBetween(0, Window.unboundedFollowing)
-    return both.withColumn(index, F.first(index, ignorenulls=True).over(ahead)).where("_s = 0").select(key, index).dropna().distinct()
+    return following(events, grid, key, time, t, index).select(key, index).dropna().distinct()
 
 
 def lagged(left: DataFrame, right: DataFrame, key: str, index: str, low: int, high: int) -> DataFrame:

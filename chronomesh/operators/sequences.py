@@ -9,12 +9,10 @@ and offset by the sums of the chunks before.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronomesh.operators.ranges import key_ranks, spaced
 from chronomesh.sources.shared import materialize
 
 #: Samples of a channel that one task orders together.
@@ -67,22 +65,10 @@ def runs(df: DataFrame, key: str, index: str, labels: list[str]) -> DataFrame:
 def refractory(df: DataFrame, key: str, time: str, gap: int) -> DataFrame:
     """Events at least `gap` after the last accepted one of their key: (key, time).
 
-    A sweep over each key's events in order, which carries the last accepted time only.
+    By ranges of a key's time (ranges.spaced), so a long channel is swept by many tasks.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, last = None, None
-        for batch in batches:
-            accepted = []
-            keys, times = (c.to_pylist() for c in batch.columns)
-            for n, (k, t) in enumerate(zip(keys, times, strict=True)):
-                if last is None or k != of or t - last >= gap:
-                    of, last = k, t
-                    accepted.append(n)
-            yield batch.take(pa.array(accepted, pa.int64()))
-
-    rows = df.select(key, time).where(F.col(time).isNotNull())
-    return rows.repartition(key).sortWithinPartitions(key, time).mapInArrow(run, rows.schema)
+    rows = df.select(key, time).withColumn("_x", F.lit(0))
+    return spaced(rows, key, time, "_x", gap).drop("_x")
 
 
 def clock(df: DataFrame, key: str, order: str, rt: Column, start: float, lead: float, tail: float) -> DataFrame:
@@ -110,27 +96,9 @@ def local_maxima(df: DataFrame, key: str, index: str, value: str, threshold: flo
 def spaced_peaks(peaks: DataFrame, key: str, index: str, value: str, distance: int) -> DataFrame:
     """Peaks at least `distance` apart, taken in order; one too near the last kept replaces it if it is taller.
 
-    A sweep over each key's peaks in order, which carries the last kept one only.
+    By ranges of a key's index (ranges.spaced).
     """
-    rows = peaks.select(key, index, value)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, kind = None, None
-        for batch in batches:
-            done = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held is None or row[0] != held[0] or row[1] - held[1] >= distance:
-                    if held is not None:
-                        done.append(held)
-                    held = row
-                elif row[2] > held[2]:
-                    held = row
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], f.type) for i, f in enumerate(batch.schema)], schema=batch.schema)
-            kind = batch.schema
-        if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([held[i]], f.type) for i, f in enumerate(kind)], schema=kind)
-
-    return rows.repartition(key).sortWithinPartitions(key, index).mapInArrow(run, rows.schema)
+    return spaced(peaks, key, index, value, distance)
 
 
 def half_widths(df: DataFrame, peaks: DataFrame, key: str, index: str, value: str, pedestal: Column, reach: int = 64) -> DataFrame:
@@ -167,5 +135,5 @@ def half_widths(df: DataFrame, peaks: DataFrame, key: str, index: str, value: st
 
 def ecdf(df: DataFrame, key: str, value: str, tie: str) -> DataFrame:
     """Rank of each value by key over the key's count; ties get distinct steps in order of tie."""
-    w = Window.partitionBy(key)
-    return df.withColumn("ecdf", F.row_number().over(w.orderBy(value, tie)) / F.count("*").over(w))
+    ranks = key_ranks(df, [key], [F.col(value), F.col(tie)], "ecdf", "_n")
+    return ranks.withColumn("ecdf", F.col("ecdf") / F.col("_n")).drop("_n")

@@ -11,6 +11,7 @@ from chronomesh.functions.columns import half_even, total
 from chronomesh.operators import estimators as E
 from chronomesh.operators import ordinal as O
 from chronomesh.operators import partition as P
+from chronomesh.operators.ranges import quantiles
 from chronomesh.plans.carriers import LONG_SIGNAL, SPECTRUM, long_signal, points, spectrum, table
 from chronomesh.plans.registry import query
 
@@ -334,7 +335,8 @@ def orm_20(spark: SparkSession, sf: str) -> DataFrame:
     from chronomesh.operators.sequences import cumulative_energy
 
     s = long_signal(spark, sf).select("channel", "i", "price")
-    q = s.groupBy("channel").agg(H(F.percentile("price", F.lit(0.5)), 5).alias("q50"), H(F.percentile("price", F.lit(0.99)), 5).alias("q99"), F.max("price").alias("top"))
+    at = lambda q: F.max(F.when(F.col("q") == q, F.col("x")))
+    q = quantiles(s, ["channel"], "price", [0.5, 0.99, 1.0]).groupBy("channel").agg(H(at(0.5), 5).alias("q50"), H(at(0.99), 5).alias("q99"), at(1.0).alias("top"))
     g = energy_localisation(cumulative_energy(s, "channel", "i", "price"), "channel", "i")
     return q.join(g, "channel").withColumn("localisation", H(F.col("localisation")))
 

@@ -9,6 +9,7 @@ from chronomesh.functions import columns as C
 from chronomesh.operators import aggregates as A
 from chronomesh.operators import joins as J
 from chronomesh.operators import sequences as S
+from chronomesh.operators.ranges import quantiles
 from chronomesh.operators.tasks import grouped
 from chronomesh.plans.carriers import LONG_SIGNAL, MEMBERS, SIGNAL, long_signal, members, points, signal, table
 from chronomesh.plans.joining import EPOCHS
@@ -81,7 +82,8 @@ def agg_13(spark: SparkSession, sf: str) -> DataFrame:
 @query("agg_14_quantiles", f"WITH {SIGNAL} SELECT state, " + ", ".join(f"round_even(quantile_cont(x, {q}::DOUBLE), 5) AS q{n}" for q, n in ((0.5, "50"), (0.75, "75"), (0.9, "90"), (0.95, "95"), (0.99, "99"), (0.999, "999"))) + " FROM signal GROUP BY 1")
 def agg_14(spark: SparkSession, sf: str) -> DataFrame:
     at = [(0.5, "50"), (0.75, "75"), (0.9, "90"), (0.95, "95"), (0.99, "99"), (0.999, "999")]
-    return signal(spark, sf).groupBy("state").agg(*[H(F.percentile("x", F.lit(q)), 5).alias(f"q{n}") for q, n in at])
+    found = quantiles(signal(spark, sf), ["state"], "x", [q for q, _ in at])
+    return found.groupBy("state").agg(*[H(F.max(F.when(F.col("q") == q, F.col("x"))), 5).alias(f"q{n}") for q, n in at])
 
 
 @query("agg_15_histogram", f"""WITH {SIGNAL}, b AS (SELECT state, 0.0::DOUBLE AS lo, 500.0::DOUBLE AS hi, x FROM signal), c AS (SELECT state, least(CAST(floor((x - lo) / (hi - lo) * 20) AS BIGINT), 19) AS bin, count(*) AS n FROM b GROUP BY 1, 2),
