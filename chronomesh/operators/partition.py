@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronomesh.functions.columns import total
-from chronomesh.operators.ranks import ranked
+from chronomesh.operators.ranges import at_places
 from chronomesh.sources.shared import materialize
 
 MAX_STEPS, TOLERANCE = 400, 1e-5
@@ -24,10 +24,10 @@ def initial_centres(objects: DataFrame, k: int) -> DataFrame:
     """(k, centre): objects at evenly spaced places of the order by energy, places cut to whole numbers."""
     m = objects.count()
     places = sorted({int(j * (m - 1) / (k - 1)) if k > 1 else 0 for j in range(k)})
-    order = ranked(objects.select("id", energy(F.col("v")).alias("e")), [F.col("e"), F.col("id")], "place").select("id", (F.col("place") - 1).cast("int").alias("r"))
+    order = at_places(objects.select("id", energy(F.col("v")).alias("e")), [F.col("e"), F.col("id")], places, "place").select("id", F.col("place").cast("int").alias("r"))
     numbers = {r: j for j, r in enumerate(places)}
     number = F.element_at(F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair]), F.col("r"))
-    chosen = order.where(F.col("r").isin(places)).select("id", number.cast("long").alias("k"))  # as many rows as centres
+    chosen = order.select("id", number.cast("long").alias("k"))  # as many rows as centres
     return objects.join(F.broadcast(chosen), "id").select("k", F.col("v").alias("centre"))
 
 
@@ -83,12 +83,3 @@ def partition(objects: DataFrame, k: int, max_steps: int = MAX_STEPS, tolerance:
     named = canonical(centres)
     members = assigned.join(F.broadcast(named.select("k", "name")), "k").select("id", F.col("name").alias("k"), "dist")
     return members, named.select(F.col("name").alias("k"), "centre"), history
-
-
-def sweep(objects: DataFrame, ks: list[int]) -> DataFrame:
-    """(k_clusters, steps, functional, r2) for each number of cells."""
-    rows = []
-    for k in ks:
-        history = partition(objects, k)[2]
-        rows.append((k, len(history), history[-1]["functional"], history[-1]["r2"]))
-    return objects.sparkSession.createDataFrame(rows, "k_clusters long, steps long, functional double, r2 double")

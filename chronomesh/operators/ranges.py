@@ -79,6 +79,18 @@ def quantiles(df: DataFrame, keys: list[str], value: str, at: list[float], parts
     return picked.groupBy(*keys, "q").agg((low + F.max("_share") * (high - low)).alias("x"))
 
 
+def at_places(df: DataFrame, order: list[Column], places: list[int], name: str, parts: int | None = None) -> DataFrame:
+    """The rows of df at these places (from 0) of its order, which should have no ties, with name: the place. Only ranges that hold one are put in order."""
+    rows = ranged(df, [], order, parts)
+    sizes = before(rows.groupBy(PART).agg(F.count("*").alias("_n")).withColumn("_from", F.col("_n")), [], "_from")
+    wanted = F.array(*[F.lit(p).cast("long") for p in places])
+    inside = F.filter(wanted, lambda p: (p >= F.col("_from")) & (p < F.col("_from") + F.col("_n")))
+    held = sizes.select(F.col(PART).alias("_p"), "_from", inside.alias("_places")).where(F.size("_places") > 0)  # a row for each place at most
+    place = F.row_number().over(Window.partitionBy(PART).orderBy(*order)) - 1 + F.col("_from")
+    found = rows.join(F.broadcast(held), F.col(PART) == F.col("_p")).withColumn(name, place.cast("long"))
+    return found.where(F.array_contains("_places", F.col(name))).drop(PART, "_p", "_from", "_places")
+
+
 def following(events: DataFrame, grid: DataFrame, key: str, time: str, t: str, index: str, parts: int | None = None) -> DataFrame:
     """events (key, time) with the index of the key's first grid row (key, t, index) at or after them; null past the end."""
     at = F.col(index).cast(dict(grid.dtypes)[index])

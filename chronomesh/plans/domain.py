@@ -12,6 +12,7 @@ from chronomesh.operators import estimators as E
 from chronomesh.operators import ordinal as O
 from chronomesh.operators import partition as P
 from chronomesh.operators.ranges import quantiles
+from chronomesh.operators.sweep import Swept, swept
 from chronomesh.plans.carriers import LONG_SIGNAL, SPECTRUM, long_signal, points, spectrum, table
 from chronomesh.plans.registry import query
 
@@ -174,9 +175,25 @@ def orm_18(spark: SparkSession, sf: str) -> DataFrame:
     return P.partition(points(spark, sf), 8)[0]
 
 
+#: The numbers of cells that are swept.
+K_GRID = (20, 35, 45, 50, 60, 65, 70, 80, 90, 100, 150, 200, 250, 300)
+
+
+def _swept(spark: SparkSession, sf: str) -> Swept:
+    return swept(points(spark, sf), list(K_GRID))
+
+
 @query("orm_19_sweep")
 def orm_19(spark: SparkSession, sf: str) -> DataFrame:
-    return P.sweep(points(spark, sf), [4, 8])
+    found = _swept(spark, sf)
+    own = found.history.groupBy("k_clusters").agg(F.sum("compared").alias("compared"), F.min("cells").alias("fewest_cells"))
+    return found.summary.join(own, "k_clusters")
+
+
+@query("orm_19_memberships")
+def orm_19_memberships(spark: SparkSession, sf: str) -> DataFrame:
+    found = _swept(spark, sf)
+    return found.memberships.join(found.trajectories.select("k_clusters", "k", P.energy(F.col("centre")).alias("centre_energy")), ["k_clusters", "k"])
 
 
 @query("qc_22_threshold", f"WITH {SPECTRUM} SELECT id, len(list_filter(ev, lambda x: x > 0.5)) AS d FROM spectrum")

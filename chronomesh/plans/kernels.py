@@ -10,8 +10,9 @@ from chronomesh.operators import modes as M
 from chronomesh.operators import projectors as P
 from chronomesh.operators import spectral as S
 from chronomesh.operators import training as T
-from chronomesh.plans.carriers import points
+from chronomesh.plans.carriers import points, table
 from chronomesh.plans.registry import query
+from chronomesh.sources.arrays import Archives, footers
 from chronomesh.sources.shared import shared_path
 from chronomesh.sources.states import States
 
@@ -120,3 +121,24 @@ def win_18(spark: SparkSession, sf: str) -> DataFrame:
     clean, _ = P.without_artefact(samples, events, DIMENSION, 1, 2)
     energy = lambda df, name: df.select(F.posexplode("v").alias("component", "x")).groupBy("component").agg(H(F.sum(F.col("x") * F.col("x")), 4).alias(name))
     return energy(samples, "before").join(energy(clean, "after"), "component")
+
+
+@query("src_13_npz_round_trip", "SELECT vec_id, CAST(label AS BIGINT) AS label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS embedding FROM embeddings")
+def src_13(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings written to array archives and read back in slices."""
+    spark.dataSource.register(Archives)
+    path = shared_path(spark, "archives")
+    rows = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows.where("label IS NOT NULL").write.format("npz").mode("append").save(path)
+    return spark.read.format("npz").schema(rows.schema).load(path)
+
+
+TABLES = ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
+
+
+@query("src_12_footers", " UNION ALL ".join(f"SELECT '{t}' AS name, true AS readable, count(*) AS n_rows FROM {t}" for t in TABLES))
+def src_12_footers(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of every table by its files' footers; no data page is read."""
+    name = F.regexp_extract("path", r"/([a-z]+)\.parquet(/[^/]*)?$", 1)
+    found = footers(spark, sf).withColumn("name", name).where(F.col("name").isin(*TABLES) & ~F.element_at(F.split("path", "/"), -1).startswith("_"))
+    return found.groupBy("name").agg(F.min("readable").alias("readable"), F.sum("n_rows").alias("n_rows"))
