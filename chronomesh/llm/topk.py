@@ -46,6 +46,12 @@ def whole(x: Column) -> Column:
     return F.when(x.isNotNull() & finite, F.transform(x, lambda c: F.floor(F.lit(float(SCALE)) * c.cast("double")).cast("long")))
 
 
+def trimmed(v: Column) -> Column:
+    """v without the zeros at its end, so that vectors that are equal once padded are equal."""
+    last = F.array_position(F.transform(F.reverse(v), lambda c: c != 0), True)
+    return F.slice(v, F.lit(1), F.when(last > 0, F.size(v) - last + 1).otherwise(0).cast("int"))
+
+
 def packed(rows: DataFrame, size: int) -> DataFrame:
     """rows (vec_id, v) as blocks of at most `size`, by range of vec_id: (block, dims, ids, matrix, once), the last three little-endian 64-bit.
 
@@ -136,7 +142,7 @@ def search(ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.ndarray,
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of vectors for each query; both have (vec_id, embedding)."""
-    ready = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), whole(F.col("embedding")).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
+    ready = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), trimmed(whole(F.col("embedding"))).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
     blocks = materialize(packed(ready(vectors), BLOCK), "topk-blocks")
     asked = materialize(packed(ready(queries), QUERY_BLOCK), "topk-queries")
     numbered = lambda df, size: df.withColumn("g", F.floor((F.row_number().over(Window.orderBy("block")) - 1) / size))

@@ -614,3 +614,32 @@ def test_quality_threshold_over_all_held_out(spark):
     assert len(scores) > 6_000
     at = int(np.ceil(quality.LOSS * len(scores))) - 1
     assert any(rows[0].threshold + quality.MARGIN == pytest.approx(s, abs=1e-12) for s in scores[at - 1 : at + 2])
+
+
+@pytest.mark.parametrize(("families", "copies", "shared"), [(60, 2, 42), (100, 3, 46), (40, 3, 30)])
+def test_exact_passages_on_one_template(spark, families, copies, shared):
+    """Families of exact 52-word copies, most words of which all families share: none is lost, and families stay apart."""
+    rng = random.Random(shared)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    template, texts = [word() for _ in range(52)], []
+    at = rng.randint(0, shared)
+    for _ in range(families):
+        own = template[:at] + [word() for _ in range(52 - shared)] + template[at + 52 - shared :]
+        texts += [" ".join([word() for _ in range(rng.randint(5, 40))] + own + [word() for _ in range(rng.randint(5, 40))]) for _ in range(copies)]
+    order = rng.sample(range(len(texts)), len(texts))
+    docs = spark.createDataFrame([(order[i], t) for i, t in enumerate(texts)], "doc_id long, text string")
+    family = {order[i]: i // copies for i in range(len(texts))}
+    rows = passages.passages(docs).collect()
+    assert all(family[r.doc_id] == family[r.twin_id] for r in rows)
+    linked = groups_of(len(texts), {(r.doc_id, r.twin_id) for r in rows})
+    assert len(set(linked)) == families
+
+
+def test_top_k_tells_rows_apart_after_padding(spark):
+    """Rows of one id whose vectors differ in zeros at the end alone are two rows: each is left out of its own answer only."""
+    rows = [(20, [1.0]), (20, [1.0, -5.0]), (20, [1.0, 0.0]), (1, [0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id = 20"), 5).collect())
+    one = [(1, 20, 4096), (2, 20, 4096), (3, 1, 2048)]
+    long = [(1, 20, 4096), (2, 20, 4096), (3, 1, 2048)]
+    assert got == sorted(one + one + long)
