@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronomesh.functions.columns import total
 from chronomesh.operators.sequences import framed, haloed
 
 EPSILON = 1e-13
@@ -162,6 +163,12 @@ def parse_tag(name: Column) -> tuple[Column, Column]:
     return part(1).cast("double"), part(2).cast("int")
 
 
+def jensen_shannon(p: Column, q: Column) -> Column:
+    """Divergence in bits of two arrays of probabilities of one length; zeros count nothing."""
+    bits = lambda x: -total(x, lambda v: F.when(v > 0, v * F.log2(v)).otherwise(F.lit(0.0)))
+    return bits(F.zip_with(p, q, lambda a, b: (a + b) / 2)) - (bits(p) + bits(q)) / 2
+
+
 def largest_complexity(m: int, points: int = 2000) -> float:
     """Largest complexity of the distributions in which one state has p and the others share the rest, p on a grid."""
     n = math.factorial(m)

@@ -191,3 +191,18 @@ def _iterated(put: Scratch, objects: DataFrame, ks: list[int], max_steps: int, t
             break
     names = {k: np.argsort(np.lexsort((np.arange(len(c)), (c**2).sum(1)))) for k, c in centres.items()}
     return history, state, centres, names
+
+
+TABLES = ("summary", "history", "memberships", "trajectories")
+
+
+def save(found: Swept, path: str) -> None:
+    """The four tables of a sweep below path, each partitioned by the number of cells, so that one number is read alone. Tables that are there are replaced."""
+    for name in TABLES:
+        getattr(found, name).write.mode("overwrite").partitionBy("k_clusters").parquet(f"{path}/{name}")
+
+
+def load(spark: SparkSession, path: str) -> Swept:
+    """A sweep written by save()."""
+    tables = [spark.read.parquet(f"{path}/{name}") for name in TABLES]
+    return Swept(*[t.withColumn("k_clusters", F.col("k_clusters").cast("long")) for t in tables])

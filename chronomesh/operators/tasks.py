@@ -46,6 +46,8 @@ FAMILIES = (
     ("recorded", True, {"states": [24, 28, 32, 36, 40, 44, 48, 52, 56, 64, 80]}),
     ("recorded", True, {"fixed_states": [False, True]}),
 )
+#: The scan of states: sources of a control group at many values, all others at two. Fixed values.
+SCAN = (("control", False, {"states": [12, 16, 24, 32, 48, 64, 100]}), ("other", False, {"states": [24, 48]}))
 #: Gradient steps of a usual task; epochs over a synthetic source, and its batch.
 STEPS, EPOCHS, BATCH = 40_000, 300, 2048
 

@@ -228,12 +228,12 @@ def qc_15(spark: SparkSession, sf: str) -> DataFrame:
     return p.join(near, "id").select("id", H(F.sqrt(P.squared_distance(F.col("v"), F.col("y")))).alias("residual"))
 
 
-@query("qc_02_takens_vectors", "WITH e AS (SELECT vec_id, CAST(label AS BIGINT) AS label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, embedding[1:3] AS v FROM embeddings), t AS (SELECT label, i, list_concat(list_concat(v, lag(v, 2) OVER w), lag(v, 4) OVER w) AS v FROM e WINDOW w AS (PARTITION BY label ORDER BY i)) SELECT label, i, list_transform(v, lambda x: CAST(x AS DOUBLE)) AS v FROM t WHERE i >= 4")
+@query("qc_02_takens_vectors", "WITH e AS (SELECT vec_id, CAST(label AS BIGINT) AS label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, embedding AS v FROM embeddings), t AS (SELECT label, i, list_concat(list_concat(v, lag(v, 2) OVER w), lag(v, 4) OVER w) AS v FROM e WINDOW w AS (PARTITION BY label ORDER BY i)) SELECT label, i, list_transform(v, lambda x: CAST(x AS DOUBLE)) AS v FROM t WHERE i >= 4")
 def qc_02(spark: SparkSession, sf: str) -> DataFrame:
     from chronomesh.operators.joins import takens
 
     i = F.row_number().over(Window.partitionBy("label").orderBy("id")) - 1
-    p = points(spark, sf).select(F.col("label").cast("long").alias("label"), i.cast("long").alias("i"), F.slice("v", 1, 3).alias("v"))
+    p = points(spark, sf).select(F.col("label").cast("long").alias("label"), i.cast("long").alias("i"), "v")
     return takens(p, "label", "i", "v", 3, 2)
 
 
@@ -275,17 +275,6 @@ def qc_33(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([tuple(r.values()) for r in history], "step int, loss double, held_loss double, held_residual double")
 
 
-@query("src_18_manifolds")
-def src_18(spark: SparkSession, sf: str) -> DataFrame:
-    from chronomesh.sources.signals import manifold
-
-    out = None
-    for kind in ("sphere", "torus", "swiss_roll", "s_curve", "circle", "figure_eight"):
-        rows = manifold(spark, kind, 500).select(F.lit(kind).alias("kind"), "id", "features")
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
 @query("orc_05_task_grid", """WITH g AS (SELECT n, m, k FROM unnest([8, 24, 48, 80]) a(n), unnest([1, 2, 4, 6]) b(m), range(3) c(k) UNION ALL SELECT n, 6, 0 FROM unnest([24, 48]) a(n)), d AS (SELECT DISTINCT n, m, CAST(k AS INTEGER) AS k FROM g),
 c AS (SELECT *, 3000.0::DOUBLE * m * n * n / (6 * 48 * 48) AS cost FROM d) SELECT n, m, k, round_even(cost, 6) AS cost, (row_number() OVER (ORDER BY cost DESC, n, m, k) - 1) % 7 AS grp FROM c""")
 def orc_05(spark: SparkSession, sf: str) -> DataFrame:

@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-from chronomesh.plans import domain, joining, kernels, sequences, summaries  # noqa: E402, F401  registers their queries
+from chronomesh.plans import catalogue, domain, joining, kernels, sequences, summaries  # noqa: E402, F401  registers their queries

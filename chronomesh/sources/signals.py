@@ -6,12 +6,18 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV log with a header. Bad cells become null, the raw line of a bad row is kept in _corrupt_record; a byte-order mark is dropped from the first name."""
+def read_log(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A CSV log with a header. Bad cells become null, the raw line of a bad row is kept in _corrupt_record; a byte-order mark is dropped from the first name.
+
+    Without a schema, names come from the header and types from the rows, which are then read twice.
+    """
+    if schema is None:
+        rows = spark.read.csv(path, header=True, inferSchema=True)
+        return rows.toDF(*[c.lstrip("﻿") for c in rows.columns])
     rows = spark.read.csv(path, header=True, schema=f"{schema}, _corrupt_record string", mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record", enforceSchema=True)
     return rows.toDF(*[c.lstrip("﻿") for c in rows.columns])
 
@@ -55,17 +61,25 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
-def manifold(spark: SparkSession, kind: str, n: int, seed: int = 42, noise: float = 0.0) -> DataFrame:
-    """(id, features): points of a known surface or curve, drawn in Spark."""
-    u, v = F.rand(seed), F.rand(seed + 1)
-    turn = 2 * F.pi() * u
+def drawn(seed: int, place: int) -> Column:
+    """A number between 0 and 1 for each id, the same in every run and partitioning."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:{place}:"), F.col("id").cast("string"))), 1, 8)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / 2**32
+
+
+def drawn_normal(seed: int, place: int) -> Column:
+    return F.sqrt(-2 * F.log(drawn(seed, place))) * F.cos(2 * F.pi() * drawn(seed, place + 1))
+
+
+def manifold_on(ids: DataFrame, kind: str, seed: int = 42, noise: float = 0.0) -> DataFrame:
+    """(id, features): a point of a known surface or curve for each id."""
+    u, v = drawn(seed, 0), drawn(seed, 1)
     if kind == "sphere":
-        g = [F.randn(seed + k) for k in range(3)]
-        rows = spark.range(n).select("id", *[x.alias(f"g{k}") for k, x in enumerate(g)])
-        norm = F.sqrt(sum((F.col(f"g{k}") ** 2 for k in range(3)), F.lit(0.0)))
+        rows = ids.select("id", *[drawn_normal(seed, 2 + 2 * k).alias(f"g{k}") for k in range(3)])
+        norm = F.sqrt(sum((F.col(f"g{k}") * F.col(f"g{k}") for k in range(3)), F.lit(0.0)))
         rows = rows.select("id", F.array(*[F.col(f"g{k}") / norm for k in range(3)]).alias("features"))
     else:
-        rows = spark.range(n).select("id", turn.alias("a"), (2 * F.pi() * v).alias("b"), v.alias("h"), u.alias("u"))
+        rows = ids.select("id", (2 * F.pi() * u).alias("a"), (2 * F.pi() * v).alias("b"), v.alias("h"), u.alias("u"))
         a, b, h = F.col("a"), F.col("b"), F.col("h")
         roll, bend = 1.5 * F.pi() * (1 + 2 * F.col("u")), 3 * F.pi() * (F.col("u") - 0.5)
         shapes = {
@@ -78,6 +92,11 @@ def manifold(spark: SparkSession, kind: str, n: int, seed: int = 42, noise: floa
         rows = rows.select("id", F.array(*shapes[kind]).alias("features"))
     if noise:
         size = 2 if kind in ("circle", "figure_eight") else 3
-        errors = F.array(*[noise * F.randn(seed + 10 + k) for k in range(size)])
+        errors = F.array(*[noise * drawn_normal(seed, 10 + 2 * k) for k in range(size)])
         rows = rows.withColumn("_e", errors).select("id", F.zip_with("features", "_e", lambda x, e: x + e).alias("features"))
     return rows
+
+
+def manifold(spark: SparkSession, kind: str, n: int, seed: int = 42, noise: float = 0.0) -> DataFrame:
+    """(id, features): n points of it."""
+    return manifold_on(spark.range(n), kind, seed, noise)
