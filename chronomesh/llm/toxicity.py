@@ -11,7 +11,8 @@
    features, those most telling are kept.
 
 Defined results: null, empty and blank texts have no features and get the score of the
-intercept. Very long texts are read whole. Repeated rows get equal scores. Without labels
+intercept. Very long texts are read whole, tokens of any length are
+decoded whole. Repeated rows get equal scores. Without labels
 of both kinds every score is 0. An empty table gives no rows. Other columns are ignored;
 labels, language, source and doc_id are never inputs of a score.
 """
@@ -21,6 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +55,8 @@ RUN = re.compile(r"(.)\1\1")
 SPACED_OUT = re.compile(r"(?<!\S)\w(?:[ .\-_*]\w){2,}(?![^\s.,;:!?])")
 BEGINNINGS = (4, 5, 6)
 SEEN = 1_000_000
-#: Longer tokens are decoded in pieces of this many characters.
-PIECE = 64
+#: After this many places of a lattice, what all paths left have in common is written down.
+SETTLED = 64
 
 
 def codes(text: str) -> np.ndarray:
@@ -105,9 +107,8 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return -np.log(trigram).astype(np.float32)
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each run of equal characters of token, what it may stand for and at what cost."""
-    out: list[list[tuple[str, float]]] = []
+def lattice(token: str) -> Iterator[list[tuple[str, float]]]:
+    """For each run of equal characters of token, what it may stand for and at what cost. A run of three or more is one place, however long."""
     for m in re.finditer(r"(.)\1*", token, re.S):
         c, n = m[1], len(m[0])
         if c in LEET:
@@ -117,17 +118,21 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         else:
             singles = [(c, 0.0)]
         if n > 2:  # a run stands for one or two
-            out.append([(x * k, cost + DROPPED * (k == 1)) for x, cost in singles for k in (1, 2)])
+            yield [(x * k, cost + DROPPED * (k == 1)) for x, cost in singles for k in (1, 2)]
         else:
             own = [(c, 0.0)] if c in " .-_*" or not c.isalpha() else []
-            out += [singles + own] * n
-    return out
+            yield from [singles + own] * n
 
 
 def decode(token: str, cost: np.ndarray) -> str:
-    """The likeliest spelling: Viterbi over the last two symbols."""
+    """The likeliest spelling of a token of any length: Viterbi over the last two symbols.
+
+    Each state carries the spelling of its best path, without the beginning that all of them share: it can't change any
+    more and is written down every SETTLED places, so spellings stay short.
+    """
+    settled: list[str] = []
     states: dict[tuple[int, int], tuple[float, str]] = {(BOUNDARY, BOUNDARY): (0.0, "")}
-    for choices in lattice(token):
+    for place, choices in enumerate(lattice(token), 1):
         new: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (so_far, text) in states.items():
             for spelling, price in choices:
@@ -139,20 +144,23 @@ def decode(token: str, cost: np.ndarray) -> str:
                 if (x, y) not in new or total < new[x, y][0]:
                     new[x, y] = (total, text + spelling)
         states = new
+        if place % SETTLED == 0 and (shared := commonprefix([text for _, text in states.values()])):
+            settled.append(shared)
+            states = {k: (total, text[len(shared) :]) for k, (total, text) in states.items()}
     ends = [(total + float(cost[x, y, BOUNDARY]), text) for (x, y), (total, text) in states.items()]
-    return min(ends)[1]
+    return "".join([*settled, min(ends)[1]])
 
 
 def restored(token: str, cost: np.ndarray) -> str:
     """The word in a lower-cased token, deobfuscated; empty if it has no letter."""
     core = token.strip(EDGES).rstrip("$€")
     if core.isalpha():
-        return decode(core, cost) if len(core) <= PIECE and RUN.search(core) else core
+        return decode(core, cost) if RUN.search(core) else core
     if not any(c.isalpha() for c in core):
         return ""
     if not any(c in LEET for c in core) and not SPACED_OUT.fullmatch(core):
         return core
-    return "".join(decode(core[i : i + PIECE], cost) for i in range(0, len(core), PIECE))
+    return decode(core, cost)
 
 
 class Reader:

@@ -467,6 +467,14 @@ def test_deobfuscation():
     cost = -np.log((n + 5 * b[None]) / (n.sum(2, keepdims=True) + 5))
     for token, word in (("1d10t", "idiot"), ("idiooooot", "idiot"), ("i d i o t", "idiot"), ("$tupid", "stupid"), ("w0rthle55!", "worthless"), ("cool", "cool"), ("2024", "")):
         assert toxicity.restored(token, cost) == word
+    for n in (50, 63, 64, 65, 70, 500, 100_000):  # runs of any length, and obfuscation anywhere in a long token
+        assert toxicity.restored("st" + "u" * n + "pid", cost) == "stupid"
+        assert toxicity.restored("1d10" + "0" * n + "t", cost) in ("idiot", "idioot")
+    word = "idiotandaworthlessclown" * 11
+    assert toxicity.restored(" ".join(word), cost).replace(" ", "") == word and len(" ".join(word)) > 500
+    for at in range(55, 75):
+        token = ("cool" * 40)[:at] + "w0rthle55" + "town"
+        assert "worthless" in toxicity.restored(token, cost)
 
 
 def test_viterbi_is_the_cheapest_path():
@@ -487,6 +495,44 @@ def test_viterbi_is_the_cheapest_path():
         assert best[toxicity.decode(token, cost)] == pytest.approx(min(best.values()))
 
 
+def plain_viterbi(token, cost):
+    """Least cost over all spellings, by a table of all states at every place and no texts."""
+    best = {(0, 0): 0.0}
+    for choices in toxicity.lattice(token):
+        new = {}
+        for (a, b), so_far in best.items():
+            for spelling, price in choices:
+                x, y, total = a, b, so_far + price
+                for c in spelling:
+                    z = toxicity.BOUNDARY if c in " .-_*" else toxicity.CODE.get(c, toxicity.OTHER)
+                    total, x, y = total + float(cost[x, y, z]), y, z
+                new[x, y] = min(total, new.get((x, y), np.inf))
+        best = new
+    return min(total + float(cost[x, y, 0]) for (x, y), total in best.items())
+
+
+def test_long_tokens_are_decoded_whole():
+    rng, r = random.Random(6), np.random.default_rng(6)
+    for size in (63, 64, 65, 127, 128, 200, 700) * 4:
+        cost = r.exponential(2, (64, 64, 64)).astype(np.float32)
+        token = "".join(rng.choice("abost105$3!|.- ") * rng.choice([1, 1, 1, 3]) for _ in range(size))
+        got, states = toxicity.decode(token, cost), {(0, 0, 0): 0.0}
+        for choices in toxicity.lattice(token):  # the cheapest way in which the lattice can spell what was decoded
+            new = {}
+            for (at, a, b), so_far in states.items():
+                for spelling, price in choices:
+                    if got.startswith(spelling, at):
+                        x, y, total = a, b, so_far + price
+                        for c in spelling:
+                            z = toxicity.BOUNDARY if c in " .-_*" else toxicity.CODE.get(c, toxicity.OTHER)
+                            total, x, y = total + float(cost[x, y, z]), y, z
+                        key = (at + len(spelling), x, y)
+                        new[key] = min(total, new.get(key, np.inf))
+            states = new
+        mine = min(total + float(cost[x, y, 0]) for (at, x, y), total in states.items() if at == len(got))
+        assert mine == pytest.approx(plain_viterbi(token, cost))
+
+
 def test_toxicity_held_out(spark, tmp_path):
     rng = random.Random(2)
     bad = ["idiot", "clown", "scum"]
