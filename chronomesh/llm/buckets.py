@@ -3,11 +3,16 @@
 Items come as (item, keys): a 64-bit identity and the band keys of its min-hashes. Items
 with a common key share a bucket, and each is checked against the bucket's smallest item.
 After a union-find, some buckets still hold items of different components that were never
-compared. Where these are few, all their pairs are checked; the others are bucketed anew
-by the key together with that of a later band, which agree for alike items and seldom for
-items that only have a passage in common, and so on for LEVELS levels. A level makes at most
-OFFSETS rows for each row left open, and a row at most FEW pairs, so no step grows with the
-square of a bucket; a bucket of copies costs one check for each.
+compared. Where these are few, all their pairs are checked. The others mostly have a long
+passage in common, which band keys don't see past. They meet again under what they don't all
+have: the shingles of all items left open are counted, and each item is keyed by those of
+its rarest shingles of which two alike items must share one (a prefix in the order of
+counts). Shingles that few items hold give all pairs, of which the number of common prefix
+shingles rules out most before any text is read; no alike pair is lost here. Shingles that
+many items hold are buckets with a smallest item again, and what stays open there is bucketed
+anew by the shingle together with a later band's key, LEVELS levels in all. A level makes at
+most OFFSETS rows for each row left open, and a row at most FEW pairs, so no step grows with
+the square of a bucket; a bucket of copies costs one check for each.
 
 A bucket that many items share is cut into chunks with a smallest item each, and these
 are compared among themselves, so no item meets an unbounded number of others and no task
@@ -32,8 +37,12 @@ CELLS = 60
 DONORS = np.random.default_rng(7).integers(0, CELLS, (CELLS, 24))
 #: Open items of a bucket up to which all its pairs are checked.
 FEW = 32
-#: Rounds of longer keys, and later bands that a key is lengthened by.
-LEVELS, OFFSETS = 3, 2
+#: Levels of keys (bands, rare shingles, these with one or two bands), and later bands that a key is lengthened by.
+LEVELS, OFFSETS = 4, 2
+#: Bytes of shingle counts that may be broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
+#: Shingles that leave a task in one batch, about.
+ROWS_OUT = 1 << 16
 #: Cells of the histogram of keys, and rows from which a cell's keys are cut into chunks.
 HISTOGRAM, CHUNK = 1 << 14, 20_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -166,14 +175,78 @@ def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
     return left.join(split.select("key", "n"), "key")
 
 
-def all_pairs(few: DataFrame) -> DataFrame:
-    """All pairs (a, b, root_a, root_b) of items (key, item, root) of different components that share a key, each made under the smallest key they share only."""
+def all_pairs(few: DataFrame, possible: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+    """All pairs (a, b, root_a, root_b) of items (key, item, root, ...) of different components that share a key, each made under the smallest key they share only.
+
+    possible: drops pairs that can't be alike, from columns of few that come with _a and _b at their ends.
+    """
     own = few.groupBy("item").agg(F.collect_set("key").alias("keys"))
     held = materialize(few.join(own, "item"), "buckets-few")
-    a, b = (held.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("item", "root", "keys")]) for x in "ab")
+    a, b = (held.select("key", *[F.col(c).alias(f"{c}_{x}") for c in held.columns if c != "key"]) for x in "ab")
     once = F.col("key") == F.array_min(F.array_intersect("keys_a", "keys_b"))
     met = a.join(b, "key").where((F.col("item_a") < F.col("item_b")) & (F.col("root_a") != F.col("root_b")) & once)
-    return met.select(F.col("item_a").alias("a"), F.col("item_b").alias("b"), "root_a", "root_b")
+    return possible(met).select(F.col("item_a").alias("a"), F.col("item_b").alias("b"), "root_a", "root_b")
+
+
+def shingle_rows(held: DataFrame, shingles: Callable[[bytes], np.ndarray]) -> DataFrame:
+    """(item, size, shingle) for every distinct shingle of held's (item, text); size: how many the item has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(items: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+            sizes = [len(x) for x in sets]
+            columns = [np.repeat(np.array(items, np.int64), sizes), np.repeat(np.array(sizes, np.int32), sizes), np.concatenate(sets).view(np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["item", "size", "shingle"])
+
+        for batch in batches:
+            items, sets, n = [], [], 0
+            for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                items.append(item)
+                sets.append(shingles(text))
+                n += len(sets[-1])
+                if n >= ROWS_OUT:
+                    yield out(items, sets)
+                    items, sets, n = [], [], 0
+            if items:
+                yield out(items, sets)
+
+    return held.select("item", "text").mapInArrow(run, "item long, size int, shingle long")
+
+
+def least_common(size: Column, similarity: float) -> Column:
+    """Shingles that an item of that size has in common with any alike one, at least."""
+    return F.ceil(size * F.lit(similarity) - F.lit(1e-9))
+
+
+def rare_shingles(items: DataFrame, texts: DataFrame, shingles: Callable[[bytes], np.ndarray], similarity: float) -> DataFrame:
+    """(item, root, size, prefix): the item's prefix, as (n, key) for those shingles that several of items (item, root) hold, rarest first.
+
+    In one order of all shingles two alike items share one of the first size - least_common + 1
+    of each. The order is by n, how many items hold a shingle, then by the shingle.
+    """
+    rows = shingle_rows(items.join(texts, "item"), shingles)
+    counts = materialize(rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "bucket-shingles")
+    small = 16 * counts.count() <= BROADCAST_BYTES
+    found = rows.join(F.broadcast(counts) if small else counts, "shingle").groupBy("item", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("all"))
+    # shingles that no other item holds come first, and take their places in the prefix
+    length = F.col("size") - least_common(F.col("size"), similarity) + 1 - (F.col("size") - F.size("all"))
+    key = lambda x: F.struct(x["n"].alias("n"), F.xxhash64(x["shingle"]).bitwiseAND(~BAND).alias("key"))
+    prefix = F.transform(F.slice("all", 1, F.greatest(length, F.lit(0)).cast("int")), key)
+    return items.join(found.select("item", "size", prefix.alias("prefix")).where(F.size("prefix") > 0), "item")
+
+
+def may_be_alike(similarity: float) -> Callable[[DataFrame], DataFrame]:
+    """Keeps pairs (size_a, size_b, prefix_a, prefix_b) that can have the common shingles which alike items of their sizes need.
+
+    What is common to two items lies in both prefixes, or behind the end of the one that ends first.
+    """
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        common = F.size(F.array_intersect(F.col("prefix_a.key"), F.col("prefix_b.key")))
+        behind = F.greatest(least_common(F.col("size_a"), similarity), least_common(F.col("size_b"), similarity)) - 1
+        needed = least_common(F.col("size_a") + F.col("size_b"), similarity / (1 + similarity))
+        return pairs.where(common + behind >= needed)
+
+    return possible
 
 
 def merged(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
@@ -219,14 +292,17 @@ def classes(
         left = materialize(open_members(members, roots), "buckets-open")
         few, many = (left.where(x).select("key", "item", "root") for x in (F.col("n") <= FEW, F.col("n") > FEW))
         pairs = all_pairs(few)
-        if level < LEVELS - 1 and not many.isEmpty():
-            if bands is None:
-                own = F.array_sort(F.collect_set(F.struct(band(F.col("key")).alias("band"), "key")))
-                bands = materialize(many.groupBy("item").agg(own.alias("bands")), "bucket-bands")
-            members, stars = met(materialize(lengthened(many, bands), "buckets-longer"))
-            roots = merged(roots, check(pairs.unionAll(stars).dropDuplicates(["a", "b"])))
-        elif pairs.isEmpty():
-            return roots
+        if level == LEVELS - 1 or many.isEmpty():
+            return roots if pairs.isEmpty() else merged(roots, check(pairs))
+        if bands is None:
+            own = F.array_sort(F.collect_set(F.struct(band(F.col("key")).alias("band"), "key")))
+            bands = materialize(many.groupBy("item").agg(own.alias("bands")), "bucket-bands")
+            rare = materialize(rare_shingles(many.select("item", "root").distinct(), texts, shingles, similarity), "bucket-rare")
+            rows = rare.withColumn("of", F.explode("prefix")).select("of.key", "of.n", "item", "root", "size", "prefix")
+            pairs = pairs.unionAll(all_pairs(rows.where(F.col("n") <= FEW).drop("n"), may_be_alike(similarity)))
+            again = rows.where(F.col("n") > FEW).select("key", "item", "root")
         else:
-            return merged(roots, check(pairs))
+            again = lengthened(many, bands)
+        members, stars = met(materialize(again, "buckets-longer"))
+        roots = merged(roots, check(pairs.unionAll(stars).dropDuplicates(["a", "b"])))
     return roots

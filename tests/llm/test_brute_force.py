@@ -689,3 +689,44 @@ def test_top_k_tells_rows_apart_after_padding(spark):
     one = [(1, 20, 4096), (2, 20, 4096), (3, 1, 2048)]
     long = [(1, 20, 4096), (2, 20, 4096), (3, 1, 2048)]
     assert got == sorted(one + one + long)
+
+
+@pytest.mark.parametrize(("pairs", "common", "tail", "changed"), [(500, 120, 26, 14), (500, 110, 22, 9), (400, 60, 40, 9), (300, 85, 15, 6)])
+def test_pairs_of_lines_in_a_large_family(spark, pairs, common, tail, changed):
+    """Pairs of lines that all have one part in common; unrelated lines are less than 0.8 alike, and every alike pair is found."""
+    rng = random.Random(pairs + common)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(n))
+    part, texts = letters(common), []
+    for _ in range(pairs):
+        own = letters(tail)
+        texts += [part + own, part + own[: tail - changed] + letters(changed)]
+    texts = [t.encode() for t in texts]
+    sets = [lines.shingles(t) for t in texts]
+    same = [buckets.similarity_of(sets[2 * i], sets[2 * i + 1]) for i in range(pairs)]
+    table = spark.createDataFrame([(i, k.tolist()) for i, k in enumerate(lines.band_keys(texts))], "item long, keys array<long>")
+    rows = spark.createDataFrame([(i, bytearray(t)) for i, t in enumerate(texts)], "item long, text binary")
+    roots = {r.node: r.root for r in buckets.classes(table, lambda wanted: rows.join(wanted, "item"), lines.shingles, 0.8).collect()}
+    found = [roots.get(2 * i, 2 * i) == roots.get(2 * i + 1, 2 * i + 1) for i in range(pairs)]
+    alike = [i for i in range(pairs) if same[i] >= 0.8]
+    assert len(alike) > 30
+    assert all(found[i] for i in alike)
+
+
+def test_rare_shingles_keep_every_alike_pair(spark):
+    """Of all pairs of sets that are alike, each shares a prefix key and passes the count of common ones."""
+    rng = random.Random(77)
+    letters = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    part, texts = letters(60), []
+    for _ in range(60):
+        t = part[: rng.randint(30, 60)] + letters(rng.randint(0, 30))
+        texts += [t, t[: -rng.randint(1, 6)] + letters(rng.randint(1, 4)), letters(3) + t]
+    texts = sorted({t.encode() for t in texts})
+    sets = [lines.shingles(t) for t in texts]
+    rows = spark.createDataFrame([(i, bytearray(t)) for i, t in enumerate(texts)], "item long, text binary")
+    items = spark.range(len(texts)).select(F.col("id").alias("item"), F.col("id").alias("root"))
+    rare = buckets.rare_shingles(items, rows, lines.shingles, 0.8).withColumn("of", F.explode("prefix")).select("of.key", "item", "root", "size", "prefix")
+    met = {(r.a, r.b) for r in buckets.all_pairs(rare, buckets.may_be_alike(0.8)).collect()}
+    everything = {(a, b): buckets.similarity_of(sets[a], sets[b]) for b in range(len(texts)) for a in range(b)}
+    alike = {k for k, v in everything.items() if v >= 0.8}
+    assert len(alike) > 100 and alike <= met
+    assert len(met) < 0.8 * len(everything)
