@@ -26,10 +26,19 @@ def bucketed(samples: DataFrame, notes: DataFrame, key: str, index: str, rate: i
     return samples.withColumn("_sec", F.floor(F.col(index) / rate)).join(last, [key, "_sec"], "left").drop("_sec")
 
 
-def containing(texts: DataFrame, names: DataFrame, text: str, name: str, order: str) -> DataFrame:
-    """texts with the first of names (by order) that is part of text, null if none is. names is small by contract: a list of subjects."""
-    found = texts.join(F.broadcast(names), F.col(text).contains(F.trim(F.col(name))), "left")
-    return found.groupBy(*texts.columns).agg(F.min_by(name, order).alias(name))
+def containing(texts: DataFrame, names: DataFrame, text: str, name: str, value: str, order: str) -> DataFrame:
+    """texts with the value of the first of names (by order) whose trimmed name is part of text, null if none is.
+
+    A text meets names by equality: it is cut into its distinct parts of every length that a
+    name has, so neither side is compared as a whole with the other. An empty name is part of every text.
+    """
+    parts = names.select(F.trim(name).alias("_part"), F.col(value), F.col(order).alias("_order")).where("_part IS NOT NULL")
+    best = parts.groupBy("_part").agg(F.min_by(value, "_order").alias(value), F.min("_order").alias("_order"))
+    lengths = parts.agg(F.collect_set(F.length("_part")).alias("lengths"))  # as many as names have lengths
+    rows = texts.withColumn("_n", F.explode_outer(lengths.scalar()))
+    cut = F.transform(F.sequence(F.lit(1), F.length(text) - F.col("_n") + 1), lambda i: F.substring(F.col(text), i, F.col("_n")))
+    rows = rows.withColumn("_part", F.explode_outer(F.when(F.col("_n") <= F.length(text), F.array_distinct(cut))))
+    return rows.join(best, "_part", "left").groupBy(*texts.columns).agg(F.min_by(value, "_order").alias(value))
 
 
 def looked_up(rows: DataFrame, dimension: DataFrame, key: str, value: str, default: str) -> DataFrame:

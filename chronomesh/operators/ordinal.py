@@ -40,6 +40,11 @@ def q0(n: int) -> float:
     return -2 / (((n + 1) / n) * math.log2(n + 1) + math.log2(n) - 2 * math.log2(2 * n))
 
 
+def q0_column(n: Column) -> Column:
+    """q0 of a column of numbers of states (double, 2 or more)."""
+    return -2 / (((n + 1) / n) * F.log2(n + 1) + F.log2(n) - 2 * F.log2(2 * n))
+
+
 def pattern_code(values: list[Column]) -> Column:
     """Number of the values' ranking, from the inversions of each value against those after it."""
     m = len(values)
@@ -78,6 +83,13 @@ def window_grid(rate: float, seconds: list[float]) -> list[tuple[int, float, int
     return [(w, s, order_for(w)) for s in seconds for w in [round(s * rate)]]
 
 
+def with_windows(recordings: DataFrame, rate: str, seconds: list[float]) -> DataFrame:
+    """recordings with a row for each window length: seconds, w (samples at the recording's rate, half to even) and m, the order for it."""
+    out = recordings.withColumn("seconds", F.explode(F.array(*map(F.lit, seconds))))
+    out = out.withColumn("w", F.bround(F.col("seconds") * F.col(rate), 0).cast("long"))
+    return out.withColumn("m", order_column(F.col("w")))
+
+
 def codes_of(x: np.ndarray, m: int) -> np.ndarray:
     """Numbers of the patterns that start at each sample, as `pattern_code` gives them."""
     n = len(x) - m + 1

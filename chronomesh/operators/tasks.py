@@ -11,14 +11,18 @@ from chronomesh.operators.ranks import ranked
 UNIT_COST, UNIT = 3000.0, (40_000, 6, 48)
 
 
-def grid(spark: SparkSession, values: dict[str, list[int]]) -> DataFrame:
-    """All combinations of the parameters' values."""
-    rows = spark.range(1).drop("id")
+def with_options(rows: DataFrame, values: dict[str, list[int]]) -> DataFrame:
+    """rows under every combination of the parameters' values."""
     for name, options in values.items():
         rows = rows.withColumn(name, F.explode(F.array(*map(F.lit, options))))
     return rows
 
 
+def grid(spark: SparkSession, values: dict[str, list[int]]) -> DataFrame:
+    """All combinations of the parameters' values."""
+    return with_options(spark.range(1).drop("id"), values)
+
+
 def cost(steps: Column, delays: Column, states: Column) -> Column:
     """Seconds, in proportion to steps, delays and the square of the states."""
     unit = UNIT[0] * UNIT[1] * UNIT[2] ** 2

@@ -88,15 +88,19 @@ def ec_01(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", O.order_column(F.col("p_size") * 100).alias("m"))
 
 
-@query("ec_02_q0", "SELECT n, round_even(-2 / (((n + 1) / n) * log2(n + 1) + log2(n) - 2 * log2(2 * n)), 9) AS q0 FROM (VALUES (6.0::DOUBLE), (24.0), (120.0), (720.0)) t(n)")
+@query("ec_02_q0", "SELECT p_partkey, round_even(-2 / (((n + 1) / n) * log2(n + 1) + log2(n) - 2 * log2(2 * n)), 9) AS q0 FROM (SELECT p_partkey, CAST(p_size + 1 AS DOUBLE) AS n FROM part)")
 def ec_02(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(float(n), round(O.q0(n), 9)) for n in (6, 24, 120, 720)], "n double, q0 double")
+    n = (F.col("p_size") + 1).cast("double")
+    return table(spark, sf, "part").select("p_partkey", H(O.q0_column(n), 9).alias("q0"))
 
 
-@query("ec_09_window_grid", "SELECT CAST(round_even((0.2::DOUBLE + k * 4.8::DOUBLE / 49) * 100, 0) AS BIGINT) AS w FROM range(50) r(k)")
+@query("ec_09_window_grid", """WITH g AS (SELECT p_partkey, k, CAST(round_even((0.2::DOUBLE + k * 4.8::DOUBLE / 49) * (p_size * 20), 0) AS BIGINT) AS w FROM part, range(50) r(k))
+SELECT p_partkey, k, w, CAST(CASE WHEN w >= 3600 THEN 6 WHEN w >= 600 THEN 5 WHEN w >= 120 THEN 4 ELSE 3 END AS INTEGER) AS m FROM g""")
 def ec_09(spark: SparkSession, sf: str) -> DataFrame:
-    seconds = [0.2 + k * 4.8 / 49 for k in range(50)]
-    return spark.createDataFrame([(w,) for w, _, _ in O.window_grid(100.0, seconds)], "w long")
+    recordings = table(spark, sf, "part").select("p_partkey", (F.col("p_size") * 20).cast("double").alias("rate"))
+    rows = O.with_windows(recordings, "rate", [0.2 + k * 4.8 / 49 for k in range(50)])
+    k = F.round((F.col("seconds") - 0.2) * 49 / 4.8).cast("long")
+    return rows.select("p_partkey", k.alias("k"), "w", "m")
 
 
 @query("ec_11_tags", "SELECT p_partkey, 'w_' || CASE WHEN s < 1 THEN printf('%.3f', s) ELSE printf('%.1f', s) END || 's_m' || 3 AS tag FROM (SELECT p_partkey, p_size / 7 AS s FROM part)")
@@ -275,14 +279,16 @@ def qc_33(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([tuple(r.values()) for r in history], "step int, loss double, held_loss double, held_residual double")
 
 
-@query("orc_05_task_grid", """WITH g AS (SELECT n, m, k FROM unnest([8, 24, 48, 80]) a(n), unnest([1, 2, 4, 6]) b(m), range(3) c(k) UNION ALL SELECT n, 6, 0 FROM unnest([24, 48]) a(n)), d AS (SELECT DISTINCT n, m, CAST(k AS INTEGER) AS k FROM g),
-c AS (SELECT *, 3000.0::DOUBLE * m * n * n / (6 * 48 * 48) AS cost FROM d) SELECT n, m, k, round_even(cost, 6) AS cost, (row_number() OVER (ORDER BY cost DESC, n, m, k) - 1) % 7 AS grp FROM c""")
+@query("orc_05_task_grid", """WITH d AS (SELECT DISTINCT c_nationkey AS source, length(c_mktsegment) AS states, m FROM customer, unnest([1, 2, 4, 6]) b(m)),
+c AS (SELECT *, 3000.0::DOUBLE * m * states * states / (6 * 48 * 48) AS cost FROM d)
+SELECT source, states, m, round_even(cost, 6) AS cost, (row_number() OVER (ORDER BY cost DESC, source, states, m) - 1) % 7 AS grp FROM c""")
 def orc_05(spark: SparkSession, sf: str) -> DataFrame:
-    from chronomesh.operators.tasks import cost, grid, grouped
+    from chronomesh.operators.tasks import cost, grouped, with_options
 
-    rows = grid(spark, {"n": [8, 24, 48, 80], "m": [1, 2, 4, 6], "k": [0, 1, 2]}).unionByName(grid(spark, {"n": [24, 48], "m": [6], "k": [0]})).distinct()
-    rows = grouped(rows.withColumn("cost", cost(F.lit(40_000), F.col("m"), F.col("n"))), 7, ["n", "m", "k"])
-    return rows.select("n", "m", "k", H(F.col("cost")).alias("cost"), "grp")
+    sources = table(spark, sf, "customer").select(F.col("c_nationkey").alias("source"), F.length("c_mktsegment").cast("long").alias("states"))
+    rows = with_options(sources.distinct(), {"m": [1, 2, 4, 6]})
+    rows = grouped(rows.withColumn("cost", cost(F.lit(40_000), F.col("m"), F.col("states"))), 7, ["source", "states", "m"])
+    return rows.select("source", "states", "m", H(F.col("cost")).alias("cost"), "grp")
 
 
 @query("orc_05_task_families", """WITH s AS (

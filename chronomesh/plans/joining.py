@@ -41,9 +41,14 @@ def src_16(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", part("://([^/]*)/").alias("host"), part("/([a-z]{2})/").alias("lang"), F.expr("try_cast(regexp_extract(url, '/[a-z]{2}/([0-9]+)', 1) AS BIGINT)").alias("number"))
 
 
-@query("src_17_registry", "SELECT * FROM (VALUES ('events', 1, 'us'), ('lineitem', 2, 'rows'), ('orders', 3, 'rows')) t(name, rank, unit)")
+@query("src_17_registry", """SELECT o_orderkey, coalesce(t.rank, 0) AS rank, coalesce(t.name, 'unknown') AS name
+FROM orders LEFT JOIN (VALUES ('F', 1, 'finished'), ('O', 2, 'open'), ('P', 3, 'partial')) t(code, rank, name) ON t.code = o_orderstatus""")
 def src_17(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([("events", 1, "us"), ("lineitem", 2, "rows"), ("orders", 3, "rows")], "name string, rank int, unit string")
+    from chronomesh.sources.signals import registered
+
+    registry = [("F", 1, "finished"), ("O", 2, "open"), ("P", 3, "partial")]
+    rows = registered(table(spark, sf, "orders"), registry, "o_orderstatus", "code string, rank int, name string")
+    return rows.select("o_orderkey", F.coalesce("rank", F.lit(0)).alias("rank"), F.coalesce("name", F.lit("unknown")).alias("name"))
 
 
 @query("snk_01_quantised", """SELECT l_orderkey, l_linenumber, l_partkey, round_even(round_even(l_extendedprice / (2 * e.eps), 0) * 2 * e.eps, 6) AS price
@@ -233,8 +238,7 @@ def join_02(spark: SparkSession, sf: str) -> DataFrame:
 def join_03(spark: SparkSession, sf: str) -> DataFrame:
     names = table(spark, sf, "region").select(F.lower(F.substring("r_name", 1, 2)).alias("_n"), F.col("r_name").alias("subject"), "r_regionkey")
     stems = table(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("stem"))
-    found = stems.join(F.broadcast(names), F.col("stem").contains(F.col("_n")), "left")
-    return found.groupBy("p_partkey").agg(F.min_by("subject", "r_regionkey").alias("subject"))
+    return J.containing(stems, names, "stem", "_n", "subject", "r_regionkey").select("p_partkey", "subject")
 
 
 @query("join_04_left_last", """WITH last AS (SELECT l_suppkey, max_by(l_tax, (l_orderkey, l_linenumber, l_partkey, l_shipdate)) AS r2 FROM lineitem WHERE l_quantity > 30 AND l_suppkey % 3 = 0 GROUP BY 1)

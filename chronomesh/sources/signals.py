@@ -22,6 +22,15 @@ def read_log(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return rows.toDF(*[c.lstrip("﻿") for c in rows.columns])
 
 
+def registered(rows: DataFrame, registry: list[tuple], key: str, schema: str) -> DataFrame:
+    """rows with the columns of a registry written out in the program; its first column is the key. Rows without an entry get nulls."""
+    entries = rows.sparkSession.createDataFrame(registry, schema)
+    code = entries.columns[0]
+    if len({entry[0] for entry in registry}) < len(registry):
+        raise ValueError("an entry of the registry is given twice")
+    return rows.join(entries, F.col(key) == F.col(code), "left").drop(code)
+
+
 def in_batches(df: DataFrame, value: str, rows: int) -> DataFrame:
     """(n, low, high, whole) of one column for every `rows` rows or fewer that a task reads; no other column is read."""
 

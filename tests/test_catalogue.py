@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from chronomesh.operators import catalogue, ordinal, partition, sweep, tasks
+from chronomesh.operators import catalogue, joins, ordinal, partition, sweep, tasks
 from chronomesh.sources import signals
 
 MEMBERS = "mode long, channel string, tag string, dist double"
@@ -123,3 +123,43 @@ def test_scan_of_three_controls_and_ten_others_has_41_tasks(spark):
     rows = [(f"s{i}", "control" if i < 3 else "other", False, 0) for i in range(13)]
     got = tasks.planned(spark.createDataFrame(rows, "source string, kind string, reference boolean, samples int"), tasks.SCAN).collect()
     assert len(got) == 41 == len({(r.source, r.states) for r in got})
+
+
+def test_names_in_texts_against_a_loop(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ab ") for _ in range(n))
+    texts = [(i, word(rng.randint(0, 9))) for i in range(120)] + [(200, None), (201, "")]
+    names = [(word(rng.randint(2, 4)) + "c" * (i % 2), f"s{i}", i) for i in range(12)] + [(None, "none", 50)]
+    found = joins.containing(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(names, "name string, subject string, place int"), "text", "name", "subject", "place")
+    got = {r.id: r.subject for r in found.collect()}
+    want = {i: next((s for n, s, _ in names if n is not None and t is not None and n.strip(" ") in t), None) for i, t in texts}
+    assert got == want and None in got.values() and len(set(got.values())) > 3
+    none = joins.containing(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([], "name string, subject string, place int"), "text", "name", "subject", "place")
+    assert {r.subject for r in none.collect()} == {None}
+
+
+def test_windows_of_a_rate_equal_the_grid(spark):
+    seconds = [0.2 + k * 4.8 / 49 for k in range(50)]
+    for rate in (200.0, 1000.0, 2048.0):
+        rows = ordinal.with_windows(spark.createDataFrame([(1, rate)], "id int, rate double"), "rate", seconds).orderBy("seconds").collect()
+        assert [(r.w, r.seconds, r.m) for r in rows] == ordinal.window_grid(rate, seconds)
+
+
+def test_registries_hold_a_key_once(spark):
+    with pytest.raises(ValueError, match="twice"):
+        signals.registered(spark.range(3), [(1, "a"), (1, "b")], "id", "code long, name string")
+    rows = signals.registered(spark.range(3), [(1, "a")], "id", "code long, name string").collect()
+    assert sorted((r.id, r.name) for r in rows if r.name) == [(1, "a")] and len(rows) == 3
+
+
+def test_task_families_of_recordings_and_synthetic_sources(spark):
+    """Sources of the usual shape: every source has its plain task, and each family adds tasks to its own kind only, none twice."""
+    sources = [(f"r{i}", "recorded", i < 2, 0) for i in range(17)] + [(f"s{i}", "synthetic", i < 2, 2000) for i in range(6)]
+    rows = tasks.planned(spark.createDataFrame(sources, "source string, kind string, reference boolean, samples int")).collect()
+    keys = [(r.source, r.states, r.delays, r.delay_ms, r.scaling, r.variance_weight, r.fixed_states) for r in rows]
+    assert len(keys) == len(set(keys)) and {k[0] for k in keys} == {s[0] for s in sources}
+    per = {s: sum(k[0] == s for k in keys) for s, *_ in sources}
+    assert all(per[f"r{i}"] == 2 for i in range(2, 17)) and all(per[f"s{i}"] == 1 for i in range(2, 6))
+    assert all(k[2] == 1 and k[3] == 0.0 for k in keys if k[0].startswith("s"))
+    # two scalings, two more delays, one weight, nine plain numbers of states, ten more delayed ones, held states
+    assert all(per[f"r{i}"] == 2 + 2 + 1 + 9 + 10 + 1 for i in range(2)) and all(per[f"s{i}"] == 6 for i in range(2))
