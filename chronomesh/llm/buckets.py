@@ -9,8 +9,8 @@ have: the shingles of all items left open are counted, and each item is keyed by
 its rarest shingles of which two alike items must share one (a prefix in the order of
 counts). Shingles that few items hold give all pairs, of which the number of common prefix
 shingles rules out most before any text is read; no alike pair is lost here. Shingles that
-many items hold are buckets with a smallest item again, and what stays open there is bucketed
-anew by the shingle together with a later band's key, LEVELS levels in all. A level makes at
+many items hold are buckets with a smallest item again, as are a band's key and a later one's
+together, and what stays open there is bucketed anew by longer keys, LEVELS levels in all. A level makes at
 most OFFSETS rows for each row left open, and a row at most FEW pairs, so no step grows with
 the square of a bucket; a bucket of copies costs one check for each.
 
@@ -300,7 +300,7 @@ def classes(
             rare = materialize(rare_shingles(many.select("item", "root").distinct(), texts, shingles, similarity), "bucket-rare")
             rows = rare.withColumn("of", F.explode("prefix")).select("of.key", "of.n", "item", "root", "size", "prefix")
             pairs = pairs.unionAll(all_pairs(rows.where(F.col("n") <= FEW).drop("n"), may_be_alike(similarity)))
-            again = rows.where(F.col("n") > FEW).select("key", "item", "root")
+            again = rows.where(F.col("n") > FEW).select("key", "item", "root").unionAll(lengthened(many, bands))
         else:
             again = lengthened(many, bands)
         members, stars = met(materialize(again, "buckets-longer"))
