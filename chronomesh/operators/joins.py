@@ -52,13 +52,14 @@ def looked_up(rows: DataFrame, dimension: DataFrame, key: str, value: str, defau
 def epochs(signal: DataFrame, events: DataFrame, key: str, index: str, at: str, before: int, after: int, ends: DataFrame | None = None) -> DataFrame:
     """A row for each event and offset in -before..after with the sample there. Events whose window leaves the record are dropped whole.
 
-    The offsets are exploded on the events' side, so the join is on equality. ends: (key,
+    The offsets are exploded on the events' side, so the join is on equality; Spark takes them
+    to be as few as the events, so they are never broadcast. ends: (key,
     first, last) of each record, from signal by default.
     """
     ends = ends or signal.groupBy(key).agg(F.min(index).alias("first"), F.max(index).alias("last"))
     inside = events.join(ends, key).where((F.col(at) - before >= F.col("first")) & (F.col(at) + after <= F.col("last"))).drop("first", "last")
     out = inside.withColumn("offset", F.explode(F.sequence(F.lit(-before), F.lit(after)))).withColumn(index, F.col(at) + F.col("offset"))
-    return out.join(signal, [key, index])
+    return out.hint("merge").join(signal, [key, index])
 
 
 def next_sample(events: DataFrame, grid: DataFrame, key: str, time: str, t: str, index: str) -> DataFrame:
@@ -73,7 +74,7 @@ def next_sample(events: DataFrame, grid: DataFrame, key: str, time: str, t: str,
 def lagged(left: DataFrame, right: DataFrame, key: str, index: str, low: int, high: int) -> DataFrame:
     """left (key, index, x) and right (key, index, s) at all lags: (key, lag, x at i + lag, s at i)."""
     moved = right.withColumn("lag", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn(index, F.col(index) + F.col("lag"))
-    return moved.join(left, [key, index])
+    return moved.hint("merge").join(left, [key, index])
 
 
 def takens(df: DataFrame, key: str, index: str, vector: str, m: int, lag: int) -> DataFrame:

@@ -106,7 +106,8 @@ def half_widths(df: DataFrame, peaks: DataFrame, key: str, index: str, value: st
 
     pedestal: a column of peaks. A side ends at the nearest sample not above half height, or
     at the record's edge. Peaks are looked at `reach` samples around; those with an open side
-    again with eight times the reach, and so on, so a peak costs about its own width.
+    again with eight times the reach, and so on, so a peak costs about its own width. The rows
+    looked at are never broadcast: Spark takes them to be as few as the peaks they come from.
     """
     samples = df.select(key, index, value)
     ends = samples.groupBy(key).agg(F.min(index).alias("_first"), F.max(index).alias("_end"))
@@ -115,7 +116,7 @@ def half_widths(df: DataFrame, peaks: DataFrame, key: str, index: str, value: st
     out = None
     while out is None or not open_.isEmpty():
         low, high = F.greatest("_first", F.col("peak") - reach), F.least("_end", F.col("peak") + reach)
-        near = open_.withColumn(index, F.explode(F.sequence(low, high))).join(samples, [key, index])
+        near = open_.withColumn(index, F.explode(F.sequence(low, high))).hint("merge").join(samples, [key, index])
         under = F.col(value) <= F.col("half")
         at = near.groupBy(key, "peak", "half", "_first", "_end").agg(
             F.max(F.when(under & (F.col(index) <= F.col("peak")), F.col(index))).alias("_l"),

@@ -219,6 +219,22 @@ def test_half_widths_reach_any_width(spark):
         assert (got[p].rise, got[p].decay, got[p].width, got[p].asymmetry) == pytest.approx(want)
 
 
+def test_exploded_rows_are_never_broadcast(spark):
+    """Spark estimates them by the rows they come from, so a few peaks or events of great reach would be sent to the driver."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    df = spark.range(100).selectExpr("'a' AS channel", "id AS i", "CAST(id % 7 AS DOUBLE) AS x")
+    events = df.where("i % 20 = 10").select("channel", F.col("i").alias("at"))
+    assert "SortMergeJoin" in plan(joins.epochs(df, events, "channel", "i", "at", 3, 3))
+    assert "BroadcastHashJoin" not in plan(joins.lagged(df, df.select("channel", "i", F.lit(1.0).alias("s")), "channel", "i", 0, 8))
+    met, plans = S.materialize, []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(S, "materialize", lambda rows, label: plans.append((label, plan(rows))) or met(rows, label))
+        peaks = df.where("x = 6").withColumn("pedestal", F.lit(0.0))
+        assert S.half_widths(df, peaks, "channel", "i", "x", F.col("pedestal"), 4).count() == peaks.count()
+    looked = [p for label, p in plans if label == "peaks-met"]
+    assert looked and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in looked)
+
+
 def test_ranks_over_parts(spark):
     rows = [(i, (i * 37) % 101) for i in range(2000)]
     df = spark.createDataFrame(rows, "id long, x long").repartition(8)
