@@ -1,20 +1,22 @@
-"""Classes of similar items by MinHash bands: bucket stars, exact checks, and longer keys for what stars leave open.
+"""Classes of similar items by MinHash bands: bucket stars, then everything that stars leave open, exactly.
 
 Items come as (item, keys): a 64-bit identity and the band keys of its min-hashes. Items
 with a common key share a bucket, and each is checked against the bucket's smallest item.
 After a union-find, some buckets still hold items of different components that were never
-compared. Where these are few, all their pairs are checked. The others mostly have a long
-passage in common, which band keys don't see past. They meet again under what they don't all
-have: the shingles of all items left open are counted, and each item is keyed by those of
-its rarest shingles of which two alike items must share one (a prefix in the order of
-counts). Shingles that few items hold give all pairs, of which the number of common prefix
-shingles rules out most before any text is read; no alike pair is lost here. Shingles that
-many items hold are buckets with a smallest item again, as are a band's key and a later one's
-together, and what stays open there is bucketed anew by longer keys, LEVELS levels in all. A level makes at
-most OFFSETS rows for each row left open, and a row at most FEW pairs, so no step grows with
-the square of a bucket; a bucket of copies costs one check for each.
-
-A bucket that many items share is cut into chunks with a smallest item each, and these
+compared. The items of such a bucket are brought together with their texts, and one task
+compares all of them by an index over their rarest shingles, a prefix of which two alike
+items must share one. What crosses the shuffle is a row for each item left open in a bucket,
+never a row for each pair, and buckets of the same items count once.
+
+Buckets too large for one task (mostly lines with a long passage in common) are taken apart
+by what their items don't all have: the shingles of all these items are counted, and each
+item is keyed by its prefix in the order of counts. Shingles that few items hold give all
+pairs, of which the number of common prefix shingles rules out most before any text is read.
+Shingles that more items hold are buckets again, compared as above; one that is still too
+large is cut into blocks, and every block meets every other one. So two alike items that
+share a key are never missed, whatever the size of their buckets.
+
+For the stars, a bucket that many items share is cut into chunks with a smallest item each, and these
 are compared among themselves, so no item meets an unbounded number of others and no task
 holds an unbounded bucket. Which keys may be that large is read off a histogram of fixed size.
 """
@@ -35,10 +37,12 @@ from chronomesh.llm.components import components
 CELLS = 60
 #: Cells from which an empty one borrows, one after the other.
 DONORS = np.random.default_rng(7).integers(0, CELLS, (CELLS, 24))
-#: Open items of a bucket up to which all its pairs are checked.
+#: Items with a rare shingle up to which their pairs are made, to be told apart by their prefixes.
 FEW = 32
-#: Levels of keys (bands, rare shingles, these with one or two bands), and later bands that a key is lengthened by.
-LEVELS, OFFSETS = 4, 2
+#: Items, and bytes of their texts, of a bucket or block that one task compares.
+LARGE, BYTES = 4096, 4 << 20
+#: Items up to which all pairs are compared without an index.
+PLAIN = 8
 #: Bytes of shingle counts that may be broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 #: Shingles that leave a task in one batch, about.
@@ -167,12 +171,97 @@ def met(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return shared.select("key", "item", done.alias("done")), pairs
 
 
-def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (key, item, root, n) that aren't done, of buckets with such members in different components; n: how many."""
-    left = members.where("NOT done").join(roots.withColumnRenamed("node", "item"), "item", "left")
-    left = materialize(left.select("key", "item", F.coalesce("root", "item").alias("root")), "bucket-members")
-    split = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
-    return left.join(split.select("key", "n"), "key")
+def open_members(members: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members (key, item, root, n, bytes) that aren't done, of buckets with such members in different components; n, bytes: how many, and of how much text. sizes: (item, bytes)."""
+    left = members.where("NOT done").join(roots.withColumnRenamed("node", "item"), "item", "left").select("key", "item", F.coalesce("root", "item").alias("root"))
+    return told_once(left.join(sizes, "item"))
+
+
+def told_once(left: DataFrame) -> DataFrame:
+    """Rows (key, item, root, bytes) of keys that several components share, with n and bytes of the key; of keys that the same items have one stays."""
+    left = materialize(left, "bucket-members")
+    same = [F.bit_xor(F.xxhash64("item", F.lit(seed))).alias(f"same{seed}") for seed in (0, 1)]
+    split = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum("bytes").alias("bytes"), *same)
+    kept = split.where("low <> high").groupBy("n", "same0", "same1").agg(F.min("key").alias("key"), F.max("bytes").alias("bytes"))
+    return left.drop("bytes").join(kept.select("key", "n", "bytes"), "key")
+
+
+def linked(roots: list[int], sides: list[int], texts: list[bytes], shingles: Callable[[bytes], np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Edges between the roots of alike texts of different sides, if there are several; no more than join what they connect."""
+    n, sets, across = len(roots), [shingles(t) for t in texts], len(set(sides)) > 1
+    size, side = np.array([len(x) for x in sets]), np.array(sides)
+    part = np.unique(np.array(roots), return_inverse=True)[1]
+    edges: list[tuple[int, int]] = []
+
+    def join(i: int, j: int) -> None:
+        edges.append((roots[i], roots[j]))
+        part[part == part[i]] = part[j]
+
+    def apart(j: int, others: np.ndarray) -> np.ndarray:
+        near = (np.minimum(size[others], size[j]) >= similarity * np.maximum(size[others], size[j]) * (1 - 1e-9)) & (part[others] != part[j])
+        return others[near & (side[others] != side[j]) if across else near]
+
+    if n <= PLAIN:
+        for j in range(1, n):
+            for i in apart(j, np.arange(j)).tolist():
+                if part[i] != part[j] and similarity_of(sets[i], sets[j]) >= similarity:
+                    join(i, j)
+        return edges
+    begin = np.concatenate([[0], np.cumsum(size)])
+    _, of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.empty(len(count), np.int64)
+    order[np.argsort(count, kind="stable")] = np.arange(len(count))
+    place, rare = order[of], count[of] < 2  # rarest shingles first
+    own = [np.sort(place[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
+    lone = np.add.reduceat(rare, begin[:-1]).tolist()  # shingles that no other item has come first
+    length = (size - np.ceil(size * similarity - 1e-9) + 1).astype(int).tolist()
+    held: dict[int, list[int]] = {}
+    mark = np.zeros(len(count), bool)
+    for j in range(n):
+        prefix = own[j][lone[j] : length[j]].tolist()
+        met = [i for p in prefix for i in held.get(p, ())]
+        if met and len(others := apart(j, np.unique(met))):
+            mark[own[j]] = True
+            common = np.array([np.count_nonzero(mark[own[i]]) for i in others.tolist()])
+            mark[own[j]] = False
+            for i in others[common / np.maximum(1, size[others] + size[j] - common) >= similarity].tolist():
+                if part[i] != part[j]:
+                    join(i, j)
+        for p in prefix:
+            held.setdefault(p, []).append(j)
+    return edges
+
+
+def compared(rows: DataFrame, texts: DataFrame, shingles: Callable[[bytes], np.ndarray], similarity: float) -> DataFrame:
+    """Edges (root_a, root_b) that join the components of all alike items that share a key. rows (key, item, root, n, bytes).
+
+    A key with more than a task compares is cut into blocks, and each pair of blocks is compared by one task.
+    """
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / LARGE), F.ceil(F.col("bytes") / BYTES)).cast("int")
+    dealt = rows.select("key", "item", "root", parts.alias("parts")).withColumn("side", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("side", q).alias("low"), F.greatest("side", q).alias("high")))
+    held = dealt.withColumn("cell", F.explode(cells)).select("item", "key", "cell.low", "cell.high", "side", "root").join(texts.select("item", "text"), "item")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, rows = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            roots, sides, own = zip(*rows, strict=True)
+            if len(set(roots)) > 1 and (found := linked(roots, sides, own, shingles, similarity)):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["root_a", "root_b"])
+
+        for batch in batches:
+            for *key, side, root, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != last:
+                    if rows:
+                        yield from out()
+                    last, rows = key, []
+                rows.append((root, side, text))
+        if rows:
+            yield from out()
+
+    held = held.select("key", "low", "high", "side", "root", "text").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return held.mapInArrow(run, "root_a long, root_b long").distinct()
 
 
 def all_pairs(few: DataFrame, possible: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
@@ -259,20 +348,6 @@ def merged(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
     return materialize(known.unionAll(new.join(roots, "node", "left_anti").select("node", "root")), "bucket-roots")
 
 
-def band(key: Column) -> Column:
-    return key.bitwiseAND(BAND)
-
-
-def lengthened(many: DataFrame, bands: DataFrame) -> DataFrame:
-    """many (key, item, root) with each key lengthened by those of the next OFFSETS of the item's bands (item, bands).
-
-    Only bands of large buckets count: two items that share a small one have been compared there.
-    """
-    after = F.slice(F.filter("bands", lambda x: x["band"] > band(F.col("key"))), 1, OFFSETS)
-    longer = F.transform(after, lambda x: F.xxhash64("key", x["key"]).bitwiseAND(~BAND).bitwiseOR(x["band"]))
-    return many.join(bands, "item").select(F.explode(longer).alias("key"), "item", "root")
-
-
 def classes(
     table: DataFrame,
     fetch: Callable[[DataFrame], DataFrame],
@@ -285,24 +360,17 @@ def classes(
     text, as distinct 64-bit numbers.
     """
     members, pairs = met(table.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "item"))
-    texts = materialize(fetch(members.select("item").distinct()), "bucket-texts")
+    texts = materialize(fetch(members.select("item").distinct()).withColumn("bytes", F.length("text")), "bucket-texts")
     check = lambda pairs: materialize(verified(materialize(pairs, "bucket-pairs"), texts, shingles, similarity), "bucket-edges")
-    roots, bands = merged(None, check(pairs)), None
-    for level in range(LEVELS):
-        left = materialize(open_members(members, roots), "buckets-open")
-        few, many = (left.where(x).select("key", "item", "root") for x in (F.col("n") <= FEW, F.col("n") > FEW))
-        pairs = all_pairs(few)
-        if level == LEVELS - 1 or many.isEmpty():
-            return roots if pairs.isEmpty() else merged(roots, check(pairs))
-        if bands is None:
-            own = F.array_sort(F.collect_set(F.struct(band(F.col("key")).alias("band"), "key")))
-            bands = materialize(many.groupBy("item").agg(own.alias("bands")), "bucket-bands")
-            rare = materialize(rare_shingles(many.select("item", "root").distinct(), texts, shingles, similarity), "bucket-rare")
-            rows = rare.withColumn("of", F.explode("prefix")).select("of.key", "of.n", "item", "root", "size", "prefix")
-            pairs = pairs.unionAll(all_pairs(rows.where(F.col("n") <= FEW).drop("n"), may_be_alike(similarity)))
-            again = rows.where(F.col("n") > FEW).select("key", "item", "root").unionAll(lengthened(many, bands))
-        else:
-            again = lengthened(many, bands)
-        members, stars = met(materialize(again, "buckets-longer"))
-        roots = merged(roots, check(pairs.unionAll(stars).dropDuplicates(["a", "b"])))
-    return roots
+    sizes, ends = texts.select("item", "bytes"), ["root_a", "root_b"]
+    roots = merged(None, check(pairs))
+    left = materialize(open_members(members, roots, sizes), "buckets-open")
+    small = (F.col("n") <= LARGE) & (F.col("bytes") <= BYTES)
+    edges, many = compared(left.where(small), texts, shingles, similarity), left.where(~small)
+    if not many.isEmpty():
+        rare = materialize(rare_shingles(many.select("item", "root").distinct(), texts.select("item", "text"), shingles, similarity), "bucket-rare")
+        rows = rare.withColumn("of", F.explode("prefix")).select("of.key", "of.n", "item", "root", "size", "prefix")
+        edges = edges.unionAll(check(all_pairs(rows.where(F.col("n") <= FEW).drop("n"), may_be_alike(similarity))).select(ends))
+        held = told_once(rows.where(F.col("n") > FEW).select("key", "item", "root").distinct().join(sizes, "item"))
+        edges = edges.unionAll(compared(held, texts, shingles, similarity))
+    return merged(roots, materialize(edges, "bucket-edges"))
