@@ -93,3 +93,19 @@ def test_small_inputs(spark, points):
     few, history = training.train_in_batches(points.limit(2), None, 2, 1, epochs=1)  # some batches are empty
     assert history[-1]["step"] == 2 and np.isfinite(few).all()
     assert training.safe_batch(10, 4) == 256 and training.safe_batch(64, 4096) == 1
+
+
+def test_steps_in_a_row_equal_single_jobs(spark, points, monkeypatch):
+    """However rows are cut, the bits are the same; a job for each step, whose step the driver takes, agrees up to rounding."""
+    run = lambda: training.train_in_batches(points, None, 3, 20, epochs=2, variance_weight=0.1, commutator_weight=0.01, seed=5)
+    jobs, steps_in_row = [], training.steps_in_row
+    monkeypatch.setattr(training, "steps_in_row", lambda rows, steps, *more: jobs.append(len(steps)) or steps_in_row(rows, steps, *more))
+    whole, history = run()
+    assert jobs == [5, 5]  # a job for each step before
+    monkeypatch.setattr(training, "IN_ROW", 60)
+    cut, again = run()
+    assert jobs[2:] == [3, 2, 1, 3, 1] and (cut.view(float) == whole.view(float)).all() and again == history
+    monkeypatch.setattr(training, "SMALL", 0)
+    single, other = run()
+    assert len(jobs) == 7 and np.allclose(single, whole, rtol=0, atol=1e-11)
+    assert np.allclose([h["loss"] for h in other], [h["loss"] for h in history])
