@@ -26,6 +26,8 @@ from chronomesh.sources.shared import Scratch, materialize, scratch
 ROWS = 512
 #: Bounds give way by this share, more than rounding can cost.
 SLACK = 1e-9
+#: Centres from which products tell which of them are worth an exact distance, and how far such a distance may be off, relative to the largest squares.
+MANY, NEAR = 16, 1e-10
 STATE = "id long, v array<double>, cells array<int>, dist array<double>, low array<double>, k int, cell int, sum array<double>, n long, j double, again long"
 
 
@@ -59,6 +61,35 @@ def squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
+def compared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """squares(x, c), with infinity for centres that can't be among a row's two nearest.
+
+    Products of matrices tell these apart, with room for their rounding; what is left gets the exact distance.
+    """
+    if len(c) < MANY:
+        return squares(x, c)
+    xx, cc = (x**2).sum(1), (c**2).sum(1)
+    rough = xx[:, None] - 2 * (x @ c.T) + cc
+    limit = np.partition(rough, 1, axis=1)[:, 1] + 2 * NEAR * (xx + cc.max())
+    if not (np.isfinite(limit).all() and np.isfinite(cc).all()):
+        return squares(x, c)
+    row, column = np.nonzero(rough <= limit[:, None])
+    out = np.full(rough.shape, np.inf)
+    out[row, column] = ((x[row] - c[column]) ** 2).sum(1)
+    return out
+
+
+def lists(rows: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Rows of a matrix as arrays."""
+    offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1])
+    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(rows).ravel())).cast(kind)
+
+
+def matrix(column: pa.Array, rows: int) -> np.ndarray:
+    """Arrays of one length as rows of a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1)
+
+
 def assigned(x: np.ndarray, c: np.ndarray, way: np.ndarray | None, cell: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Cells, squared distances and lower bounds of rows x, and how many had to be compared with all centres; way: how far each centre moved, None at first."""
     if way is None:
@@ -71,7 +102,7 @@ def assigned(x: np.ndarray, c: np.ndarray, way: np.ndarray | None, cell: np.ndar
         dist = ((x - c[cell]) ** 2).sum(1)
         again = np.sqrt(dist) * (1 + SLACK) >= low * (1 - SLACK)
     if again.any():
-        all_ = squares(x[again], c)
+        all_ = compared(x[again], c)
         best = all_.argmin(1)
         near = all_[np.arange(len(all_)), best]
         all_[np.arange(len(all_)), best] = np.inf
@@ -86,11 +117,12 @@ def step(rows: DataFrame, ks: list[int], active: list[int], centres: dict[int, n
     shared = rows.sparkSession.sparkContext.broadcast((centres, ways))
     names = [f.split(" ")[0] for f in STATE.split(", ")]
     d = len(next(iter(centres.values()))[0])
-    lists = pa.list_(pa.float64())
-    kinds = dict(zip(names, [pa.int64(), lists, pa.list_(pa.int32()), lists, lists, pa.int32(), pa.int32(), lists, pa.int64(), pa.float64(), pa.int64()], strict=True))
+    lists_ = pa.list_(pa.float64())
+    kinds = dict(zip(names, [pa.int64(), lists_, pa.list_(pa.int32()), lists_, lists_, pa.int32(), pa.int32(), lists_, pa.int64(), pa.float64(), pa.int64()], strict=True))
 
     def out(size: int, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds[c]) if c in columns else pa.nulls(size, kinds[c]) for c in names], names)
+        put = lambda x, kind: x.cast(kind) if isinstance(x, pa.Array) else pa.array(x, kind)
+        return pa.RecordBatch.from_arrays([put(columns[c], kinds[c]) if c in columns else pa.nulls(size, kinds[c]) for c in names], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, ways = shared.value
@@ -99,9 +131,9 @@ def step(rows: DataFrame, ks: list[int], active: list[int], centres: dict[int, n
             for at in range(0, whole.num_rows, ROWS):
                 part = whole.slice(at, ROWS)
                 m = part.num_rows
-                x = np.array(part.column(1).to_pylist(), float).reshape(m, d)
+                x = matrix(part.column(1), m)
                 first = ways is None
-                cells, dist, low = (np.zeros((m, len(ks))) if first else np.array(part.column(c).to_pylist(), float).reshape(m, -1) for c in (2, 3, 4))
+                cells, dist, low = (np.zeros((m, len(ks))) if first else matrix(part.column(c), m) for c in (2, 3, 4))
                 cells = cells.astype(int)
                 for n, k in enumerate(ks):
                     if k not in sums:
@@ -112,7 +144,7 @@ def step(rows: DataFrame, ks: list[int], active: list[int], centres: dict[int, n
                     np.add.at(total[1], cells[:, n], 1)
                     np.add.at(total[2], cells[:, n], dist[:, n])
                     total[3] += again
-                yield out(m, id=part.column(0), v=part.column(1), cells=cells.tolist(), dist=dist.tolist(), low=low.tolist())
+                yield out(m, id=part.column(0), v=part.column(1), cells=lists(cells, kinds["cells"]), dist=lists(dist, lists_), low=lists(low, lists_))
         for k, (s, n, j, again) in sums.items():
             used = np.flatnonzero(n)
             if len(used):

@@ -63,3 +63,19 @@ def test_small(spark):
     assert [getattr(none, n).count() for n in ("summary", "history", "memberships", "trajectories")] == [0] * 4
     few = sweep.swept(spark.createDataFrame([(1, [0.0]), (2, [5.0])], "id long, v array<double>"), [2, 4])  # fewer objects than cells
     assert {(r.k_clusters, r.id, r.dist) for r in few.memberships.collect()} == {(k, i, 0.0) for k in (2, 4) for i in (1, 2)}
+
+
+def test_nearest_centres_by_products_equal_all_distances(monkeypatch):
+    """The two smallest distances and the first nearest centre, bit for bit, also with ties, copies and far origins; few others are computed."""
+    rng = np.random.default_rng(4)
+    for shift in (0.0, 1e3, 1e6):
+        x, c = rng.standard_normal((300, 8)) + shift, rng.standard_normal((90, 8)) + shift
+        c[50], x[7] = c[3], c[3]
+        x[:20] = np.round(x[:20])
+        all_, some = sweep.squares(x, c), sweep.compared(x, c)
+        assert (some.argmin(1) == all_.argmin(1)).all()
+        assert (np.sort(some, 1)[:, :2] == np.sort(all_, 1)[:, :2]).all()
+        if not shift:
+            assert np.isfinite(some).sum() < 3 * len(x)
+    x[5, 2] = np.nan
+    assert np.isnan(sweep.compared(x, c)[5]).all()
