@@ -5,8 +5,8 @@ space); equal ones are one class from the start. Every other line gets min-hashe
 shingles of LONGER characters, in bands; lines that share a band's key meet in a bucket. These
 shingles are longer than those of the similarity because lines of one language share many
 short ones, and would meet though they are far from alike. A bucket never emits all its pairs (see buckets.py): each line is verified against
-the bucket's smallest one, and what a union-find then leaves in different components meets
-again under longer keys. Verified means a Jaccard similarity of the shingle sets of at
+the bucket's smallest one, and what a union-find then leaves in different components is
+compared in full. Verified means a Jaccard similarity of the shingle sets of at
 least SIMILARITY, computed on the lines themselves. At that similarity about 0.7 of the
 longer shingles are common, and the bands miss two lines about once in 60 pairs.
 
