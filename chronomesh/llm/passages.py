@@ -14,13 +14,13 @@ where at least AGREE do, the stretch is a candidate. Candidates are verified on
 shingles themselves (Jaccard similarity of at least SIMILARITY, LEAST shingles or more).
 
 A key from a part that many documents hold (a template) leads to a smallest document that
-a passage need not be alike to. A passage that is alike to no other of the template has at least OWN of LEAST
-shingles that the template hasn't, and any hash function has its minimum there in that
-share of cases; such a key is the family's alone. So windows that found no verified passage
-meet again among themselves, where one agreeing hash function is enough and a key of few
-documents compares all of them, and then under FURTHER hash functions, as
-many as leave less than MISS of such families without a key of their own. Only spans that
-are still open are read for them. A key that very many windows have
+a passage need not be alike to. So the keys whose windows verified passages
+don't link are compared in full, whatever the number of their windows: one task has the
+shingles around each window's minimum and finds what is alike by an index over their rarest
+shingles, a prefix of which alike passages must share. What the task knows to be linked isn't compared again, so copies and near copies
+give links enough to join them, not all pairs. A key of more than LARGE windows is cut into
+blocks, and every block meets every other one; that step grows with the square of such a key.
+For the smallest documents, a key that very many windows have
 is cut into chunks with a smallest document each, which are compared among themselves.
 
 Defined results: null, empty and short texts have no windows. Of rows with the same doc_id
@@ -32,7 +32,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronomesh.llm.buckets import chunked
+from chronomesh.llm.buckets import chunked, distinct
 from chronomesh.llm.common import materialize, read
 
 SHINGLE = 5
@@ -53,18 +53,13 @@ SIMILARITY = 0.8
 GRAIN = 64
 #: Bytes of wanted stretches that may be broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 24 << 20
-#: Documents of a key up to which all are compared in later rounds; of larger ones each is compared with the smallest.
-FEW = 8
-#: Shingles of a passage outside the template at least: with fewer, two passages of LEAST shingles are alike anyway (LEAST - x of LEAST + x in common).
-OWN = int(LEAST * (1 - SIMILARITY) / (1 + SIMILARITY)) + 1
-MISS = 0.002
-#: Further hash functions for spans that stay open.
-FURTHER = math.ceil(math.log(MISS) / math.log(1 - OWN / LEAST)) - HASHES
-#: Words that are hashed together.
-WORDS = 1 << 16
+#: Shingles before and after a common minimum that are compared where a key's windows meet in full: as long as a partner of LEAST shingles can be.
+AROUND = math.ceil(LEAST / SIMILARITY)
+#: Windows of a key that one task compares; a key of more is cut into blocks, and each pair of blocks is compared by one task.
+LARGE = 1 << 12
 #: Share of the documents that is looked at to tell which keys may be very frequent; it only decides how their rows are dealt out.
 LOOK = 1 / 16
-SEEDS = np.array([xxhash.xxh64_intdigest(f"window {k}", 0) for k in range(HASHES + FURTHER)], np.uint64)
+SEEDS = np.array([xxhash.xxh64_intdigest(f"window {k}", 0) for k in range(HASHES)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,13 +70,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def shingles(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the shingles of all texts, one after another, and where each text's begin (one more: where all end)."""
-    return shingles_of([text.lower().split() if text else [] for text in texts])
-
-
-def shingles_of(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """As shingles(), of texts whose words are known."""
     digest, sizes, words = xxhash.xxh64_intdigest, [], []
-    for own in texts:
+    for own in (text.lower().split() if text else [] for text in texts):
         sizes.append(len(own))
         words += own
     h = np.fromiter(map(digest, words), np.uint64, len(words))
@@ -149,59 +139,36 @@ def places(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return c, c - (at >> 6 & 63), c - (at & 63)
 
 
-def tabled(h: np.ndarray, begin: np.ndarray, ids: np.ndarray, offset: np.ndarray, seeds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Compact windows (WINDOWS) of texts, or of parts that start `offset` shingles into theirs, under each of seeds."""
-    for seed in seeds:
+def tabled(h: np.ndarray, begin: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Compact windows (WINDOWS) of texts under each hash function."""
+    for seed in SEEDS:
         value = mix(h ^ seed)
         of, left, c, right = windows(value, begin)
         if len(of):
-            place = placed(c + offset[of], np.maximum(left, c - LEAST + 1) + offset[of], np.minimum(c, right - LEAST + 1) + offset[of])
+            place = placed(c, np.maximum(left, c - LEAST + 1), np.minimum(c, right - LEAST + 1))
             yield pa.RecordBatch.from_arrays([pa.array(value[begin[of] + c].view(np.int64)), pa.array(ids[of]), pa.array(place)], NAMES)
 
 
 def window_table(docs: DataFrame) -> DataFrame:
-    """Compact windows of all documents under the first HASHES functions (WINDOWS); key: hash function and shingle of the minimum."""
+    """Compact windows of all documents (WINDOWS); key: hash function and shingle of the minimum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                yield from tabled(*shingles(part.column(1).to_pylist()), ids, np.zeros(len(ids), np.int64), SEEDS[:HASHES])
+                yield from tabled(*shingles(part.column(1).to_pylist()), ids)
 
     own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return own.mapInArrow(run, WINDOWS)
 
 
-def further_windows(docs: DataFrame) -> DataFrame:
-    """Compact windows under all further functions (WINDOWS), of the parts of documents (doc_id, text, open) whose passage starts are open."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, offset, parts, n = [], [], [], 0
-            for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words, held = text.lower().split(), None
-                for first, last in [*sorted((s["first"], s["last"]) for s in spans), (1 << 60, 0)]:
-                    if held is not None and first > held[1] + 1:
-                        ids.append(doc_id)
-                        offset.append(held[0])
-                        parts.append(words[held[0] : held[1] + LEAST + SHINGLE - 1])
-                        n, held = n + len(parts[-1]), None
-                    held = (first, last) if held is None else (held[0], max(held[1], last))
-                if n > WORDS:
-                    yield from tabled(*shingles_of(parts), np.array(ids), np.array(offset), SEEDS[HASHES:])
-                    ids, offset, parts, n = [], [], [], 0
-            if parts:
-                yield from tabled(*shingles_of(parts), np.array(ids), np.array(offset), SEEDS[HASHES:])
-
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text"), "open").mapInArrow(run, WINDOWS)
-
-
 def met(table: DataFrame, look: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, pairs) of the keys that several documents have. table (WINDOWS); look: a part of it, for the sizes of keys.
 
-    members (WINDOWS): windows not compared with all others of their key; pairs (doc_id,
-    rep, at, c0): each window with the smallest document rep of its chunk, whose minimum is
+    members (WINDOWS and rep, rep_at, chunk): windows, but for those of a key's smallest document,
+    with the smallest document rep of their chunk and its window; pairs (doc_id,
+    rep, at, c0): each window with that one, whose minimum is
     at c0, and the smallest of a key's chunks with the smallest of all.
     """
     chunk = Window.partitionBy("key", "chunk")
@@ -216,22 +183,13 @@ def met(table: DataFrame, look: DataFrame | None = None) -> tuple[DataFrame, Dat
     lowest = chunks.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("low")).select("key", F.col("low.doc_id").alias("rep"), c0("low.at"))
     across = chunks.join(materialize(lowest, "passage-lowest"), "key")
     pairs = shared.select("doc_id", "rep", "at", c0("rep_at")).unionAll(across.select("doc_id", "rep", "at", "c0"))
-    return shared.select(NAMES), pairs.where("doc_id <> rep")
-
-
-def few_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (doc_id, rep, at, c0) of all documents with a key that at most FEW windows have."""
-    n = members.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    few = members.join(n.where((F.col("low") != F.col("high")) & (F.col("n") <= FEW)).select("key"), "key")
-    few = materialize(few, "passage-few")
-    other = few.select("key", F.col("doc_id").alias("rep"), F.shiftright("at", 12).alias("c0"))
-    return few.join(other, "key").where("rep < doc_id").select("doc_id", "rep", "at", "c0")
+    return shared, pairs.where("doc_id <> rep")
 
 
 RANGES = "doc_id long, rep long, a_lo int, a_hi int, b_lo int, b_hi int"
 
 
-def candidates(pairs: DataFrame, agree: int) -> DataFrame:
+def candidates(pairs: DataFrame, agree: int = AGREE) -> DataFrame:
     """Stretches on which `agree` windows or more agree, per pair of documents (RANGES). pairs: see `met`."""
 
     def stretches(rows: np.ndarray) -> list[np.ndarray]:
@@ -384,6 +342,11 @@ def alike(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float]
 PASSAGES = "doc_id long, start int, stop int, twin_id long, twin_start int, twin_stop int, similarity double"
 
 
+def passage_rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in PASSAGES.split(", ")])
+
+
 def verified(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """Passages in words: [start, stop) of doc_id is a near-duplicate of [twin_start, twin_stop) of twin_id."""
     down = lambda x: F.greatest(F.lit(0), F.floor((F.col(x) - LEAST) / GRAIN) * GRAIN).cast("int")
@@ -404,21 +367,158 @@ def verified(docs: DataFrame, ranges: DataFrame) -> DataFrame:
                 for lo, hi, lo_b, hi_b, same in alike(a, b) if len(a) and len(b) else ():
                     rows.append((doc_id, a_lo + lo, a_lo + hi + SHINGLE - 1, rep, b_lo + lo_b, b_lo + hi_b + SHINGLE - 1, same))
             if rows:
-                types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in PASSAGES.split(", ")])
+                yield passage_rows(rows)
 
     return both.select("doc_id", "rep", "a_lo", "b_lo", "h_a", "h_b").mapInArrow(run, PASSAGES)
 
 
-def unverified(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Windows (WINDOWS) of keys that several documents have whose minimum lies in no passage found of their document."""
-    spans = found.select("doc_id", "start", "stop").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    c = F.shiftright("at", 12)
-    inside = F.exists("spans", lambda s: (s["start"] <= c) & (c < s["stop"]))
-    left = members.join(spans, "doc_id", "left").where(F.col("spans").isNull() | ~inside).select(NAMES).distinct()
-    left = materialize(left, "passage-left")
-    shared = left.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("key")
-    return materialize(left.join(shared, "key"), "passage-left")
+def undecided(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, doc_id, at, twins, n): the windows of keys whose windows passages found don't link yet; n: the key's windows.
+
+    twins: the documents of the passages found that hold the window's minimum, so windows with a common one are linked.
+    Where a passage is the same in the key's smallest document for all that the window holds for, that one stands for it. members: see `met`.
+    """
+    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop", "twin_id", "similarity")).alias("spans"))
+    c, before, after = F.shiftright("at", 12), F.shiftright("at", 6).bitwiseAND(63), F.col("at").bitwiseAND(63)
+    within = lambda s, low, high: (s["start"] <= low) & (high <= s["stop"])
+    same = F.exists("spans", lambda s: (s["similarity"] == 1) & (s["twin_id"] == F.col("rep")) & within(s, c - before, c - after + LEAST + SHINGLE - 1))
+    smallest = members.where("chunk = 0").select("key", F.col("rep").alias("doc_id"), F.col("rep_at").alias("at"), F.lit(None).cast("long").alias("rep")).distinct()
+    rows = members.select(*NAMES, "rep").unionAll(smallest).join(spans, "doc_id", "left").where(~F.coalesce(same, F.lit(False)))
+    twins = F.array_distinct(F.transform(F.filter("spans", lambda s: within(s, c, c + SHINGLE)), lambda s: s["twin_id"]))
+    left = materialize(rows.select(*NAMES, F.coalesce(twins, F.array().cast("array<long>")).alias("twins")), "passage-left")
+    root = F.least("doc_id", F.array_min("twins"))
+    sizes = left.groupBy("key").agg(F.count("*").alias("n"), F.min(root).alias("low"), F.max(root).alias("high")).where("low <> high").select("key", "n")
+    return materialize(left.join(materialize(sizes, "passage-sizes"), "key"), "passage-undecided")
+
+
+def surroundings(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(key, doc_id, twins, low, high, side, lo, h): 32-bit hashes h of the shingles around each window of rows (`undecided`), from lo on, a row for each pair (low, high) of blocks that its block, side, is in."""
+    c, parts = F.shiftright("at", 12).cast("int"), F.ceil(F.col("n") / LARGE).cast("int")
+    at = F.struct("key", "twins", c.alias("c"), parts.alias("parts"))
+    by_doc = materialize(rows.groupBy("doc_id").agg(F.collect_set(at).alias("at")), "passage-places").withColumnRenamed("doc_id", "_d")
+    small = (by_doc.agg(F.sum(32 + 40 * F.size("at"))).first()[0] or 0) <= BROADCAST_BYTES
+    held = docs.join(F.broadcast(by_doc) if small else by_doc, F.col("doc_id") == F.col("_d")).select("doc_id", F.col("text").cast("binary").alias("text"), *[F.col(f"at.{x}").alias(x) for x in ("key", "twins", "c", "parts")])
+    names = ["key", "doc_id", "twins", "parts", "lo", "h"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text, *places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h = (shingles([text])[0] >> np.uint64(32)).astype("<u4")
+                keys, twins, centres, parts = places
+                lows = [max(0, c - AROUND) for c in centres]
+                data = [h[lo : c + AROUND + 1].tobytes() for lo, c in zip(lows, centres, strict=True)]
+                columns = [pa.array(keys, pa.int64()), pa.array([doc_id] * len(keys), pa.int64()), pa.array(twins, pa.list_(pa.int64())), pa.array(parts, pa.int32()), pa.array(lows, pa.int32()), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    own = held.mapInArrow(run, "key long, doc_id long, twins array<long>, parts int, lo int, h binary")
+    own = own.withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("side", q).alias("low"), F.greatest("side", q).alias("high")))
+    return own.withColumn("cell", F.explode(cells)).select("key", "doc_id", "twins", "cell.low", "cell.high", "side", "lo", "h")
+
+
+def joined(docs: list[int], twins: list[list[int]], sides: list[int], texts: list[bytes], compare: Callable[[int, int], bool]) -> None:
+    """Calls compare(i, j), docs[i] larger, until all rows that it says are alike are linked; rows are so from the start where they have a twin in common or are one's twin. Rows ascend by document.
+
+    A passage of i that is alike to one of j has SIMILARITY * LEAST shingles of j. Of i's shingles in order of
+    how many rows have them, all but the last ones that are fewer than that are looked up, so
+    no such pair is missed. Rows with the same shingles as an earlier one meet that one only. If there are several sides, only pairs of different ones count.
+    """
+    need, across = math.ceil(SIMILARITY * LEAST), len(set(sides)) > 1
+    nodes = {}
+    names = [nodes.setdefault(x, len(nodes)) for x in docs]
+    part = np.arange(len(nodes) + sum(map(len, twins)))
+    for name, own in zip(names, twins, strict=True):
+        for x in own:
+            part[part == part[nodes.setdefault(x, len(nodes))]] = part[name]
+    part, first, rows = part[names], {}, []
+
+    def link(i: int, j: int) -> None:
+        part[part == part[i]] = part[j]
+
+    for i in range(len(docs)):
+        twin = first.setdefault((sides[i], texts[i]), i)
+        if twin == i:
+            rows.append(i)
+        elif part[i] != part[twin] and (docs[i] == docs[twin] or compare(i, twin)):
+            link(i, twin)
+    own = [np.frombuffer(texts[i], "<u4") for i in rows]
+    ends = np.cumsum([len(x) for x in own])
+    values, of = np.unique(np.concatenate(own), return_inverse=True)
+    place = np.full((len(rows), 2 * AROUND + 1), len(values), np.int32)  # numbers of the shingles, and one that none has
+    new = np.zeros(place.shape, bool)  # where a row has a shingle first
+    for k, (x, end) in enumerate(zip(own, ends.tolist(), strict=True)):
+        place[k, : len(x)] = of[end - len(x) : end]
+        new[k, np.unique(place[k, : len(x)], return_index=True)[1]] = True
+    count = np.bincount(place[new], minlength=len(values) + 1)
+    begin = np.cumsum(count) - count
+    having = np.repeat(np.arange(len(rows)), new.sum(axis=1))[np.argsort(place[new], kind="stable")]  # the rows that have each shingle, ascending
+    seen, local = np.zeros(len(count), np.int64), np.full(len(count), place.shape[1], np.uint8)
+    at, doc, side = np.array(rows), np.array(docs)[rows], np.array(sides)[rows]
+    for k, i in enumerate(rows):
+        fresh, shared = place[k][new[k]], place[k][count[place[k]] > 1]
+        shared = shared[shared < len(values)]
+        if len(shared) >= need:
+            order = np.argsort(count[shared] * len(count) + shared, kind="stable")
+            prefix = distinct(shared[order[: len(order) - need + 1]])
+            others = distinct(np.concatenate([having[begin[p] : begin[p] + seen[p]] for p in prefix.tolist()]))
+            others = others[(part[at[others]] != part[i]) & (doc[others] != docs[i]) & ((side[others] != sides[i]) | (not across))]
+            if len(others):
+                local[fresh] = np.flatnonzero(new[k])
+                met_at = local[place[others]]
+                if new[k, : len(own[k])].all():  # then a shingle is hit in one place only
+                    enough = np.count_nonzero(met_at < place.shape[1], axis=1) >= need
+                    met_at, others = met_at[enough], others[enough]
+                met = np.zeros((len(others), place.shape[1] + 1), bool)
+                np.put_along_axis(met, met_at, True, axis=1)
+                hit = met[:, local[place[k]]] & (place[k] < len(values))
+                local[fresh] = place.shape[1]
+                for j in at[others[may_hold(hit, new[k])]].tolist():
+                    if part[j] != part[i] and compare(i, j):
+                        link(i, j)
+        seen[fresh] += 1
+
+
+def may_hold(hit: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Which rows of hit have a stretch of LEAST or more, from a hit to a hit, whose distinct shingles that aren't hit are as few as SIMILARITY allows. new: where a shingle stands first."""
+    step = np.where(hit, 1, np.where(new, -math.floor(SIMILARITY / (1 - SIMILARITY) + 1e-9), 0)).astype(np.int16)
+    stop = np.cumsum(step, axis=1, dtype=np.int16)
+    start = np.minimum.accumulate(np.where(hit, stop - step, np.int16(1 << 14)), axis=1)
+    return (hit[:, LEAST - 1 :] & (stop[:, LEAST - 1 :] >= start[:, : hit.shape[1] - LEAST + 1])).any(axis=1)
+
+
+def met_in_full(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Passages (PASSAGES) around the common minima of a key's windows: enough to link all that are alike. rows: see `undecided`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            ids, twins, sides, lows, texts = zip(*sorted(held), strict=True)
+            if ids[0] == ids[-1]:
+                return
+            found = []
+
+            def compare(i: int, j: int) -> bool:
+                rows = alike(np.frombuffer(texts[i], "<u4"), np.frombuffer(texts[j], "<u4"))
+                found.extend((ids[i], lows[i] + lo, lows[i] + hi + SHINGLE - 1, ids[j], lows[j] + lo_b, lows[j] + hi_b + SHINGLE - 1, same) for lo, hi, lo_b, hi_b, same in rows)
+                return bool(rows)
+
+            joined(ids, twins, sides, texts, compare)
+            if found:
+                yield passage_rows(found)
+
+        for batch in batches:
+            for *key, doc_id, twins, side, lo, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != last:
+                    if held:
+                        yield from out()
+                    last, held = key, []
+                held.append((doc_id, twins, side, lo, h))
+        if held:
+            yield from out()
+
+    dealt = surroundings(docs, rows).select("key", "low", "high", "doc_id", "twins", "side", "lo", "h")
+    return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, PASSAGES)
 
 
 def one_row_each(docs: DataFrame) -> DataFrame:
@@ -433,31 +533,12 @@ def one_row_each(docs: DataFrame) -> DataFrame:
     return held.where(F.col("least").isNull() | (copy == F.col("least"))).select("doc_id", "text")
 
 
-def still_open(docs: DataFrame, left: DataFrame) -> DataFrame:
-    """(doc_id, text, open): the documents that windows left (WINDOWS) are of, with the passage starts that these hold for."""
-    c = F.shiftright("at", 12)
-    span = F.struct((c - F.shiftright("at", 6).bitwiseAND(63)).cast("int").alias("first"), (c - F.col("at").bitwiseAND(63)).cast("int").alias("last"))
-    spans = materialize(left.groupBy("doc_id").agg(F.collect_set(span).alias("open")), "passage-open").withColumnRenamed("doc_id", "_d")
-    small = (spans.agg(F.sum(32 + 16 * F.size("open"))).first()[0] or 0) <= BROADCAST_BYTES
-    return docs.join(F.broadcast(spans) if small else spans, F.col("doc_id") == F.col("_d")).select("doc_id", "text", "open")
-
-
 def passages(docs: DataFrame) -> DataFrame:
     """Near-duplicate passages of at least 50 words that documents share with a smaller document (PASSAGES)."""
     docs = one_row_each(docs)
     members, pairs = met(window_table(docs), window_table(docs.sample(LOOK, 1)))
-    found = materialize(verified(docs, candidates(pairs, AGREE)), "passages")
-    left = unverified(members, found)
-    for turn in range(2):
-        if turn and not left.isEmpty():
-            left = unverified(further_windows(still_open(docs, left)), found)
-        if left.isEmpty():
-            break
-        members, pairs = met(left)
-        again = verified(docs, candidates(pairs.unionAll(few_pairs(members)).distinct(), 1))
-        found = found.unionAll(materialize(again, "passages-again"))
-        left = left if turn else unverified(left, found)
-    return found.distinct()
+    found = materialize(verified(docs, candidates(pairs)), "passages")
+    return found.unionAll(met_in_full(docs, undecided(members, found))).distinct()
 
 
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
