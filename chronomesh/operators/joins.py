@@ -26,19 +26,28 @@ def bucketed(samples: DataFrame, notes: DataFrame, key: str, index: str, rate: i
     return samples.withColumn("_sec", F.floor(F.col(index) / rate)).join(last, [key, "_sec"], "left").drop("_sec")
 
 
+#: Names up to which every text is looked through for each of them, in its row.
+FEW_NAMES = 64
+
+
 def containing(texts: DataFrame, names: DataFrame, text: str, name: str, value: str, order: str) -> DataFrame:
     """texts with the value of the first of names (by order) whose trimmed name is part of text, null if none is.
 
-    A text meets names by equality: it is cut into its distinct parts of every length that a
-    name has, so neither side is compared as a whole with the other. An empty name is part of every text.
+    Few names are looked for in the row, so no text leaves its task. With more of them a
+    text meets names by equality: it is cut into its distinct parts of every length that a
+    name has, and those that are a name's are brought back by the text. An empty name is part of every text.
     """
     parts = names.select(F.trim(name).alias("_part"), F.col(value), F.col(order).alias("_order")).where("_part IS NOT NULL")
     best = parts.groupBy("_part").agg(F.min_by(value, "_order").alias(value), F.min("_order").alias("_order"))
+    if best.limit(FEW_NAMES + 1).count() <= FEW_NAMES:
+        held = best.where("_order IS NOT NULL").agg(F.sort_array(F.collect_list(F.struct("_order", F.col(value).alias("_value"), "_part"))).alias("held"))
+        first = F.get(F.filter(F.col("_held"), lambda n: F.contains(F.col(text), n["_part"])), F.lit(0))
+        return texts.withColumn("_held", held.scalar()).withColumn(value, first["_value"]).drop("_held")
     lengths = parts.agg(F.collect_set(F.length("_part")).alias("lengths"))  # as many as names have lengths
-    rows = texts.withColumn("_n", F.explode_outer(lengths.scalar()))
+    rows = texts.select(text).withColumn("_n", F.explode(lengths.scalar())).where(F.col("_n") <= F.length(text))
     cut = F.transform(F.sequence(F.lit(1), F.length(text) - F.col("_n") + 1), lambda i: F.substring(F.col(text), i, F.col("_n")))
-    rows = rows.withColumn("_part", F.explode_outer(F.when(F.col("_n") <= F.length(text), F.array_distinct(cut))))
-    return rows.join(best, "_part", "left").groupBy(*texts.columns).agg(F.min_by(value, "_order").alias(value))
+    found = rows.withColumn("_part", F.explode(F.array_distinct(cut))).join(best, "_part")
+    return texts.join(found.groupBy(text).agg(F.min_by(value, "_order").alias(value)), text, "left").select(*texts.columns, value)
 
 
 def looked_up(rows: DataFrame, dimension: DataFrame, key: str, value: str, default: str) -> DataFrame:
