@@ -80,10 +80,20 @@ def next_sample(events: DataFrame, grid: DataFrame, key: str, time: str, t: str,
     return following(events, grid, key, time, t, index).select(key, index).dropna().distinct()
 
 
-def lagged(left: DataFrame, right: DataFrame, key: str, index: str, low: int, high: int) -> DataFrame:
-    """left (key, index, x) and right (key, index, s) at all lags: (key, lag, x at i + lag, s at i)."""
-    moved = right.withColumn("lag", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn(index, F.col(index) + F.col("lag"))
-    return moved.hint("merge").join(left, [key, index])
+def lagged(left: DataFrame, right: DataFrame, key: str, index: str, low: int, high: int, chunk: int = 1 << 16) -> DataFrame:
+    """left (key, index, x) and right (key, index, s) at all lags: (key, lag, x at i + lag, s at i).
+
+    Both sides are set into one order, cut into chunks of the index with a halo of the left side; a row of the right side gathers what lies at its lags.
+    """
+    values, own = [c for c in left.columns if c not in (key, index)], [c for c in right.columns if c not in (key, index)]
+    at = lambda df, add: df.withColumn("_chunk", F.explode(add))
+    home = F.floor(F.col(index) / chunk)
+    near = F.sequence(F.floor((F.col(index) - high) / chunk), F.floor((F.col(index) - low) / chunk))
+    sides = at(left.where(F.col(key).isNotNull()).select(key, index, F.struct(index, *values).alias("_left")), near), right.withColumn("_chunk", home)
+    both = sides[0].withColumn("_right", F.lit(False)).unionByName(sides[1].withColumn("_right", F.lit(True)), allowMissingColumns=True)
+    reach = Window.partitionBy(key, "_chunk").orderBy(index).rangeBetween(low, high)
+    met = both.withColumn("_met", F.collect_list("_left").over(reach)).where("_right").select(key, index, *own, F.explode("_met").alias("_m"))
+    return met.select(key, F.col(f"_m.{index}").alias(index), *own, (F.col(f"_m.{index}") - F.col(index)).cast("int").alias("lag"), *[F.col(f"_m.{c}").alias(c) for c in values])
 
 
 def takens(df: DataFrame, key: str, index: str, vector: str, m: int, lag: int) -> DataFrame:
