@@ -1,6 +1,7 @@
-"""Classes of similar items by MinHash bands: bucket stars, then everything that stars leave open, exactly.
+"""Classes of similar items by common keys: bucket stars, then everything that stars leave open, exactly.
 
-Items come as (item, keys): a 64-bit identity and the band keys of its min-hashes. Items
+Items come as (item, keys): a 64-bit identity and the band keys of its min-hashes, or the keys
+of its parts. Items
 with a common key share a bucket, and each is checked against the bucket's smallest item.
 After a union-find, some buckets still hold items of different components that were never
 compared. The items of such a bucket are brought together with their texts, and one task

@@ -15,6 +15,13 @@ three times at most 2^8 fingerprints can share a key up to equal distances). Mem
 one bucket give a spanning forest of their links, never all pairs. Components are found
 by distributed union-find.
 
+The pipeline's stage asks for a similarity of shingle sets, at which fingerprints of whole
+texts differ in about ten bits, too many for blocks. So there a text is cut into parts by
+its shingles' hashes, a few shingles each, and every part gets a fingerprint and its row of
+the distance table. Alike texts have many parts in common, whose distances to all pivots are
+equal, and these are the join keys; all that meet are verified on their shingles (see
+`part_keys`).
+
 Defined results: null, empty and blank texts have fingerprint zero and are linked like
 any others; a text with fewer words than a shingle is one shingle. Rows with a null doc_id
 are fingerprinted and linked, but give no component its id; a component of only such rows
@@ -32,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronomesh.llm.buckets import classes, distinct, keys_of, mixed
+from chronomesh.llm.buckets import BAND, classes, distinct, mixed
 from chronomesh.llm.common import free_name, materialize, read
 from chronomesh.llm.components import components, forest
 
@@ -59,10 +66,14 @@ def fingerprints_of(texts: list[bytes | None], shingle: int) -> np.ndarray:
             new = [digest(joined[a:b], HASH_SEED) for a, b in zip([0, *[e + 1 for e in ends[:-shingle]]], ends[shingle - 1 :], strict=True)]
         hashes += new
         counts.append(len(new))
-    n, out = np.array(counts, np.int64), np.zeros(len(texts), np.uint64)
-    if not hashes:
+    return majority(np.array(hashes, np.uint64), np.array(counts, np.int64))
+
+
+def majority(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """SimHash of each n hashes of h that follow each other; zero where there are none."""
+    out = np.zeros(len(n), np.uint64)
+    if not len(h):
         return out
-    h = np.array(hashes, np.uint64)
     has = np.flatnonzero(n)
     # sums in byte lanes, for which blocks have at most 255 rows and never cross a text
     blocks = -(-n[has] // 255)
@@ -108,6 +119,12 @@ def table(fp: np.ndarray, mask: int) -> np.ndarray:
     return np.stack([np.bitwise_count(apart & np.uint64(m)) for m in blocks_of(mask)], axis=1)
 
 
+def packed(distances: np.ndarray) -> list[np.ndarray]:
+    """For every block of a `table`, the distances to its pivots in one number."""
+    part = distances.astype(np.uint64)
+    return [sum(part[:, b, p] << np.uint64(5 * p) for p in range(PIVOTS)) for b in range(BLOCKS)]
+
+
 def keyed(rows: DataFrame) -> DataFrame:
     """rows (bucket, left, fp), left: the bits that may differ within the bucket. A row for each choice of blocks taken as equal: its new bucket and what is left then."""
     choices = [*combinations(range(BLOCKS), BLOCKS - DISTANCE)]
@@ -118,12 +135,11 @@ def keyed(rows: DataFrame) -> DataFrame:
             bucket, left, fp = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(3))
             for mask in np.unique(left):
                 own = left == mask
-                part, of, masks = table(fp[own], int(mask)).astype(np.uint64), bucket[own], blocks_of(int(mask))
-                packed = [sum(part[:, b, p] << np.uint64(5 * p) for p in range(PIVOTS)) for b in range(BLOCKS)]
+                distances, of, masks = packed(table(fp[own], int(mask))), bucket[own], blocks_of(int(mask))
                 for choice in choices:
                     key = of * mix + np.uint64(choices.index(choice) + 1)
                     for b in choice:
-                        key = (key ^ packed[b]) * mix
+                        key = (key ^ distances[b]) * mix
                         key ^= key >> np.uint64(29)
                     rest = int(mask) & ~sum(masks[b] for b in choice)
                     arrays = [key.view(np.int64), np.full(len(key), rest, np.uint64).view(np.int64), fp[own].view(np.int64)]
@@ -203,14 +219,57 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For the stage: words in a shingle, the similarity from which two documents are near-duplicates, and min-hashes of a band.
-STAGE_SHINGLE, SIMILARITY, ROWS = 5, 0.8, 4
+#: For the stage: words in a shingle, and the similarity from which two documents are near-duplicates.
+STAGE_SHINGLE, SIMILARITY = 5, 0.8
+#: Parts of a text that get a key at most; shingles of a part on average, at most, where all parts get one and where not all do.
+PARTS, FINE, COARSE = 32, 2.5, 5
+#: Shingles that a part must have to get a key, in texts of more than PARTS * FINE.
+FULL = 3
 #: Bytes of ids that may be broadcast, at 32 a row; more are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 
 
+def levels(n: np.ndarray) -> np.ndarray:
+    """Binary logarithm of the parts that a text of n shingles is cut into: 16 at least."""
+    log = lambda size: np.ceil(np.log2(np.maximum(n / size, 1))).astype(int)
+    return np.maximum(4, np.minimum(log(FINE), np.maximum(PARTS.bit_length() - 1, log(COARSE))))
+
+
+def part_keys(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, how many each text has): what texts are joined by. h: distinct shingle hashes, n of each text one after another, at least one.
+
+    A key stands for the distances of a part's fingerprint to all pivots. Parts are cut by the
+    first bits of a shingle's hash, so equal parts have equal keys. Texts of other sizes than
+    SIMILARITY allows may be cut otherwise; any two within it have one way in common, as
+    each is cut for the sizes a little below and above its own. At SIMILARITY
+    a part of m shingles is free of differences with a probability of about exp(-m / 4), and
+    two texts have no part in common about once in 7,000 cases, in the worst sizes.
+    """
+    spread, text = mixed(h), np.repeat(np.arange(len(n)), n)
+    low, high = levels(n * 0.89), levels(n * 1.12)  # 1.12 / 0.89 is more than 1 / SIMILARITY
+    keys, owners, factor = [], [], np.uint64(0x9E3779B97F4A7C15)
+    for more in range(int((high - low).max(initial=-1)) + 1):
+        level = low + more
+        part = (spread >> (64 - level[text]).astype(np.uint64)).astype(np.int64)
+        at = np.flatnonzero((part < PARTS) & (level <= high)[text])
+        place = text[at] * PARTS + part[at]
+        order = np.argsort(place, kind="stable")
+        place, size = np.unique(place[order], return_counts=True)
+        fp, of, part = majority(h[at[order]], size), place // PARTS, place % PARTS
+        kept = (size >= FULL) | (n[of] <= PARTS * FINE)
+        fp, of, part = fp[kept], of[kept], part[kept]
+        key = (level[of] * PARTS + part + 1).astype(np.uint64)
+        for distances in packed(table(fp, (1 << 64) - 1)):
+            key = (key ^ distances) * factor
+            key ^= key >> np.uint64(29)
+        keys.append(((key & ~np.uint64(BAND)) | part.astype(np.uint64)).view(np.int64))
+        owners.append(of)
+    keys, owners = np.concatenate([np.empty(0, np.int64), *keys]), np.concatenate([np.empty(0, np.int64), *owners])
+    return keys[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(n))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, copy, item, keys): copy is a hash of the text, item one of its words, keys are its MinHash bands over shingles of STAGE_SHINGLE words."""
+    """(doc_id, copy, item, keys): copy is a hash of the text, item one of its words, keys are its `part_keys` over shingles of STAGE_SHINGLE words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,10 +278,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                 normal = [normal_form(t) for t in part.column(2).to_pylist()]
                 items = [identity(t) for t in normal]
                 h = [shingles(t) for t in normal]
-                of = np.repeat(np.arange(len(h)), [len(x) for x in h])
-                keys = keys_of(mixed(np.concatenate(h)), of, len(h), ROWS)
-                offsets = pa.array(np.arange(len(h) + 1, dtype=np.int32) * keys.shape[1])
-                arrays = [part.column(0), part.column(1), pa.array(items, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))]
+                keys, counts = part_keys(np.concatenate(h), np.array([len(x) for x in h]))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                arrays = [part.column(0), part.column(1), pa.array(items, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(keys))]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "copy", "item", "keys"])
 
     return plain(docs).mapInArrow(run, "doc_id long, copy long, item long, keys array<long>")
@@ -261,8 +319,7 @@ def matching(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
 def near_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, root) for the texts of rows (sketches) that are SIMILARITY alike to another one.
 
-    At that similarity fingerprints differ in about ten bits, which no equality of blocks
-    finds. So texts meet by MinHash bands, and all that meet are verified on their shingles.
+    Texts meet where the distances to all pivots are equal for one of their parts, and all that meet are verified on their shingles.
     """
     places = materialize(rows.groupBy("item").agg(F.min(F.struct("doc_id", "copy")).alias("at")), "similar-items")
 
