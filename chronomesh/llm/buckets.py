@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronomesh.llm.common import materialize
@@ -50,6 +50,8 @@ BROADCAST_BYTES = 16 << 20
 ROWS_OUT = 1 << 16
 #: Cells of the histogram of keys, and rows from which a cell's keys are cut into chunks.
 HISTOGRAM, CHUNK = 1 << 14, 20_000
+#: One of so many items is looked at for that histogram, which only decides how rows are dealt out.
+LOOK = 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: A key's lowest bits, which tell its band.
 BAND = 31
@@ -64,8 +66,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def keys_of(h: np.ndarray, item: np.ndarray, n: int, rows: int) -> np.ndarray:
     """A key for every `rows` min-hashes of each of n items: shape (n, CELLS // rows). h: mixed shingle hashes; item: whose each one is, from 0."""
-    cell = ((h >> np.uint64(40)) * np.uint64(CELLS)) >> np.uint64(24)
-    packed = (item.astype(np.uint64) << np.uint64(44)) | (cell << np.uint64(36)) | (h & np.uint64((1 << 36) - 1))
+    packed = h >> np.uint64(40)  # in place from here on: arrays of all shingles are what takes the time
+    packed *= np.uint64(CELLS)
+    packed >>= np.uint64(24)
+    packed |= item.astype(np.uint64) << np.uint64(8)
+    packed <<= np.uint64(36)
+    packed |= h & np.uint64((1 << 36) - 1)
     packed.sort()
     place = packed >> np.uint64(36)
     first = packed[np.concatenate([[True], place[1:] != place[:-1]])] if len(packed) else packed
@@ -83,14 +89,12 @@ def keys_of(h: np.ndarray, item: np.ndarray, n: int, rows: int) -> np.ndarray:
         found = value >= 0
         least[row[found], column[found]] = value[found]
         row, column = row[~found], column[~found]
-    keys = np.empty((n, CELLS // rows), np.uint64)
-    values = least.astype(np.uint64)
-    for band in range(CELLS // rows):
-        key = np.full(n, band + 1, np.uint64)
-        for i in range(band * rows, (band + 1) * rows):
-            key = (key ^ values[:, i]) * MIX
-            key ^= key >> np.uint64(31)
-        keys[:, band] = (key & ~np.uint64(BAND)) | np.uint64(band)
+    band = np.arange(CELLS // rows, dtype=np.uint64)
+    values, keys = least.astype(np.uint64).reshape(n, -1, rows), np.broadcast_to(band + np.uint64(1), (n, len(band)))
+    for i in range(rows):
+        keys = (keys ^ values[:, :, i]) * MIX
+        keys ^= keys >> np.uint64(31)
+    keys = (keys & ~np.uint64(BAND)) | band
     return keys.view(np.int64)
 
 
@@ -131,18 +135,60 @@ def histogram_cell(key: Column) -> Column:
     return F.pmod(F.shiftright(key, BAND.bit_length()), F.lit(HISTOGRAM)).cast("int")
 
 
+def large_cells(rows: DataFrame, share: float = 1) -> DataFrame:
+    """(cell, chunks) of the histogram's cells whose keys may be large; rows (key, ...): about that share of all rows."""
+    sizes = rows.groupBy(histogram_cell(F.col("key")).alias("cell")).agg((F.count("*") / share).alias("n"))
+    sizes = materialize(sizes, "bucket-sizes")  # HISTOGRAM rows at most
+    most = sizes.agg(F.greatest(F.lit(float(CHUNK)), 4 * F.sum("n") / HISTOGRAM).alias("most"))
+    return sizes.withColumn("most", most.scalar()).where("n > most").select("cell", F.ceil(F.col("n") / F.col("most")).cast("int").alias("chunks"))
+
+
+def dealt(rows: DataFrame, item: str, large: DataFrame) -> DataFrame:
+    """rows (key, item, ...) with chunk: 0, but for keys of the cells in large, whose items are dealt over chunks from 1 on."""
+    chunk = F.coalesce(F.pmod(F.xxhash64(item), F.col("chunks")) + 1, F.lit(0)).cast("int")
+    return rows.withColumn("cell", histogram_cell(F.col("key"))).join(F.broadcast(large), "cell", "left").select(*rows.columns, chunk.alias("chunk"))
+
+
 def chunked(rows: DataFrame, item: str = "item", look: DataFrame | None = None, share: float = 1) -> DataFrame:
     """rows (key, item, ...) with chunk: 0, but for keys that may be large, whose items are dealt over chunks from 1 on.
 
     look: where reading all rows twice is dear, about that share of them; its sizes decide only how rows are dealt out.
     """
-    cell = histogram_cell(F.col("key"))
-    sizes = (rows if look is None else look).groupBy(cell.alias("cell")).agg((F.count("*") / share).alias("n"))
-    sizes = materialize(sizes, "bucket-sizes")  # HISTOGRAM rows at most
-    most = sizes.agg(F.greatest(F.lit(float(CHUNK)), 4 * F.sum("n") / HISTOGRAM).alias("most"))
-    large = sizes.withColumn("most", most.scalar()).where("n > most").select("cell", F.ceil(F.col("n") / F.col("most")).cast("int").alias("chunks"))
-    dealt = F.coalesce(F.pmod(F.xxhash64(item), F.col("chunks")) + 1, F.lit(0)).cast("int")
-    return rows.withColumn("cell", cell).join(F.broadcast(large), "cell", "left").select(*rows.columns, dealt.alias("chunk"))
+    return dealt(rows, item, large_cells(rows if look is None else look, share))
+
+
+def shared_rows(rows: DataFrame) -> DataFrame:
+    """(key, item, rep, chunk) of keys and chunks that several items share, each item once; rep: the smallest of them. rows (key, item), and chunk if there are any."""
+    by = [x for x in ("key", "chunk") if x in rows.columns]
+
+    def found(key: np.ndarray, item: np.ndarray, chunk: np.ndarray) -> pa.RecordBatch:
+        start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])]))
+        low, size = np.minimum.reduceat(item, start), np.diff(start, append=len(key))
+        several = (low != np.maximum.reduceat(item, start)) | (chunk[start] > 0)
+        kept, size, low = np.repeat(several, size), size[several], low[several]
+        of, item = np.repeat(np.arange(len(size)), size), item[kept]
+        order = np.lexsort((item, of))
+        order = order[np.concatenate([[True], (np.diff(of[order]) > 0) | (np.diff(item[order]) != 0)])] if len(order) else order
+        arrays = [key[kept][order], item[order], low[of[order]], chunk[kept][order].astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["key", "item", "rep", "chunk"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 3
+        for batch in batches:
+            columns = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+            columns += [np.zeros(len(columns[0]), np.int64)] * (3 - len(columns))
+            rows = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            if not len(rows[0]):
+                continue
+            new = (rows[0][1:] != rows[0][:-1]) | (rows[2][1:] != rows[2][:-1])
+            last = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0  # the last chunk may go on
+            if last:
+                yield found(*(x[:last] for x in rows))
+            held = [x[last:] for x in rows]
+        if len(held[0]):
+            yield found(*held)
+
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "key long, item long, rep long, chunk int")
 
 
 def pairs_of(a: DataFrame, b: DataFrame, on: str | list) -> DataFrame:
@@ -151,21 +197,21 @@ def pairs_of(a: DataFrame, b: DataFrame, on: str | list) -> DataFrame:
     return side(a, "a").join(side(b, "b"), on).where("a <> b AND root_a <> root_b").select("a", "b", "root_a", "root_b")
 
 
-def met(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs) of the buckets that several items share. rows (key, item) and root, its component so far, if that is another than the item.
+def met(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs) of the buckets that several items share. table (item, keys).
 
     members (key, item, done), done: compared with all others of its bucket; pairs
     (a, b, root_a, root_b): each item with its chunk's smallest, and the smallest of a
-    bucket's chunks with the smallest of all. Pairs within a component are left out.
+    bucket's chunks with the smallest of all. Items are components of their own so far.
     """
-    chunk = Window.partitionBy("key", "chunk")
-    root = F.col("root" if "root" in rows.columns else "item")
-    ends = {"low": F.min(F.struct("item", root.alias("root"))).over(chunk), "top": F.max("item").over(chunk)}
-    shared = chunked(rows).withColumns(ends).where("low.item <> top OR chunk > 0").select("key", "item", root.alias("root"), F.col("low.item").alias("rep"), F.col("low.root").alias("rep_root"), "chunk")
-    shared = materialize(shared.dropDuplicates(["key", "item"]), "buckets")
-    pairs = shared.where("item <> rep AND root <> rep_root").select(F.col("rep").alias("a"), F.col("item").alias("b"), F.col("rep_root").alias("root_a"), F.col("root").alias("root_b"))
+    rows = lambda items: items.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "item")
+    large = large_cells(rows(table.where(F.pmod(F.xxhash64("item"), F.lit(LOOK)) == 0)), 1 / LOOK)
+    # rows without a chunk are shorter, and mostly there is none
+    shared = shared_rows(rows(table) if large.isEmpty() else dealt(rows(table), "item", large))
+    shared = materialize(shared, "buckets")
+    pairs = shared.where("item <> rep").select(F.col("rep").alias("a"), F.col("item").alias("b"), F.col("rep").alias("root_a"), F.col("item").alias("root_b"))
     # a row for each chunk; those of one key are few
-    chunks = shared.where("chunk > 0").select("key", F.col("rep").alias("item"), F.col("rep_root").alias("root")).distinct()
+    chunks = shared.where("chunk > 0").select("key", F.col("rep").alias("item"), F.col("rep").alias("root")).distinct()
     lowest = chunks.groupBy("key").agg(F.min(F.struct("item", "root")).alias("low")).select("key", "low.item", "low.root")
     pairs = pairs.unionAll(pairs_of(materialize(lowest, "bucket-lowest"), chunks, "key")).dropDuplicates(["a", "b"])
     done = (F.col("item") == F.col("rep")) & (F.col("chunk") == 0)
@@ -212,24 +258,34 @@ def linked(roots: list[int], sides: list[int], texts: list[bytes], shingles: Cal
     _, of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     order = np.empty(len(count), np.int64)
     order[np.argsort(count, kind="stable")] = np.arange(len(count))
-    place, rare = order[of], count[of] < 2  # rarest shingles first
-    own = [np.sort(place[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
-    lone = np.add.reduceat(rare, begin[:-1]).tolist()  # shingles that no other item has come first
-    length = (size - np.ceil(size * similarity - 1e-9) + 1).astype(int).tolist()
-    held: dict[int, list[int]] = {}
-    mark = np.zeros(len(count), bool)
-    for j in range(n):
-        prefix = own[j][lone[j] : length[j]].tolist()
-        met = [i for p in prefix for i in held.get(p, ())]
-        if met and len(others := apart(j, np.unique(met))):
-            mark[own[j]] = True
-            common = np.array([np.count_nonzero(mark[own[i]]) for i in others.tolist()])
-            mark[own[j]] = False
-            for i in others[common / np.maximum(1, size[others] + size[j] - common) >= similarity].tolist():
-                if part[i] != part[j]:
-                    join(i, j)
-        for p in prefix:
-            held.setdefault(p, []).append(j)
+    base = np.repeat(np.arange(n) * len(count), size)
+    own = np.sort(base + order[of]) - base  # of each text, rarest shingles first
+    lone = np.add.reduceat((count[of] < 2).astype(np.int64), begin[:-1])  # shingles that no other item has come first
+    length = (size - np.ceil(size * similarity - 1e-9) + 1).astype(int)
+    place = np.arange(len(own)) - np.repeat(begin[:-1], size)
+    first = np.flatnonzero((place >= np.repeat(lone, size)) & (place < np.repeat(length, size)))  # the texts' prefixes
+    shingle, whose = own[first], np.repeat(np.arange(n), size)[first]
+    by = np.argsort(shingle, kind="stable")  # texts that have a shingle in their prefix, ascending
+    having, at = whose[by], np.empty(len(by), np.int64)
+    at[by] = np.arange(len(by))
+    low = np.searchsorted(shingle[by], shingle)  # having[low:at]: the earlier ones
+    ends = np.searchsorted(whose, np.arange(n + 1))
+    mark, near = np.zeros(len(count), np.uint8), np.zeros(n, bool)
+    for j in np.unique(whose[at > low]).tolist():
+        near[:j] = False
+        for x, y in zip(low[ends[j] : ends[j + 1]].tolist(), at[ends[j] : ends[j + 1]].tolist(), strict=True):
+            near[having[x:y]] = True
+        if not len(others := apart(j, np.flatnonzero(near[:j]))):
+            continue
+        mark[own[begin[j] : begin[j + 1]]] = 1
+        if 4 * len(others) > j:
+            common = np.add.reduceat(mark[own[: begin[j]]], begin[:j], dtype=np.int64)[others]
+        else:
+            common = np.array([np.count_nonzero(mark[own[begin[i] : begin[i + 1]]]) for i in others.tolist()])
+        mark[own[begin[j] : begin[j + 1]]] = 0
+        for i in others[common / np.maximum(1, size[others] + size[j] - common) >= similarity].tolist():
+            if part[i] != part[j]:
+                join(i, j)
     return edges
 
 
@@ -360,7 +416,7 @@ def classes(
     table: (item, keys). fetch: the texts (item, text) of given items. shingles: those of a
     text, as distinct 64-bit numbers.
     """
-    members, pairs = met(table.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "item"))
+    members, pairs = met(table)
     texts = materialize(fetch(members.select("item").distinct()).withColumn("bytes", F.length("text")), "bucket-texts")
     check = lambda pairs: materialize(verified(materialize(pairs, "bucket-pairs"), texts, shingles, similarity), "bucket-edges")
     sizes, ends = texts.select("item", "bytes"), ["root_a", "root_b"]

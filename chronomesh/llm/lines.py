@@ -53,10 +53,15 @@ def normal(line: bytes) -> bytes:
 
 def numbers(data: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit number for every `size` characters (code points, uint32) that follow each other in data."""
-    out = np.zeros(len(data) - size + 1, np.uint64)
-    for i in range(size):
-        out *= np.uint64(0x9E3779B97F4A7C15)
-        out += data[i : len(data) - size + 1 + i]
+    # numbers of one, two, four ... characters make up those of size, from its highest binary digit on
+    one = out = data.astype(np.uint64)
+    have, factor = 1, 0x9E3779B97F4A7C15
+    for digit in bin(size)[3:]:
+        out = out[:-have] * np.uint64(pow(factor, have, 1 << 64)) + out[have:]
+        have *= 2
+        if digit == "1":
+            out = out[:-1] * np.uint64(factor) + one[have:]
+            have += 1
     return out
 
 
@@ -85,27 +90,28 @@ def line_table(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 32):  # few, so that arrays stay in the processor's cache
                 part = batch.slice(at, 32)
-                columns: tuple[list, list, list, list] = ([], [], [], [])
-                new, where = [], []
-                for doc_id, copy, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                rows, numbers, hashes, new, where = [], [], [], [], []
+                for row, text in enumerate(part.column(2).to_pylist()):
                     for no, raw in enumerate(text.split(b"\n")):
                         if not (line := normal(raw)):
                             continue
                         h = xxhash.xxh64_intdigest(line, 7) - (1 << 63)
                         if h not in seen:
                             seen.add(h)
-                            where.append(len(columns[0]))
+                            where.append(len(hashes))
                             new.append(line)
-                        for column, value in zip(columns, (doc_id, copy, no, h), strict=True):
-                            column.append(value)
-                if not columns[0]:
+                        hashes.append(h)
+                        rows.append(row)
+                        numbers.append(no)
+                if not rows:
                     continue
-                offsets = np.zeros(len(columns[0]) + 1, np.int32)
+                offsets = np.zeros(len(rows) + 1, np.int32)
                 offsets[np.array(where, int) + 1] = BANDS
                 values = np.concatenate([np.empty(0, np.int64), *(band_keys(new[i : i + TOGETHER]).ravel() for i in range(0, len(new), TOGETHER))])
                 keys = pa.ListArray.from_arrays(pa.array(np.cumsum(offsets).astype(np.int32)), pa.array(values))
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(columns, types, strict=True)], keys], ["doc_id", "copy", "line_no", "line", "keys"])
+                of = pa.array(rows, pa.int32())
+                arrays = [part.column(0).take(of), part.column(1).take(of), pa.array(numbers, pa.int32()), pa.array(hashes, pa.int64()), keys]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "copy", "line_no", "line", "keys"])
             if len(seen) > REMEMBERED:
                 seen.clear()
 

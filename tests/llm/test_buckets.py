@@ -57,3 +57,34 @@ def test_linked_equals_all_pairs():
         for a, b in buckets.linked(list(range(2 * n)), [0] * 2 * n, texts, lines.shingles, 0.8):
             up = [up[a] if x == up[b] else x for x in up]
         assert {frozenset(i for i, x in enumerate(up) if x == r) for r in set(up) if up.count(r) > 1} == brute(texts)
+
+
+@pytest.mark.parametrize("chunk", [20_000, 5])
+def test_members_and_pairs_of_buckets(spark, monkeypatch, chunk):
+    """Each item of a key that several have, once, with the key's smallest, also where a bucket goes on in the next Arrow batch; without large keys no chunk is shuffled."""
+    monkeypatch.setattr(buckets, "CHUNK", chunk)
+    monkeypatch.setattr(buckets, "LOOK", 1)
+    shuffled, plain = [], buckets.shared_rows
+    monkeypatch.setattr(buckets, "shared_rows", lambda rows: shuffled.append(rows.columns) or plain(rows))
+    rng = np.random.default_rng(8)
+    own = [(int(i), sorted({int(k) << 5 for k in rng.integers(0, 900, 3)})) for i in rng.permutation(400)]
+    table = spark.createDataFrame([*own, *own[:50]], "item long, keys array<long>")  # some twice
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        members, pairs = buckets.met(table)
+        members, pairs = members.collect(), {(r.a, r.b, r.root_a, r.root_b) for r in pairs.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    by_key: dict[int, set[int]] = {}
+    for item, keys in own:
+        for k in keys:
+            by_key.setdefault(k, set()).add(item)
+    shared = {k: x for k, x in by_key.items() if len(x) > 1}
+    got = [(r.key, r.item) for r in members if r.key in shared]
+    assert sorted(got) == sorted((k, i) for k, x in shared.items() for i in x)
+    if chunk == 5:
+        assert shuffled == [["key", "item", "chunk"]]
+    else:
+        assert shuffled == [["key", "item"]] and len(got) == len(members)
+        assert pairs == {(min(x), i, min(x), i) for x in shared.values() for i in x if i != min(x)}
+        assert {(r.key, r.item) for r in members if r.done} == {(k, min(x)) for k, x in shared.items()}
