@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,11 @@ AROUND = math.ceil(LEAST / SIMILARITY)
 LARGE = 1 << 12
 #: Share of the documents that is looked at to tell which keys may be very frequent; it only decides how their rows are dealt out.
 LOOK = 1 / 16
+#: Windows of a key up to which all pairs are looked at without an index.
+PLAIN = 32
+FACTOR = 0xD6E8FEB86659FD95
+SPACES = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
+CODES = np.where(SPACES, 0, np.array([xxhash.xxh64_intdigest(bytes([x]), 1) for x in range(256)], np.uint64)).astype(np.uint64)
 SEEDS = np.array([xxhash.xxh64_intdigest(f"window {k}", 0) for k in range(HASHES)], np.uint64)
 
 
@@ -68,21 +74,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+@lru_cache(maxsize=4)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of FACTOR, and of its inverse."""
+    out = np.ones((2, n), np.uint64)
+    out[:, 1:] = np.array([[FACTOR], [pow(FACTOR, -1, 1 << 64)]], np.uint64)
+    up, down = np.cumprod(out, axis=1)
+    return up, down
+
+
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in lower case, one after another, and how many each text has."""
+    # sums over all bytes of a word of a random number for the byte, times a power that tells its place
+    data = np.frombuffer(b"\n".join([b"", *((text or b"").lower() for text in texts)]), np.uint8)
+    space = SPACES[data]
+    start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    ends = np.cumsum([len(text or b"") + 1 for text in texts])
+    counts = np.diff(np.searchsorted(start, ends), prepend=0)
+    if not len(start):
+        return np.empty(0, np.uint64), counts
+    up, down = powers(max(1 << 12, 1 << len(data).bit_length()))
+    h = CODES[data]
+    h *= up[: len(data)]
+    return np.add.reduceat(h, start) * down[start], counts
+
+
 def shingles(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the shingles of all texts, one after another, and where each text's begin (one more: where all end)."""
-    digest, sizes, words = xxhash.xxh64_intdigest, [], []
-    for own in (text.lower().split() if text else [] for text in texts):
-        sizes.append(len(own))
-        words += own
-    h = np.fromiter(map(digest, words), np.uint64, len(words))
-    n = np.array(sizes, np.int64)
+    h, n = word_hashes(texts)
     count = np.maximum(n - SHINGLE + 1, 0)
     begin = np.concatenate([[0], np.cumsum(count)])
     if not begin[-1]:
         return np.empty(0, np.uint64), begin
-    rolled = np.zeros(len(h) - SHINGLE + 1, np.uint64)
+    h, rolled = mix(h), np.zeros(len(h) - SHINGLE + 1, np.uint64)
     for i in range(SHINGLE):
-        rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + mix(h[i : len(h) - SHINGLE + 1 + i])
+        rolled *= np.uint64(0x9E3779B97F4A7C15)
+        rolled += h[i : len(h) - SHINGLE + 1 + i]
     first = np.cumsum(n) - n
     at = np.repeat(first - begin[:-1], count) + np.arange(begin[-1])
     return mix(rolled[at]), begin
@@ -154,8 +181,8 @@ def window_table(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 64):  # few, so that arrays stay in the processor's cache
+                part = batch.slice(at, 64)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 yield from tabled(*shingles(part.column(1).to_pylist()), ids)
 
@@ -276,6 +303,8 @@ def alike(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float]
     run to another that are alike, the one with the most matches is taken, and so on with
     what lies before and after it.
     """
+    if len(a) == len(b) >= LEAST and np.array_equal(a, b):
+        return [(0, len(a), 0, len(b), 1.0)]
     order = np.argsort(b, kind="stable")
     ranked = b[order]
     at = np.minimum(np.searchsorted(ranked, a), len(b) - 1)
@@ -442,6 +471,20 @@ def joined(docs: list[int], twins: list[list[int]], sides: list[int], texts: lis
         elif part[i] != part[twin] and (docs[i] == docs[twin] or compare(i, twin)):
             link(i, twin)
     own = [np.frombuffer(texts[i], "<u4") for i in rows]
+    if len(rows) <= PLAIN:
+        ranked = np.concatenate([np.sort(x).astype(np.uint64) | np.uint64(k << 32) for k, x in enumerate(own)])
+        for k, i in enumerate(rows):
+            others = [m for m in range(k) if part[rows[m]] != part[i] and docs[rows[m]] != docs[i] and (sides[rows[m]] != sides[i] or not across)]
+            if not others or len(own[k]) < LEAST:
+                continue
+            wanted = own[k] | (np.array(others, np.uint64) << np.uint64(32))[:, None]
+            hit = ranked[np.minimum(np.searchsorted(ranked, wanted), len(ranked) - 1)] == wanted
+            near = np.flatnonzero(np.count_nonzero(hit, axis=1) >= need)
+            for m in near[holds(hit[near], own[k])].tolist() if len(near) else ():
+                j = rows[others[m]]
+                if part[j] != part[i] and compare(i, j):
+                    link(i, j)
+        return
     ends = np.cumsum([len(x) for x in own])
     values, of = np.unique(np.concatenate(own), return_inverse=True)
     place = np.full((len(rows), 2 * AROUND + 1), len(values), np.int32)  # numbers of the shingles, and one that none has
@@ -472,7 +515,10 @@ def joined(docs: list[int], twins: list[list[int]], sides: list[int], texts: lis
                 np.put_along_axis(met, met_at, True, axis=1)
                 hit = met[:, local[place[k]]] & (place[k] < len(values))
                 local[fresh] = place.shape[1]
-                for j in at[others[may_hold(hit, new[k])]].tolist():
+                able = np.flatnonzero(may_hold(hit, new[k]))
+                if len(able) and not new[k, : len(own[k])].all():
+                    able = able[holds(hit[able], place[k])]
+                for j in at[others[able]].tolist():
                     if part[j] != part[i] and compare(i, j):
                         link(i, j)
         seen[fresh] += 1
@@ -486,6 +532,23 @@ def may_hold(hit: np.ndarray, new: np.ndarray) -> np.ndarray:
     return (hit[:, LEAST - 1 :] & (stop[:, LEAST - 1 :] >= start[:, : hit.shape[1] - LEAST + 1])).any(axis=1)
 
 
+def holds(hit: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which rows of hit have a stretch of LEAST or more of row's shingles, from a hit to a hit, of whose distinct ones SIMILARITY are hit. Where shingles repeat, `may_hold` counts a hit again and again."""
+    order = np.argsort(row, kind="stable")
+    same = row[order[1:]] == row[order[:-1]]
+    before = np.full(len(row), -1)  # where the shingle stands before
+    before[order[1:][same]] = order[:-1][same]
+    start, stop = np.arange(len(row) - LEAST + 1)[:, None], np.arange(len(row))
+    first = ((before < start) & (stop >= start)).astype(np.int16)  # of a stretch from start on
+    far, out = stop >= start + LEAST - 1, np.zeros(len(hit), bool)
+    for k in range(0, len(hit), 64):
+        x = hit[k : k + 64]
+        step = np.where(x, 1, -math.floor(SIMILARITY / (1 - SIMILARITY) + 1e-9)).astype(np.int16)
+        enough = np.cumsum(step[:, None] * first, axis=2, dtype=np.int16) >= 0
+        out[k : k + 64] = (enough & far & x[:, None] & x[:, : len(start), None]).any(axis=(1, 2))
+    return out
+
+
 def met_in_full(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Passages (PASSAGES) around the common minima of a key's windows: enough to link all that are alike. rows: see `undecided`."""
 

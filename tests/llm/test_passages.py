@@ -86,3 +86,26 @@ def test_linking_equals_all_pairs():
 
         passages.joined(list(range(n)), [[]] * n, [0] * n, [x.tobytes() for x in rows], compare)
         assert linked(n, found) == linked(n, pairs)
+
+
+def test_a_stretch_is_told_by_its_distinct_shingles():
+    """holds equals a count of every stretch, and a shingle that stands again and again brings no comparison."""
+    rng = np.random.default_rng(4)
+    for n in (46, 70, 117):
+        row = rng.integers(0, 30, n).astype("<u4")
+        hit = np.array([np.isin(row, rng.choice(30, size, replace=False)) for size in range(15, 30)])
+        want = [any(h[s] and h[e] and len(set(row[s : e + 1][h[s : e + 1]])) >= 4 * len(set(row[s : e + 1][~h[s : e + 1]])) for s in range(n) for e in range(s + passages.LEAST - 1, n)) for h in hit]
+        assert passages.holds(hit, row).tolist() == want and len(set(want)) == (2 if n > 46 else len(set(want)))
+    for n in (6, 40):
+        rows = [np.concatenate([np.full(35, 7), 100 * i + np.arange(32) % 6 + 10, np.full(35, 7), 100 * i + np.arange(15) + 20]).astype("<u4").tobytes() for i in range(n)]
+        seen = []
+        passages.joined(list(range(n)), [[]] * n, [0] * n, rows, lambda i, j: seen.append((i, j)) or False)  # noqa: B023
+        assert not seen
+
+
+def test_words_have_one_hash_each():
+    texts = ["Ab  cd\tef\x0bgh ij", "ab cd ef gh ij kl", "", None, " x ", "é à b c d e"]
+    h, n = passages.word_hashes([x if x is None else x.encode() for x in texts])
+    words = [w.lower() for x in texts for w in (x or "").encode().split()]
+    assert n.tolist() == [len((x or "").encode().split()) for x in texts]
+    assert len(set(zip(h.tolist(), words, strict=True))) == len(set(words)) == len(set(h.tolist()))
