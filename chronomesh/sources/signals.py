@@ -63,7 +63,9 @@ def quantised(df: DataFrame, bounds: DataFrame, kind: str, value: str) -> DataFr
 
 def write_signal(df: DataFrame, path: str, channel: str, index: str, rows_per_file: int = 5_000_000) -> None:
     """The canonical table: partitioned by channel and sorted by index, so that a channel or a stretch of it is pruned to its files."""
-    df.repartition(channel).sortWithinPartitions(channel, index).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).option("compression", "zstd").partitionBy(channel).parquet(path)
+    # a number of partitions keeps Spark from merging small ones into a task or two: time goes into files, not bytes
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    df.repartition(tasks, channel).sortWithinPartitions(channel, index).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).option("compression", "zstd").partitionBy(channel).parquet(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:

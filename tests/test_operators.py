@@ -171,6 +171,14 @@ def test_signals_are_written_by_channel(spark, tmp_path):
     assert signals.found(spark, str(tmp_path / "s"), "*.parquet").count() == 2
 
 
+def test_many_small_channels_are_written_by_several_tasks(spark, tmp_path):
+    df = spark.range(400).select((F.col("id") % 40).alias("channel"), "id", F.lit(1.0).alias("x"))
+    signals.write_signal(df, str(tmp_path / "s"), "channel", "id")
+    files = list((tmp_path / "s").glob("channel=*/*.parquet"))
+    assert len(files) == 40 and spark.read.parquet(str(tmp_path / "s")).count() == 400
+    assert len({f.name.split("-")[1] for f in files}) > 1
+
+
 def test_columns(spark):
     df = spark.createDataFrame([(" Awake ", 2.5, float("inf"))], "s string, x double, y double")
     r = df.select(C.canonical(F.col("s"), {"awake": "correct"}).alias("s"), C.half_even(F.col("x"), 0).alias("x"), C.finite_or_zero(F.col("y")).alias("y"), C.slug(F.lit("A b/C")).alias("g")).first()
