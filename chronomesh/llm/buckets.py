@@ -59,24 +59,24 @@ BAND = 31
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """x (uint64) with its bits spread over the whole number."""
+    x = x ^ (x >> np.uint64(32))
     for _ in range(2):
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+    return x
 
 
 def keys_of(h: np.ndarray, item: np.ndarray, n: int, rows: int) -> np.ndarray:
-    """A key for every `rows` min-hashes of each of n items: shape (n, CELLS // rows). h: mixed shingle hashes; item: whose each one is, from 0."""
-    packed = h >> np.uint64(40)  # in place from here on: arrays of all shingles are what takes the time
-    packed *= np.uint64(CELLS)
-    packed >>= np.uint64(24)
-    packed |= item.astype(np.uint64) << np.uint64(8)
-    packed <<= np.uint64(36)
-    packed |= h & np.uint64((1 << 36) - 1)
-    packed.sort()
-    place = packed >> np.uint64(36)
-    first = packed[np.concatenate([[True], place[1:] != place[:-1]])] if len(packed) else packed
-    own = np.full((n, CELLS), -1, np.int64)
-    own[(first >> np.uint64(44)).astype(np.int64), ((first >> np.uint64(36)) & np.uint64(255)).astype(np.int64)] = (first & np.uint64((1 << 36) - 1)).astype(np.int64)
+    """A key for every `rows` min-hashes of each of n items: shape (n, CELLS // rows). h: mixed shingle hashes; item: whose each one is, from 0; n: no one's."""
+    cell = h >> np.uint64(40)  # in place from here on: arrays of all shingles are what takes the time
+    cell *= np.uint64(CELLS)
+    cell >>= np.uint64(24)
+    cell = cell.view(np.int64)
+    cell += item * CELLS
+    own = np.full((n + 1) * CELLS, 1 << 36, np.int64)
+    np.minimum.at(own, cell, (h & np.uint64((1 << 36) - 1)).view(np.int64))
+    own[own == 1 << 36] = -1
+    own = own[: n * CELLS].reshape(n, CELLS)
     least = own.copy()
     row, column = np.nonzero(own < 0)
     some = (own >= 0).any(axis=1)[row]

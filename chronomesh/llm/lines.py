@@ -72,11 +72,9 @@ def band_keys(lines: list[bytes]) -> np.ndarray:
     padded = [x if len(x) >= LONGER else (x * LONGER)[:LONGER] for x in texts]
     data = np.frombuffer("".join(padded).encode("utf-32-le"), "<u4")
     sizes = np.array([len(x) for x in padded])
-    inside = np.ones(len(data), bool)  # shingles that reach into the next line count as nothing
-    inside[(np.cumsum(sizes)[:, None] - 1 - np.arange(LONGER - 1)).ravel()] = False
-    inside = inside[: len(data) - LONGER + 1]
-    of = np.repeat(np.arange(len(lines)), sizes)[: len(inside)]
-    return keys_of(mixed(numbers(data, LONGER)[inside]), of[inside], len(lines), ROWS)
+    of = np.repeat(np.arange(len(lines)), sizes)
+    of[(np.cumsum(sizes)[:, None] - 1 - np.arange(LONGER - 1)).ravel()] = len(lines)  # shingles that reach into the next line are no one's
+    return keys_of(mixed(numbers(data, LONGER)), of[: len(data) - LONGER + 1], len(lines), ROWS)
 
 
 LINES = "doc_id long, copy long, line_no int, line long, keys array<long>"

@@ -88,3 +88,17 @@ def test_members_and_pairs_of_buckets(spark, monkeypatch, chunk):
         assert shuffled == [["key", "item"]] and len(got) == len(members)
         assert pairs == {(min(x), i, min(x), i) for x in shared.values() for i in x if i != min(x)}
         assert {(r.key, r.item) for r in members if r.done} == {(k, min(x)) for k, x in shared.items()}
+
+
+def test_keys_leave_out_what_is_no_ones():
+    """Hashes of item n, as those of shingles across two lines, change no key; min-hashes are the least of each cell."""
+    h = buckets.mixed(np.arange(4000, dtype=np.uint64))
+    item = np.arange(4000) % 3  # 2: no one's
+    some = item < 2
+    keys = buckets.keys_of(h, item, 2, 4)
+    assert keys.shape == (2, 15) and (keys == buckets.keys_of(h[some], item[some], 2, 4)).all()
+    one = h[item == 1]
+    cell = ((one >> np.uint64(40)) * np.uint64(buckets.CELLS)) >> np.uint64(24)
+    low = np.uint64((1 << 36) - 1)
+    least = np.array([one[np.flatnonzero(cell == c)[np.argmin(one[cell == c] & low)]] for c in range(buckets.CELLS)])
+    assert (buckets.keys_of(least, np.zeros(buckets.CELLS, int), 1, 4)[0] == keys[1]).all()
