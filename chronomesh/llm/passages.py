@@ -18,8 +18,11 @@ a passage need not be alike to. So the keys whose windows verified passages
 don't link are compared in full, whatever the number of their windows: one task has the
 shingles around each window's minimum and finds what is alike by an index over their rarest
 shingles, a prefix of which alike passages must share. What the task knows to be linked isn't compared again, so copies and near copies
-give links enough to join them, not all pairs. A key of more than LARGE windows is cut into
-blocks, and every block meets every other one; that step grows with the square of such a key.
+give links enough to join them, not all pairs. Minima that a document has within LEAST places are one
+row, and keys whose least row is the same one meet together, so that a text travels once for them;
+that only adds comparisons. Of a group of more than LARGE rows those stay that have enough shingles in common
+with other documents; if they are still more, they are cut into
+blocks, and every block meets every other one; that step grows with the square of what stays.
 For the smallest documents, a key that very many windows have
 is cut into chunks with a smallest document each, which are compared among themselves.
 
@@ -38,11 +41,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronomesh.llm.buckets import chunked, distinct
 from chronomesh.llm.common import materialize, read
+from chronomesh.sources.shared import scratch
 
 SHINGLE = 5
 #: Shingles of the shortest passage: 50 words.
@@ -56,11 +60,13 @@ GRAIN = 64
 BROADCAST_BYTES = 24 << 20
 #: Shingles before and after a common minimum that are compared where a key's windows meet in full: as long as a partner of LEAST shingles can be.
 AROUND = math.ceil(LEAST / SIMILARITY)
-#: Windows of a key that one task compares; a key of more is cut into blocks, and each pair of blocks is compared by one task.
+#: Rows of a group of keys that one task compares; a group of more is cut into blocks, and each pair of blocks is compared by one task.
 LARGE = 1 << 12
+#: Shingles that a passage has in common with one it is alike to, at least.
+NEED = math.ceil(SIMILARITY * LEAST)
 #: Share of the documents that is looked at to tell which keys may be very frequent; it only decides how their rows are dealt out.
 LOOK = 1 / 16
-#: Windows of a key up to which all pairs are looked at without an index.
+#: Rows up to which all pairs are looked at without an index.
 PLAIN = 32
 FACTOR = 0xD6E8FEB86659FD95
 SPACES = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
@@ -115,11 +121,10 @@ def shingles(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return mix(rolled[at]), begin
 
 
-def windows(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Compact windows at least LEAST wide: text, l, c, r (in the text) for the values h; the leftmost of equal values is the minimum."""
-    none = np.empty(0, np.int64)
+def minima(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, start and place of the minimum of all passages of LEAST values of h, in order; the leftmost of equal values is the minimum."""
     if len(h) < LEAST:
-        return none, none, none, none
+        return (np.empty(0, np.int64),) * 3
     low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     span = 1
     while 2 * span <= LEAST:
@@ -128,13 +133,17 @@ def windows(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     if rest := LEAST - span:
         low = np.minimum(low[:-rest], low[rest:])
     text_of = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-    starts = np.arange(len(low))
-    inside = text_of[starts] == text_of[starts + LEAST - 1]
-    node = (low[inside] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    start = np.flatnonzero(text_of[: len(low)] == text_of[LEAST - 1 :])
+    return text_of[start], start, (low[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def windows(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Compact windows at least LEAST wide: text, l, c, r (in the text) for the values h."""
+    of, _, node = minima(h, begin)
     if not len(node):
-        return none, none, none, none
-    node = node[np.concatenate([[True], node[1:] != node[:-1]])]
-    of = text_of[node]
+        return (np.empty(0, np.int64),) * 4
+    new = np.concatenate([[True], node[1:] != node[:-1]])
+    of, node = of[new], node[new]
     value = (h[node] >> np.uint64(32)).tolist()
     left, right = begin[of].tolist(), (begin[of + 1] - 1).tolist()
     places, texts = node.tolist(), of.tolist()
@@ -151,6 +160,8 @@ def windows(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return of, np.array(left) - base, node - base, np.array(right) - base
 
 
+#: Writes a table that a step makes for itself and reads it back: `materialize`, or into a `scratch` folder.
+Table = Callable[[DataFrame, str], DataFrame]
 #: at: where a window's minimum c is, and which passages of LEAST shingles it holds for: those that start in [first, last]. See `placed`.
 WINDOWS = "key long, doc_id long, at long"
 NAMES = ["key", "doc_id", "at"]
@@ -170,10 +181,14 @@ def tabled(h: np.ndarray, begin: np.ndarray, ids: np.ndarray) -> Iterator[pa.Rec
     """Compact windows (WINDOWS) of texts under each hash function."""
     for seed in SEEDS:
         value = mix(h ^ seed)
-        of, left, c, right = windows(value, begin)
+        # a window's passages of LEAST shingles are those that follow one another with its minimum
+        of, start, c = minima(value, begin)
         if len(of):
-            place = placed(c, np.maximum(left, c - LEAST + 1), np.minimum(c, right - LEAST + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(value[begin[of] + c].view(np.int64)), pa.array(ids[of]), pa.array(place)], NAMES)
+            first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+            last = np.append(first[1:], len(c)) - 1
+            of, c, first, last = of[first], c[first], start[first], start[last]
+            place = placed(c - begin[of], first - begin[of], last - begin[of])
+            yield pa.RecordBatch.from_arrays([pa.array(value[c].view(np.int64)), pa.array(ids[of]), pa.array(place)], NAMES)
 
 
 def window_table(docs: DataFrame) -> DataFrame:
@@ -190,25 +205,53 @@ def window_table(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(run, WINDOWS)
 
 
-def met(table: DataFrame, look: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs) of the keys that several documents have. table (WINDOWS); look: a part of it, for the sizes of keys.
+MEMBERS = "key long, doc_id long, at long, rep long, rep_at long, chunk int"
+
+
+def with_smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """MEMBERS (see `met`) of rows (key, chunk, doc_id, at) in order of key and chunk."""
+
+    def out(key: np.ndarray, chunk: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])]))
+        size = np.diff(start, append=len(key))
+        several = (np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)) | (chunk[start] > 0)
+        kept = np.repeat(several, size)
+        key, chunk, doc, at = key[kept], chunk[kept], doc[kept], at[kept]
+        of = np.repeat(np.arange(several.sum()), size[several])
+        order = np.lexsort((at, doc, of))
+        low = order[np.searchsorted(of, np.arange(several.sum()))][of]  # of is in order and stays so
+        other = (doc != doc[low]) | (chunk > 0)
+        columns = [key, doc, at, doc[low], at[low], chunk.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(x[other]) for x in columns], [x.split()[0] for x in MEMBERS.split(", ")])
+
+    held = [np.empty(0, np.int64)] * 4
+    for batch in batches:
+        rows = [np.concatenate([x, y.to_numpy(zero_copy_only=False)]) for x, y in zip(held, batch.columns, strict=True)]
+        new = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]))
+        cut = int(new[-1]) + 1 if len(new) else 0  # the last chunk may go on
+        if cut:
+            yield out(*(x[:cut] for x in rows))
+        held = [x[cut:] for x in rows]
+    if len(held[0]):
+        yield out(*held)
+
+
+def met(own: DataFrame, look: DataFrame | None = None, table: Table = materialize) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs) of the keys that several documents have. own (WINDOWS); look: a part of it, for the sizes of keys.
 
     members (WINDOWS and rep, rep_at, chunk): windows, but for those of a key's smallest document,
     with the smallest document rep of their chunk and its window; pairs (doc_id,
     rep, at, c0): each window with that one, whose minimum is
     at c0, and the smallest of a key's chunks with the smallest of all.
     """
-    chunk = Window.partitionBy("key", "chunk")
-    ends = {"low": F.min(F.struct("doc_id", "at")).over(chunk), "top": F.max("doc_id").over(chunk)}
-    rows = chunked(table, "doc_id", *((look, LOOK) if look is not None else ()))
-    shared = rows.withColumns(ends).where("low.doc_id <> top OR chunk > 0")
-    shared = shared.select(*NAMES, F.col("low.doc_id").alias("rep"), F.col("low.at").alias("rep_at"), "chunk")
-    shared = materialize(shared.where("doc_id <> rep OR chunk > 0"), "passage-windows")
+    rows = chunked(own, "doc_id", *((look, LOOK) if look is not None else ()))
+    rows = rows.select("key", F.col("chunk").cast("int").alias("chunk"), "doc_id", "at").repartition("key", "chunk").sortWithinPartitions("key", "chunk")
+    shared = table(rows.mapInArrow(with_smallest, MEMBERS), "passage-windows")
     c0 = lambda at: F.shiftright(at, 12).alias("c0")
     # a row for each chunk; those of one key are few
     chunks = shared.where("chunk > 0").select("key", F.col("rep").alias("doc_id"), F.col("rep_at").alias("at")).distinct()
     lowest = chunks.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("low")).select("key", F.col("low.doc_id").alias("rep"), c0("low.at"))
-    across = chunks.join(materialize(lowest, "passage-lowest"), "key")
+    across = chunks.join(table(lowest, "passage-lowest"), "key")
     pairs = shared.select("doc_id", "rep", "at", c0("rep_at")).unionAll(across.select("doc_id", "rep", "at", "c0"))
     return shared, pairs.where("doc_id <> rep")
 
@@ -276,9 +319,9 @@ def candidates(pairs: DataFrame, agree: int = AGREE) -> DataFrame:
     return pairs.select("doc_id", "rep", "at", "c0").repartition("doc_id", "rep").sortWithinPartitions("doc_id", "rep").mapInArrow(run, RANGES)
 
 
-def stretches_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def stretches_of(docs: DataFrame, wanted: DataFrame, table: Table = materialize) -> DataFrame:
     """(doc_id, lo, hi, h): 32-bit shingle hashes of the wanted stretches (doc_id, lo, hi)."""
-    by_doc = materialize(wanted.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("at")), "passage-wanted")
+    by_doc = table(wanted.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("at")), "passage-wanted")
     by_doc = by_doc.withColumnRenamed("doc_id", "_d")
     small = (by_doc.agg(F.sum(32 + 16 * F.size("at"))).first()[0] or 0) <= BROADCAST_BYTES
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -311,6 +354,12 @@ def alike(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float]
     hit = np.flatnonzero(ranked[at] == a)
     twin = order[at[hit]]
     anywhere = (at[hit] + 1 < len(b)) & (ranked[np.minimum(at[hit] + 1, len(b) - 1)] == a[hit])  # b has them again elsewhere
+    if len(hit) < NEED:
+        return []
+    if not anywhere.any() and (twin[1:] > twin[:-1]).all():  # then from match s to match e, e - s + 1 are common; what lies between them in a and b tells the rest
+        value = 9 * np.arange(len(hit)) - 4 * (hit + twin)
+        if (value[NEED - 1 :] + 1 < np.minimum.accumulate(value)[: len(hit) - NEED + 1]).all():
+            return []
     all_a, all_b = a.tolist(), b.tolist()
     if anywhere.any():  # what goes on in b as it does in a is matched there, not where b has it first
         before, to, follow = -2, 0, twin.tolist()
@@ -376,15 +425,15 @@ def passage_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in PASSAGES.split(", ")])
 
 
-def verified(docs: DataFrame, ranges: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, ranges: DataFrame, table: Table = materialize) -> DataFrame:
     """Passages in words: [start, stop) of doc_id is a near-duplicate of [twin_start, twin_stop) of twin_id."""
     down = lambda x: F.greatest(F.lit(0), F.floor((F.col(x) - LEAST) / GRAIN) * GRAIN).cast("int")
     up = lambda x: (F.ceil((F.col(x) + LEAST) / GRAIN) * GRAIN).cast("int")
     ranges = ranges.select("doc_id", "rep", down("a_lo").alias("a_lo"), up("a_hi").alias("a_hi"), down("b_lo").alias("b_lo"), up("b_hi").alias("b_hi"))
-    ranges = materialize(ranges.distinct(), "passage-ranges")
+    ranges = table(ranges.distinct(), "passage-ranges")
     of_a = ranges.select("doc_id", F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi"))
     of_b = ranges.select(F.col("rep").alias("doc_id"), F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"))
-    parts = materialize(stretches_of(docs, of_a.unionAll(of_b)), "passage-stretches")
+    parts = table(stretches_of(docs, of_a.unionAll(of_b), table), "passage-stretches")
     side = lambda name, x: parts.select(F.col("doc_id").alias(name), F.col("lo").alias(f"{x}_lo"), F.col("hi").alias(f"{x}_hi"), F.col("h").alias(f"h_{x}"))
     both = ranges.join(side("doc_id", "a"), ["doc_id", "a_lo", "a_hi"]).join(side("rep", "b"), ["rep", "b_lo", "b_hi"])
 
@@ -401,8 +450,8 @@ def verified(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     return both.select("doc_id", "rep", "a_lo", "b_lo", "h_a", "h_b").mapInArrow(run, PASSAGES)
 
 
-def undecided(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, doc_id, at, twins, n): the windows of keys whose windows passages found don't link yet; n: the key's windows.
+def undecided(members: DataFrame, found: DataFrame, table: Table = materialize) -> DataFrame:
+    """(key, doc_id, at, twins, meet): the windows of keys whose windows passages found don't link yet; meet: the least hash of the key's rows of `gathered`.
 
     twins: the documents of the passages found that hold the window's minimum, so windows with a common one are linked.
     Where a passage is the same in the key's smallest document for all that the window holds for, that one stands for it. members: see `met`.
@@ -414,34 +463,136 @@ def undecided(members: DataFrame, found: DataFrame) -> DataFrame:
     smallest = members.where("chunk = 0").select("key", F.col("rep").alias("doc_id"), F.col("rep_at").alias("at"), F.lit(None).cast("long").alias("rep")).distinct()
     rows = members.select(*NAMES, "rep").unionAll(smallest).join(spans, "doc_id", "left").where(~F.coalesce(same, F.lit(False)))
     twins = F.array_distinct(F.transform(F.filter("spans", lambda s: within(s, c, c + SHINGLE)), lambda s: s["twin_id"]))
-    left = materialize(rows.select(*NAMES, F.coalesce(twins, F.array().cast("array<long>")).alias("twins")), "passage-left")
+    left = table(rows.select(*NAMES, F.coalesce(twins, F.array().cast("array<long>")).alias("twins")), "passage-left")
     root = F.least("doc_id", F.array_min("twins"))
-    sizes = left.groupBy("key").agg(F.count("*").alias("n"), F.min(root).alias("low"), F.max(root).alias("high")).where("low <> high").select("key", "n")
-    return materialize(left.join(materialize(sizes, "passage-sizes"), "key"), "passage-undecided")
+    ends = F.min(root).alias("low"), F.max(root).alias("high"), F.min(F.xxhash64("doc_id", cell_of("at"))).alias("meet")
+    opened = left.groupBy("key").agg(*ends).where("low <> high").select("key", "meet")
+    return materialize(left.join(table(opened, "passage-open"), "key"), "passage-undecided")
+
+
+def cell_of(at: str) -> Column:
+    """The stretch of LEAST places that a window's minimum is in."""
+    return F.floor(F.shiftright(at, 12) / LEAST)
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """(key, doc_id, twins, first, last): rows (`undecided`) of one document, cell and twins are one, with the first and the last minimum; key: that of all keys that meet together."""
+    c = F.shiftright("at", 12).cast("int")
+    cells = rows.groupBy(F.col("meet").alias("key"), "doc_id", F.array_sort("twins").alias("twins"), cell_of("at").alias("cell"))
+    return materialize(cells.agg(F.min(c).alias("first"), F.max(c).alias("last")).drop("cell"), "passage-cells")
+
+
+def beside_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(doc_id, text, at): each document that rows (doc_id, ...) have, with all of its rows."""
+    names = [x for x in rows.columns if x != "doc_id"]
+    size = F.sum(48 + 8 * F.size("twins")) if "twins" in names else F.sum(F.lit(40))
+    by_doc = materialize(rows.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("at"), size.alias("bytes")), "passage-places").withColumnRenamed("doc_id", "_d")
+    small = (by_doc.agg(F.sum(F.col("bytes") + 32)).first()[0] or 0) <= BROADCAST_BYTES
+    held = docs.join(F.broadcast(by_doc) if small else by_doc, F.col("doc_id") == F.col("_d"))
+    return held.select("doc_id", F.col("text").cast("binary").alias("text"), *[F.col(f"at.{x}").alias(x) for x in names])
+
+
+def around(h: np.ndarray, first: int, last: int) -> np.ndarray:
+    return h[max(0, first - AROUND) : last + AROUND + 1]
+
+
+def elsewhere(of: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which places hold a shingle (numbers `of` from 0) that another document has too. doc: the document of each place."""
+    one = np.zeros(int(of.max()) + 1, doc.dtype)
+    one[of] = doc  # any of the documents that have it
+    other = np.zeros(len(one), bool)
+    other[of[one[of] != doc]] = True
+    return other[of]
+
+
+def fewest(x: np.ndarray) -> int:
+    """How many different shingles make up NEED places of x, at least."""
+    return int(np.searchsorted(np.cumsum(-np.sort(-np.unique(x, return_counts=True)[1])), NEED)) + 1
+
+
+def able(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (`gathered`, and parts) with able: whether NEED of a row's places have shingles in common with other documents' rows of its key, as all have that hold a passage alike to one.
+
+    A row that isn't able may still have the twin of an able one's passage, which repeats a shingle; it stays if it has
+    as many different common shingles as such a passage needs. A row's shingles are dealt to parts by hash, and a task
+    counts for each part, so a key's rows need not fit one task.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text, *places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h, out = (shingles([text])[0] >> np.uint64(32)).astype("<u4"), []
+                for key, first, last, parts in zip(*places, strict=True):
+                    x = around(h, first, last)
+                    few, of = fewest(x), x % parts
+                    order = np.argsort(of, kind="stable")
+                    ends = np.searchsorted(of[order], np.arange(parts + 1))
+                    out += [(key, q, doc_id, first, few, x[order[ends[q] : ends[q + 1]]].tobytes()) for q in range(parts) if ends[q] < ends[q + 1]]
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["key", "part", "doc_id", "first", "few", "h"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            ids, firsts, fews, texts = zip(*held, strict=True)
+            h = np.frombuffer(b"".join(texts), "<u4")
+            begin = np.cumsum([0, *(len(x) // 4 for x in texts)])
+            row = np.repeat(np.arange(len(ids)), np.diff(begin))
+            of = np.unique(h, return_inverse=True)[1]
+            met = elsewhere(of, np.array(ids)[row])
+            n = np.bincount(row[met], minlength=len(ids))
+            kinds = np.bincount(np.unique(row[met] * len(h) + of[met]) // len(h), minlength=len(ids))
+            columns = [pa.array([last[0]] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(firsts, pa.int32()), pa.array(fews, pa.int32()), pa.array(n), pa.array(kinds)]
+            return pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "first", "few", "n", "kinds"])
+
+        last, held = None, []
+        for batch in batches:
+            for *key, doc_id, first, few, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != last:
+                    if held:
+                        yield out()
+                    last, held = key, []
+                held.append((doc_id, first, few, h))
+        if held:
+            yield out()
+
+    dealt = beside_texts(docs, rows.select("doc_id", "key", "first", "last", "parts")).mapInArrow(deal, "key long, part int, doc_id long, first int, few int, h binary")
+    counts = dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(count, "key long, doc_id long, first int, few int, n long, kinds long")
+    sums = counts.groupBy("key", "doc_id", "first").agg((F.sum("n") >= NEED).alias("able"), F.min("few").alias("few"), F.sum("kinds").alias("kinds"))
+    sums = materialize(sums, "passage-counts")
+    least = materialize(sums.where("able").groupBy("key").agg(F.min("few").alias("least")), "passage-least")
+    stay = sums.join(least, "key").where("able OR kinds >= least").select("key", "doc_id", "first", "able")
+    return rows.join(stay, ["key", "doc_id", "first"])
 
 
 def surroundings(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(key, doc_id, twins, low, high, side, lo, h): 32-bit hashes h of the shingles around each window of rows (`undecided`), from lo on, a row for each pair (low, high) of blocks that its block, side, is in."""
-    c, parts = F.shiftright("at", 12).cast("int"), F.ceil(F.col("n") / LARGE).cast("int")
-    at = F.struct("key", "twins", c.alias("c"), parts.alias("parts"))
-    by_doc = materialize(rows.groupBy("doc_id").agg(F.collect_set(at).alias("at")), "passage-places").withColumnRenamed("doc_id", "_d")
-    small = (by_doc.agg(F.sum(32 + 40 * F.size("at"))).first()[0] or 0) <= BROADCAST_BYTES
-    held = docs.join(F.broadcast(by_doc) if small else by_doc, F.col("doc_id") == F.col("_d")).select("doc_id", F.col("text").cast("binary").alias("text"), *[F.col(f"at.{x}").alias(x) for x in ("key", "twins", "c", "parts")])
-    names = ["key", "doc_id", "twins", "parts", "lo", "h"]
+    """(key, doc_id, twins, low, high, side, lo, h): 32-bit hashes h of the shingles around each row (`gathered`), from lo on, a row for each pair (low, high) of blocks that its block, side, is in.
+
+    The able rows of a large key are in blocks from 0 on, which all meet; its other rows are in blocks after those, which meet the able ones only.
+    """
+    blocks = lambda of: F.ceil(F.sum(of.cast("int")) / LARGE).cast("int")
+    large = materialize(rows.groupBy("key").agg(blocks(F.lit(True)).alias("parts")).where("parts > 1"), "passage-large")
+    rows = rows.withColumns({"parts": F.lit(1), "others": F.lit(0), "side": F.lit(0)})
+    if not large.isEmpty():
+        met = materialize(able(docs, rows.drop("parts").join(large, "key")).drop("parts", "others", "side"), "passage-able")
+        sizes = materialize(met.groupBy("key").agg(blocks(F.col("able")).alias("parts"), blocks(~F.col("able")).alias("others")), "passage-blocks")
+        block = lambda n: F.pmod(F.xxhash64("doc_id"), F.greatest(n, F.lit(1)))
+        side = F.when(F.col("able"), block("parts")).otherwise(F.col("parts") + block("others")).cast("int")
+        rows = rows.join(large.select("key"), "key", "left_anti").unionByName(met.join(sizes, "key").withColumn("side", side).drop("able"))
+    names = ["key", "doc_id", "twins", "parts", "others", "side", "lo", "h"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text, *places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, text, keys, twins, firsts, lasts, *blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 h = (shingles([text])[0] >> np.uint64(32)).astype("<u4")
-                keys, twins, centres, parts = places
-                lows = [max(0, c - AROUND) for c in centres]
-                data = [h[lo : c + AROUND + 1].tobytes() for lo, c in zip(lows, centres, strict=True)]
-                columns = [pa.array(keys, pa.int64()), pa.array([doc_id] * len(keys), pa.int64()), pa.array(twins, pa.list_(pa.int64())), pa.array(parts, pa.int32()), pa.array(lows, pa.int32()), pa.array(data, pa.binary())]
+                data = [around(h, first, last).tobytes() for first, last in zip(firsts, lasts, strict=True)]
+                lows = [max(0, first - AROUND) for first in firsts]
+                columns = [pa.array(keys, pa.int64()), pa.array([doc_id] * len(keys), pa.int64()), pa.array(twins, pa.list_(pa.int64())), *(pa.array(x, pa.int32()) for x in (*blocks, lows)), pa.array(data, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    own = held.mapInArrow(run, "key long, doc_id long, twins array<long>, parts int, lo int, h binary")
-    own = own.withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("side", q).alias("low"), F.greatest("side", q).alias("high")))
+    held = beside_texts(docs, rows.select("doc_id", "key", "twins", "first", "last", "parts", "others", "side"))
+    own = held.mapInArrow(run, "key long, doc_id long, twins array<long>, parts int, others int, side int, lo int, h binary")
+    meets = F.when(F.col("side") < F.col("parts"), F.sequence(F.lit(0), F.col("parts") + F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    cells = F.transform(meets, lambda q: F.struct(F.least("side", q).alias("low"), F.greatest("side", q).alias("high")))
     return own.withColumn("cell", F.explode(cells)).select("key", "doc_id", "twins", "cell.low", "cell.high", "side", "lo", "h")
 
 
@@ -452,7 +603,7 @@ def joined(docs: list[int], twins: list[list[int]], sides: list[int], texts: lis
     how many rows have them, all but the last ones that are fewer than that are looked up, so
     no such pair is missed. Rows with the same shingles as an earlier one meet that one only. If there are several sides, only pairs of different ones count.
     """
-    need, across = math.ceil(SIMILARITY * LEAST), len(set(sides)) > 1
+    need, across = NEED, len(set(sides)) > 1
     nodes = {}
     names = [nodes.setdefault(x, len(nodes)) for x in docs]
     part = np.arange(len(nodes) + sum(map(len, twins)))
@@ -480,14 +631,19 @@ def joined(docs: list[int], twins: list[list[int]], sides: list[int], texts: lis
             wanted = own[k] | (np.array(others, np.uint64) << np.uint64(32))[:, None]
             hit = ranked[np.minimum(np.searchsorted(ranked, wanted), len(ranked) - 1)] == wanted
             near = np.flatnonzero(np.count_nonzero(hit, axis=1) >= need)
-            for m in near[holds(hit[near], own[k])].tolist() if len(near) else ():
+            if len(near):
+                new = np.zeros(len(own[k]), bool)
+                new[np.unique(own[k], return_index=True)[1]] = True
+                near = near[may_hold(hit[near], new)]
+                near = near if new.all() or not len(near) else near[holds(hit[near], own[k])]
+            for m in near.tolist():
                 j = rows[others[m]]
                 if part[j] != part[i] and compare(i, j):
                     link(i, j)
         return
     ends = np.cumsum([len(x) for x in own])
     values, of = np.unique(np.concatenate(own), return_inverse=True)
-    place = np.full((len(rows), 2 * AROUND + 1), len(values), np.int32)  # numbers of the shingles, and one that none has
+    place = np.full((len(rows), max(LEAST, *map(len, own))), len(values), np.int32)  # numbers of the shingles, and one that none has
     new = np.zeros(place.shape, bool)  # where a row has a shingle first
     for k, (x, end) in enumerate(zip(own, ends.tolist(), strict=True)):
         place[k, : len(x)] = of[end - len(x) : end]
@@ -495,7 +651,7 @@ def joined(docs: list[int], twins: list[list[int]], sides: list[int], texts: lis
     count = np.bincount(place[new], minlength=len(values) + 1)
     begin = np.cumsum(count) - count
     having = np.repeat(np.arange(len(rows)), new.sum(axis=1))[np.argsort(place[new], kind="stable")]  # the rows that have each shingle, ascending
-    seen, local = np.zeros(len(count), np.int64), np.full(len(count), place.shape[1], np.uint8)
+    seen, local = np.zeros(len(count), np.int64), np.full(len(count), place.shape[1], np.int16)
     at, doc, side = np.array(rows), np.array(docs)[rows], np.array(sides)[rows]
     for k, i in enumerate(rows):
         fresh, shared = place[k][new[k]], place[k][count[place[k]] > 1]
@@ -550,7 +706,7 @@ def holds(hit: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def met_in_full(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Passages (PASSAGES) around the common minima of a key's windows: enough to link all that are alike. rows: see `undecided`."""
+    """Passages (PASSAGES) around the common minima of keys' windows: enough to link all that are alike. rows: see `undecided`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, []
@@ -580,7 +736,7 @@ def met_in_full(docs: DataFrame, rows: DataFrame) -> DataFrame:
         if held:
             yield from out()
 
-    dealt = surroundings(docs, rows).select("key", "low", "high", "doc_id", "twins", "side", "lo", "h")
+    dealt = surroundings(docs, gathered(rows)).select("key", "low", "high", "doc_id", "twins", "side", "lo", "h")
     return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, PASSAGES)
 
 
@@ -599,9 +755,12 @@ def one_row_each(docs: DataFrame) -> DataFrame:
 def passages(docs: DataFrame) -> DataFrame:
     """Near-duplicate passages of at least 50 words that documents share with a smaller document (PASSAGES)."""
     docs = one_row_each(docs)
-    members, pairs = met(window_table(docs), window_table(docs.sample(LOOK, 1)))
-    found = materialize(verified(docs, candidates(pairs)), "passages")
-    return found.unionAll(met_in_full(docs, undecided(members, found))).distinct()
+    with scratch(docs.sparkSession, "passage-tables") as of_windows:
+        members, pairs = met(window_table(docs), window_table(docs.sample(LOOK, 1)), of_windows.table)
+        with scratch(docs.sparkSession, "passage-texts") as of_texts:
+            found = materialize(verified(docs, candidates(pairs), of_texts.table), "passages")
+        rows = undecided(members, found, of_windows.table)
+    return found.unionAll(met_in_full(docs, rows)).distinct()
 
 
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

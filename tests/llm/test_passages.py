@@ -109,3 +109,60 @@ def test_words_have_one_hash_each():
     words = [w.lower() for x in texts for w in (x or "").encode().split()]
     assert n.tolist() == [len((x or "").encode().split()) for x in texts]
     assert len(set(zip(h.tolist(), words, strict=True))) == len(set(words)) == len(set(h.tolist()))
+
+
+def on_one_word(seed: int) -> list[str]:
+    """Texts that repeat one word: the first two 60 times, as passages of one shingle, thirty others 8 to 30 times."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    own = lambda n: [word() for _ in range(n)]
+    return [" ".join(own(60) + ["the"] * n + own(60)) for n in [*(rng.randint(8, 30) for _ in range(30)), 60, 60]]
+
+
+@pytest.mark.parametrize("large", [4096, 7])
+def test_texts_of_open_windows_travel_once(spark, monkeypatch, large):
+    """Windows of a document around one repeated word, under all hash functions, are few rows, also where their key is cut into blocks; nothing alike is lost."""
+    monkeypatch.setattr(passages, "LARGE", large)
+    texts, sent = on_one_word(9), []
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    send = passages.surroundings
+    monkeypatch.setattr(passages, "surroundings", lambda *x: sent.append(send(*x)) or sent[-1])
+    members, _ = passages.met(passages.window_table(docs))
+    rows = passages.undecided(members, spark.createDataFrame([], passages.PASSAGES))
+    assert rows.count() > 200
+    found = {(r.doc_id, r.twin_id) for r in passages.met_in_full(docs, rows).collect()}
+    size = sent[0].agg(F.sum(F.length("h"))).first()[0]
+    assert size < 2 * 4 * sum(len(t.split()) for t in texts)
+    # a run of 60 is alike to any run: as a set it is one shingle
+    assert linked(len(texts), found) == linked(len(texts), {(30, j) for j in range(30)} | {(31, 30)})
+
+
+def test_elsewhere_and_fewest():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        of, doc = rng.integers(0, 12, 40), np.sort(rng.integers(0, 5, 40))
+        assert passages.elsewhere(np.unique(of, return_inverse=True)[1], doc).tolist() == [len(set(doc[of == x])) > 1 for x in of]
+    x = np.repeat(np.arange(9), [30, 1, 1, 1, 5, 1, 1, 1, 1])
+    assert passages.fewest(x) == 4 and passages.fewest(np.zeros(60)) == 1 and passages.fewest(np.arange(50)) == passages.NEED
+
+
+def test_a_pair_that_differences_rule_out_early(monkeypatch):
+    """Texts of words changed, put in and left out: what the bound rules out, the whole comparison doesn't find."""
+    rng, outcomes = np.random.default_rng(8), []
+    for _ in range(400):
+        a = rng.integers(0, 1 << 32, rng.integers(46, 120)).astype("<u4")
+        b = a
+        for _ in range(rng.integers(1, 7)):
+            at = rng.integers(0, len(b))
+            b = np.concatenate([b[:at], rng.integers(0, 1 << 32, rng.integers(0, 7)).astype("<u4"), b[at + rng.integers(1, 7) :]])
+        spans = [(s, e) for s in range(len(a)) for e in range(s + passages.LEAST, len(a) + 1)]
+        row = {x: i for i, x in enumerate(b.tolist())}
+        hits = [row.get(x, -1) for x in a.tolist()]
+        best = 0.0
+        for s, e in spans:
+            if hits[s] >= 0 and hits[e - 1] >= 0:
+                common, other = sum(h >= 0 for h in hits[s:e]), hits[e - 1] - hits[s] + 1
+                best = max(best, common / (e - s + other - common))
+        outcomes.append(best >= passages.SIMILARITY)
+        assert bool(passages.alike(a, b)) == outcomes[-1]
+    assert 50 < sum(outcomes) < 350
