@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from chronomesh.llm.buckets import chunked, distinct
 from chronomesh.llm.common import materialize, read
-from chronomesh.sources.shared import scratch
+from chronomesh.sources.shared import forget_shuffles, scratch
 
 SHINGLE = 5
 #: Shingles of the shortest passage: 50 words.
@@ -319,23 +319,34 @@ def candidates(pairs: DataFrame, agree: int = AGREE) -> DataFrame:
     return pairs.select("doc_id", "rep", "at", "c0").repartition("doc_id", "rep").sortWithinPartitions("doc_id", "rep").mapInArrow(run, RANGES)
 
 
+def of_texts(batches: Iterator[pa.RecordBatch], of_row: Callable[..., list[tuple]], names: list[str], types: tuple) -> Iterator[pa.RecordBatch]:
+    """of_row(h, doc_id, ...) of all rows (doc_id, text, ...); h: the 32-bit shingle hashes of the text."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            ids, texts, *rest = (c.to_pylist() for c in batch.slice(at, 64).columns)
+            h, begin = shingles(texts)
+            h = (h >> np.uint64(32)).astype("<u4")
+            out = [x for k, row in enumerate(zip(ids, *rest, strict=True)) for x in of_row(h[begin[k] : begin[k + 1]], *row)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+
 def stretches_of(docs: DataFrame, wanted: DataFrame, table: Table = materialize) -> DataFrame:
-    """(doc_id, lo, hi, h): 32-bit shingle hashes of the wanted stretches (doc_id, lo, hi)."""
-    by_doc = table(wanted.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("at")), "passage-wanted")
+    """(doc_id, lo, hi, a, b, h): 32-bit shingle hashes of the wanted stretches (doc_id, lo, hi, a, b). docs: one row for each doc_id."""
+    wanted = wanted.groupBy("doc_id", "lo", "hi").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    by_doc = table(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "a", "b")).alias("at")), "passage-wanted")
     by_doc = by_doc.withColumnRenamed("doc_id", "_d")
-    small = (by_doc.agg(F.sum(32 + 16 * F.size("at"))).first()[0] or 0) <= BROADCAST_BYTES
+    small = (by_doc.agg(F.sum(32 + 48 * F.size("at"))).first()[0] or 0) <= BROADCAST_BYTES
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    held = own.join(F.broadcast(by_doc) if small else by_doc, F.col("doc_id") == F.col("_d")).select("doc_id", "text", F.transform("at", lambda x: x["lo"]).alias("lo"), F.transform("at", lambda x: x["hi"]).alias("hi"))
+    held = own.join(F.broadcast(by_doc) if small else by_doc, F.col("doc_id") == F.col("_d")).select("doc_id", "text", *[F.col(f"at.{x}").alias(x) for x in ("lo", "hi", "a", "b")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, text, lows, highs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = (shingles([text])[0] >> np.uint64(32)).astype("<u4")
-                data = [h[a:b].tobytes() for a, b in zip(lows, highs, strict=True)]
-                arrays = [pa.array([doc_id] * len(data), pa.int64()), pa.array(lows, pa.int32()), pa.array(highs, pa.int32()), pa.array(data, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lo", "hi", "h"])
+        def rows(h: np.ndarray, doc_id: int, *at: list) -> list[tuple]:
+            return [(doc_id, lo, hi, a, b, h[lo:hi].tobytes()) for lo, hi, a, b in zip(*at, strict=True)]
 
-    return held.mapInArrow(run, "doc_id long, lo int, hi int, h binary").dropDuplicates(["doc_id", "lo", "hi"])
+        yield from of_texts(batches, rows, ["doc_id", "lo", "hi", "a", "b", "h"], (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()))
+
+    return held.mapInArrow(run, "doc_id long, lo int, hi int, a boolean, b boolean, h binary")
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float]]:
@@ -431,10 +442,11 @@ def verified(docs: DataFrame, ranges: DataFrame, table: Table = materialize) ->
     up = lambda x: (F.ceil((F.col(x) + LEAST) / GRAIN) * GRAIN).cast("int")
     ranges = ranges.select("doc_id", "rep", down("a_lo").alias("a_lo"), up("a_hi").alias("a_hi"), down("b_lo").alias("b_lo"), up("b_hi").alias("b_hi"))
     ranges = table(ranges.distinct(), "passage-ranges")
-    of_a = ranges.select("doc_id", F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi"))
-    of_b = ranges.select(F.col("rep").alias("doc_id"), F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"))
+    yes, no = F.lit(True), F.lit(False)  # which side of a pair a stretch is
+    of_a = ranges.select("doc_id", F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi"), yes.alias("a"), no.alias("b"))
+    of_b = ranges.select(F.col("rep").alias("doc_id"), F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"), no.alias("a"), yes.alias("b"))
     parts = table(stretches_of(docs, of_a.unionAll(of_b), table), "passage-stretches")
-    side = lambda name, x: parts.select(F.col("doc_id").alias(name), F.col("lo").alias(f"{x}_lo"), F.col("hi").alias(f"{x}_hi"), F.col("h").alias(f"h_{x}"))
+    side = lambda name, x: parts.where(x).select(F.col("doc_id").alias(name), F.col("lo").alias(f"{x}_lo"), F.col("hi").alias(f"{x}_hi"), F.col("h").alias(f"h_{x}"))
     both = ranges.join(side("doc_id", "a"), ["doc_id", "a_lo", "a_hi"]).join(side("rep", "b"), ["rep", "b_lo", "b_hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -519,17 +531,17 @@ def able(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, text, *places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h, out = (shingles([text])[0] >> np.uint64(32)).astype("<u4"), []
-                for key, first, last, parts in zip(*places, strict=True):
-                    x = around(h, first, last)
-                    few, of = fewest(x), x % parts
-                    order = np.argsort(of, kind="stable")
-                    ends = np.searchsorted(of[order], np.arange(parts + 1))
-                    out += [(key, q, doc_id, first, few, x[order[ends[q] : ends[q + 1]]].tobytes()) for q in range(parts) if ends[q] < ends[q + 1]]
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["key", "part", "doc_id", "first", "few", "h"])
+        def dealt(h: np.ndarray, doc_id: int, *places: list) -> list[tuple]:
+            out = []
+            for key, first, last, parts in zip(*places, strict=True):
+                x = around(h, first, last)
+                few, of = fewest(x), x % parts
+                order = np.argsort(of, kind="stable")
+                ends = np.searchsorted(of[order], np.arange(parts + 1))
+                out += [(key, q, doc_id, first, few, x[order[ends[q] : ends[q + 1]]].tobytes()) for q in range(parts) if ends[q] < ends[q + 1]]
+            return out
+
+        yield from of_texts(batches, dealt, ["key", "part", "doc_id", "first", "few", "h"], (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
@@ -578,16 +590,13 @@ def surroundings(docs: DataFrame, rows: DataFrame) -> DataFrame:
         block = lambda n: F.pmod(F.xxhash64("doc_id"), F.greatest(n, F.lit(1)))
         side = F.when(F.col("able"), block("parts")).otherwise(F.col("parts") + block("others")).cast("int")
         rows = rows.join(large.select("key"), "key", "left_anti").unionByName(met.join(sizes, "key").withColumn("side", side).drop("able"))
-    names = ["key", "doc_id", "twins", "parts", "others", "side", "lo", "h"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, text, keys, twins, firsts, lasts, *blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = (shingles([text])[0] >> np.uint64(32)).astype("<u4")
-                data = [around(h, first, last).tobytes() for first, last in zip(firsts, lasts, strict=True)]
-                lows = [max(0, first - AROUND) for first in firsts]
-                columns = [pa.array(keys, pa.int64()), pa.array([doc_id] * len(keys), pa.int64()), pa.array(twins, pa.list_(pa.int64())), *(pa.array(x, pa.int32()) for x in (*blocks, lows)), pa.array(data, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names)
+        def rows(h: np.ndarray, doc_id: int, *places: list) -> list[tuple]:
+            return [(key, doc_id, twins, *blocks, max(0, first - AROUND), around(h, first, last).tobytes()) for key, twins, first, last, *blocks in zip(*places, strict=True)]
+
+        types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        yield from of_texts(batches, rows, ["key", "doc_id", "twins", "parts", "others", "side", "lo", "h"], types)
 
     held = beside_texts(docs, rows.select("doc_id", "key", "twins", "first", "last", "parts", "others", "side"))
     own = held.mapInArrow(run, "key long, doc_id long, twins array<long>, parts int, others int, side int, lo int, h binary")
@@ -757,9 +766,12 @@ def passages(docs: DataFrame) -> DataFrame:
     docs = one_row_each(docs)
     with scratch(docs.sparkSession, "passage-tables") as of_windows:
         members, pairs = met(window_table(docs), window_table(docs.sample(LOOK, 1)), of_windows.table)
-        with scratch(docs.sparkSession, "passage-texts") as of_texts:
-            found = materialize(verified(docs, candidates(pairs), of_texts.table), "passages")
+        forget_shuffles(docs.sparkSession)
+        with scratch(docs.sparkSession, "passage-texts") as of_pairs:
+            found = materialize(verified(docs, candidates(pairs), of_pairs.table), "passages")
+        forget_shuffles(docs.sparkSession)
         rows = undecided(members, found, of_windows.table)
+    forget_shuffles(docs.sparkSession)
     return found.unionAll(met_in_full(docs, rows)).distinct()
 
 

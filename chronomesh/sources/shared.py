@@ -34,6 +34,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that are written: it does so for what the driver's JVM has found unused, which may else take until a job's end."""
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Tables that a job writes for itself in one new folder there and deletes, at the latest when it ends."""
 
