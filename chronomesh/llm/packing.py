@@ -49,8 +49,8 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Signs that are split off at the end of a chunk; no apostrophe, which the tokenizer keeps with some letters.
 SIGNS = b".,;:!?*%&#$|"
 LAST = np.array([END], "<u4").tobytes()
-#: Chunks that a worker keeps at most.
-CACHED = 1_000_000
+#: Chunks that a worker keeps, and as many again of those it kept before.
+CACHED = 200_000
 
 
 class Chunks(dict):
@@ -58,13 +58,16 @@ class Chunks(dict):
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.tokenizer, self.model, self.before = tokenizer, tokenizer.model, {}
         # the byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         rest = iter(range(256, 512))
         self.letter = [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
     def __missing__(self, chunk: bytes) -> bytes:
+        if (ids := self.before.pop(chunk, None)) is not None:
+            self[chunk] = ids
+            return ids
         word = chunk.rstrip(SIGNS)
         # a letter whose lower case ends in a mark is joined with a sign
         if 0 < len(word) < len(chunk) and (word[-1:].isalnum() or word.decode(errors="replace")[-1].lower()[-1].isalpha()):
@@ -74,6 +77,12 @@ class Chunks(dict):
         self[chunk] = ids
         return ids
 
+    def shrink(self) -> None:
+        """Chunks that weren't asked for since the last time go, when there are more than CACHED."""
+        if len(self) > CACHED:
+            self.before = dict(self)
+            self.clear()
+
     def encode(self, chunk: bytes) -> list[int]:
         """A word of Latin letters is one piece for the model; anything else takes the tokenizer's whole way."""
         if chunk.isalpha():
@@ -105,8 +114,7 @@ class Encoder:
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers, with END after them."""
-        if len(self.known) > CACHED:
-            self.known.clear()
+        self.known.shrink()
         ids = self.known.__getitem__
         return [b"".join(map(ids, (t if b"<|" in t else t.lower()).split())) + LAST if t else LAST for t in texts]
 
