@@ -19,6 +19,6 @@ def test_common_chunks_are_encoded_once(monkeypatch):
     for text in texts:
         got = encode.encode([text])[0]
         assert list(memoryview(got).cast("I")) == [*known.tokenizer.encode(text.decode(), add_special_tokens=False).ids, packing.END]
-        most = max(most, len(known) + len(known.before))
+        most = max(most, len(known) + len(getattr(known, "before", ())))
     assert most < 2 * packing.CACHED + 100
     assert all(asked.count(w) == 1 for w in common) and len(asked) > 3000
